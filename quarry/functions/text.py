@@ -12,7 +12,6 @@ TOKEN = "[0-9a-zа-я]+"
 WORD_RUN = r"[\p{L}\p{N}_]+"
 # letters whose full case folding differs from lower-casing
 _FOLD_PAIRS = (("ß", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
-_NEEDS_FOLD = "[ßſﬀﬁﬂﬃﬄ]"
 _EDGE_WS = r"(?U)^\s+|\s+$"
 
 Words = list[str] | tuple[str, ...]
@@ -25,16 +24,12 @@ def let(value: Column, body) -> Column:
 
 def fold(c: Column) -> Column:
     """Case folding plus ё -> е."""
-    low = F.lower(c)
-    full = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _FOLD_PAIRS, low)
-    return F.translate(F.when(low.rlike(_NEEDS_FOLD), full).otherwise(low), "ё", "е")
+    return F.translate(casefold(c), "ё", "е")
 
 
 def casefold(c: Column) -> Column:
     """Case folding that keeps ё."""
-    low = F.lower(c)
-    full = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _FOLD_PAIRS, low)
-    return F.when(low.rlike(_NEEDS_FOLD), full).otherwise(low)
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _FOLD_PAIRS, F.lower(c))
 
 
 def strip(c: Column) -> Column:
@@ -199,11 +194,18 @@ def strip_model_markup(c: Column) -> Column:
 
 
 def strip_question_echo(answer: Column, query: Column) -> Column:
-    q = strip(F.regexp_replace(query, r"(?U)\s+", " "))
-    a = F.regexp_replace(answer, r"(?U)^\s+", "")
-    rest = F.regexp_replace(F.substr(a, F.length(q) + 1), r"^[ \t\r\n:\-—]+", "")
-    echoed = (F.length(q) > 0) & F.startswith(casefold(a), casefold(q))
-    return strip(F.when(echoed, rest).otherwise(a))
+    def cut(v: Column) -> Column:
+        rest = F.regexp_replace(F.substr(v["a"], F.length(v["q"]) + 1), r"^[ \t\r\n:\-—]+", "")
+        echoed = (F.length(v["q"]) > 0) & F.startswith(casefold(v["a"]), casefold(v["q"]))
+        return strip(F.when(echoed, rest).otherwise(v["a"]))
+
+    return let(
+        F.struct(
+            F.regexp_replace(answer, r"(?U)^\s+", "").alias("a"),
+            strip(F.regexp_replace(query, r"(?U)\s+", " ")).alias("q"),
+        ),
+        cut,
+    )
 
 
 def abstained(c: Column) -> Column:
@@ -224,34 +226,50 @@ def cache_key(c: Column) -> Column:
 
 
 def strip_polite_prefix(c: Column) -> Column:
-    flat = squash(c)
-    cut = F.regexp_replace(
-        F.regexp_replace(flat, "(?iuU)" + ru.POLITE_PREFIX, ""), r"^[ ,]+|[ ,]+$", ""
-    )
-    return F.when(cut == "", flat).otherwise(cut)
+    def cut(flat: Column) -> Column:
+        rest = F.regexp_replace(
+            F.regexp_replace(flat, "(?iuU)" + ru.POLITE_PREFIX, ""), r"^[ ,]+|[ ,]+$", ""
+        )
+        return F.coalesce(F.nullif(rest, F.lit("")), flat)
+
+    return let(squash(c), cut)
 
 
 def normalize_query(c: Column) -> Column:
     """Conversational wording -> the terminology the knowledge base uses."""
     i = "(?iuU)"
-    q = F.regexp_replace(strip_polite_prefix(c), i + ru.WORK_PERMIT_SPACED, ru.WORK_PERMIT)
-    colloquial = ~F.contains(casefold(q), F.lit(ru.WORK_PERMIT)) & matches(
-        q, ru.WORK_PERMIT_CONTEXT, ignore_case=True
-    )
-    # only the first occurrence: the lazy prefix group is put back unchanged
-    first = F.regexp_replace(q, "(?iuUs)^(.*?)" + ru.WORK_PERMIT_SHORT, "$1" + ru.WORK_PERMIT)
-    q = F.when(colloquial, first).otherwise(q)
-    q = F.regexp_replace(q, i + ru.ISSUE_VERB, ru.ISSUE_VERB_CANONICAL)
-    q = F.when(
-        F.contains(casefold(q), F.lit(ru.WORK_PERMIT)),
-        F.regexp_replace(q, i + ru.DANGEROUS_WORK, ru.DANGEROUS_WORK_CANONICAL),
-    ).otherwise(q)
-    low = fold(q)
-    fire = matches(low, ru.FIRE_SIGNS) & matches(low, ru.FIRE_ACTION)
-    # appended once: a query that already ends in the suffix is left alone
-    suffix = F.concat(q, F.lit(" " + ru.IGNITION_SUFFIX))
-    ignition = matches(low, ru.IGNITION) & ~F.endswith(low, F.lit(" " + ru.IGNITION_SUFFIX))
-    return F.when(fire, F.lit(ru.FIRE_QUERY)).when(ignition, suffix).otherwise(q)
+
+    def permit(q: Column) -> Column:
+        colloquial = ~F.contains(casefold(q), F.lit(ru.WORK_PERMIT)) & matches(
+            q, ru.WORK_PERMIT_CONTEXT, ignore_case=True
+        )
+        # only the first occurrence: the lazy prefix group is put back unchanged
+        first = F.regexp_replace(q, "(?iuUs)^(.*?)" + ru.WORK_PERMIT_SHORT, "$1" + ru.WORK_PERMIT)
+        return F.regexp_replace(
+            F.when(colloquial, first).otherwise(q), i + ru.ISSUE_VERB, ru.ISSUE_VERB_CANONICAL
+        )
+
+    def dangerous(q: Column) -> Column:
+        return F.when(
+            F.contains(casefold(q), F.lit(ru.WORK_PERMIT)),
+            F.regexp_replace(q, i + ru.DANGEROUS_WORK, ru.DANGEROUS_WORK_CANONICAL),
+        ).otherwise(q)
+
+    def fire(q: Column) -> Column:
+        def decide(low: Column) -> Column:
+            asks = matches(low, ru.FIRE_SIGNS) & matches(low, ru.FIRE_ACTION)
+            # appended once: a query that already ends in the suffix is left alone
+            ignition = matches(low, ru.IGNITION) & ~F.endswith(low, F.lit(" " + ru.IGNITION_SUFFIX))
+            return (
+                F.when(asks, F.lit(ru.FIRE_QUERY))
+                .when(ignition, F.concat(q, F.lit(" " + ru.IGNITION_SUFFIX)))
+                .otherwise(q)
+            )
+
+        return let(fold(q), decide)
+
+    spaced = F.regexp_replace(strip_polite_prefix(c), i + ru.WORK_PERMIT_SPACED, ru.WORK_PERMIT)
+    return let(let(let(spaced, permit), dangerous), fire)
 
 
 def is_comparison(c: Column) -> Column:
