@@ -121,16 +121,18 @@ def acronym_candidates(c: Column) -> Column:
     kept = F.filter(
         raw, lambda t: (~t.isin(*ru.CONTEXT_STOP)) & (F.length(t) >= 3) & ~is_number(t)
     )
-    initials = F.array_join(F.transform(kept, lambda t: F.substring(t, 1, 1)), "")
-    n = F.length(initials)
+    def runs(initials: Column) -> Column:
+        n = F.length(initials)
 
-    def runs(width: int) -> Column:
-        starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substr(initials, i, F.lit(width)))
+        def of(width: int) -> Column:
+            starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(
+                F.array().cast("array<int>")
+            )
+            return F.transform(starts, lambda i: F.substr(initials, i, F.lit(width)))
+
+        return F.array_distinct(F.concat(of(3), of(4), of(5)))
 
-    return F.array_distinct(F.concat(runs(3), runs(4), runs(5)))
+    return let(F.array_join(F.transform(kept, lambda t: F.substring(t, 1, 1)), ""), runs)
 
 
 def hard_anchors(c: Column) -> Column:

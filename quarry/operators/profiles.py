@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from quarry.functions.text import let
+
 PROFILE_TYPE = (
     "struct<word_ids:array<bigint>,word_tfs:array<int>,char_ids:array<bigint>,"
     "char_tfs:array<int>,buckets:array<int>>"
@@ -78,14 +80,18 @@ def dense_vector(buckets: Column, dimension: int) -> Column:
     """Bucket counts -> unit vector: each half L2-normalised, then the whole."""
     half = dimension // 2
 
-    def norm2(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x)
+    def norm(part: Column) -> Column:
+        return F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x))
 
-    def scaled(part: Column, total: Column) -> Column:
-        n = F.sqrt(norm2(part))
+    def scaled(part: Column, n: Column, total: Column) -> Column:
         return F.transform(part, lambda x: F.when(n > 0, x / n / total).otherwise(0.0))
 
+    def build(v: Column) -> Column:
+        halves = F.when(v["wn"] > 0, 1.0).otherwise(0.0) + F.when(v["cn"] > 0, 1.0).otherwise(0.0)
+        return let(
+            F.sqrt(F.greatest(halves, F.lit(1.0))),
+            lambda total: F.concat(scaled(v["w"], v["wn"], total), scaled(v["c"], v["cn"], total)),
+        )
+
     w, c = F.slice(buckets, 1, half), F.slice(buckets, half + 1, half)
-    halves = F.when(norm2(w) > 0, 1.0).otherwise(0.0) + F.when(norm2(c) > 0, 1.0).otherwise(0.0)
-    total = F.sqrt(F.greatest(halves, F.lit(1.0)))
-    return F.concat(scaled(w, total), scaled(c, total))
+    return let(F.struct(w.alias("w"), c.alias("c"), norm(w).alias("wn"), norm(c).alias("cn")), build)
