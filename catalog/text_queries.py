@@ -299,7 +299,7 @@ def _(spark, d):
 # --- sources --------------------------------------------------------------------------
 
 _ent = "x"
-for _k, _v in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+for _k, _v in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _ent = f"replace({_ent},'{_k}','{_v}')"
 _tags = "|".join(sorted(articles.BLOCK_TAGS))
 
@@ -441,10 +441,9 @@ def _(spark, d):
 
 @query("hashed_embedding", sql("SELECT idx, bucket::BIGINT AS bucket, round(w,6) AS weight FROM dvec", "dvec"))
 def _(spark, d):
-    from quarry.operators.profiles import dense_vector
-    v = dense_vector(F.col("buckets"), S.embedding_dimension)
-    return snapshot(spark, d).table("profiles").select("idx", F.posexplode(v).alias("bucket", "w")).filter("w > 0").select(
-        "idx", L(F.col("bucket")).alias("bucket"), F.round("w", 6).alias("weight"))
+    from quarry.operators.profiles import dense_entries
+    return dense_entries(snapshot(spark, d).table("profiles"), S.embedding_dimension).select(
+        "idx", L(F.col("bucket")).alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
 # --- query gates and profiles ------------------------------------------------------------------

@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.text import let
 
@@ -95,3 +95,21 @@ def dense_vector(buckets: Column, dimension: int) -> Column:
 
     w, c = F.slice(buckets, 1, half), F.slice(buckets, half + 1, half)
     return let(F.struct(w.alias("w"), c.alias("c"), norm(w).alias("wn"), norm(c).alias("cn")), build)
+
+
+def dense_entries(profiles: DataFrame, dimension: int) -> DataFrame:
+    """(idx, bucket, weight) of the non-zero entries: norms in the row, then one explode."""
+    half = dimension // 2
+
+    def square(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint") * x)
+
+    rows = profiles.select(
+        "idx",
+        F.sqrt(square(F.slice("buckets", 1, half))).alias("wn"),
+        F.sqrt(square(F.slice("buckets", half + 1, half))).alias("cn"),
+        F.posexplode("buckets").alias("bucket", "n"),
+    ).filter("n > 0")
+    halves = (F.col("wn") > 0).cast("int") + (F.col("cn") > 0).cast("int")
+    norm = F.when(F.col("bucket") < half, F.col("wn")).otherwise(F.col("cn"))
+    return rows.select("idx", "bucket", (F.col("n") / norm / F.sqrt(halves)).alias("weight"))

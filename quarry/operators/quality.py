@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.functions.text import let
+
 PROBE_WORDS = 4
 
 
@@ -13,23 +15,27 @@ def planted_pairs(documents: DataFrame, queries: DataFrame) -> DataFrame:
     The containment test is only run on pairs sharing the question's rarest word run, found
     by an equi-join, never on all pairs.
     """
-    # a run of words strictly inside the question also is a run of words of the document
+    # a run of words strictly inside the question is also a run of words of the document
     def grams(text):
-        w = F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0))
-        starts = F.when(F.size(w) >= PROBE_WORDS, F.sequence(F.lit(1), F.size(w) - PROBE_WORDS + 1))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, PROBE_WORDS), " "))))
+        def runs(w):
+            starts = F.when(F.size(w) >= PROBE_WORDS, F.sequence(F.lit(1), F.size(w) - PROBE_WORDS + 1))
+            return F.transform(
+                starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, PROBE_WORDS), " "))
+            )
+
+        return F.array_distinct(let(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0)), runs))
 
     inner = F.regexp_replace("query", r"^\S*\s+|\s+\S*$", "")
     probes = queries.select("qid", "query", F.explode(grams(inner)).alias("g"))
     shared = documents.select(F.explode(grams(F.col("content"))).alias("g")).join(
-        F.broadcast(probes.select("g").distinct()), "g"
+        probes.select("g").distinct(), "g"
     ).groupBy("g").agg(F.count("*").alias("df"))
     rarest = probes.join(shared, "g").groupBy("qid", "query").agg(F.min(F.struct("df", "g")).alias("m")).select(
         "qid", "query", F.col("m.g").alias("g")
     )
     rows = documents.select("doc_id", "content", F.explode(grams(F.col("content"))).alias("g"))
     return (
-        rows.join(F.broadcast(rarest), "g").filter(F.contains("content", F.col("query"))).select("qid", "doc_id").distinct()
+        rows.join(rarest, "g").filter(F.contains("content", F.col("query"))).select("qid", "doc_id").distinct()
     )
 
 
