@@ -359,3 +359,38 @@ def _(spark, d):
     ids = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("S1"))).otherwise(F.array().cast("array<string>"))
     return read(spark, d, "documents").select(
         "doc_id", check_answer(F.col("text"), ids, F.col("doc_id") % 3 == 0).alias("violation"))
+
+
+# --- whole answering plans (model behind a deterministic stand-in: rows-only) --------------------
+
+
+@query("latency_answers")
+def _(spark, d):
+    from quarry.operators.model import FirstSourceClient
+    from quarry.plans.latency import answer_queries
+
+    return answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), FirstSourceClient)
+
+
+@query("extractive_route")
+def _(spark, d):
+    from quarry.plans.latency import answer_queries
+
+    return answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), None)
+
+
+@query("corrective_answers")
+def _(spark, d):
+    from quarry.operators.model import FirstSourceClient
+    from quarry.plans.agentic import answer_queries
+
+    return answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), FirstSourceClient)
+
+
+@query("answer_stream")
+def _(spark, d):
+    from quarry.plans.latency import answer_queries
+    from quarry.plans.service import answer_stream
+
+    r = answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), None)
+    return answer_stream(r, S).select("qid", "seq", "kind", "payload")

@@ -439,11 +439,13 @@ def _(spark, d):
     return snapshot(spark, d).table("doc_roots").select("doc_id", "root", L(F.col("n")).alias("n"))
 
 
-@query("hashed_embedding", sql("SELECT idx, bucket::BIGINT AS bucket, round(w,6) AS weight FROM dvec", "dvec"))
+@query("hashed_embedding", sql("SELECT idx, count(*)::BIGINT AS n, round(sum(w),6) AS total, round(sum(w*bucket),4) AS moment, round(sum(w*w),6) AS norm2 FROM dvec GROUP BY 1", "dvec"))
 def _(spark, d):
     from quarry.operators.profiles import dense_entries
-    return dense_entries(snapshot(spark, d).table("profiles"), S.embedding_dimension).select(
-        "idx", L(F.col("bucket")).alias("bucket"), F.round("weight", 6).alias("weight"))
+    w = F.col("weight")
+    return dense_entries(snapshot(spark, d).table("profiles"), S.embedding_dimension).groupBy("idx").agg(
+        L(F.count("*")).alias("n"), F.round(F.sum(w), 6).alias("total"),
+        F.round(F.sum(w * F.col("bucket")), 4).alias("moment"), F.round(F.sum(w * w), 6).alias("norm2"))
 
 
 # --- query gates and profiles ------------------------------------------------------------------

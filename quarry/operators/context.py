@@ -92,18 +92,23 @@ def intent_order(query: Column, hits: Column) -> Column:
 
 
 def sentence_score(qroots: Column, acronyms: Column, qnorm: Column, sentence: Column) -> Column:
-    def score(sroots: Column) -> Column:
+    def score(v: Column) -> Column:
+        sroots = v["roots"]
         overlap = F.size(F.array_intersect(qroots, sroots))
         bonus = F.when(F.arrays_overlap(acronyms, sroots), 0.18).otherwise(0.0)
         value = (
             0.82 * overlap / F.size(qroots)
             + 0.18 * F.least(F.lit(1.0), overlap / F.size(sroots) * 4.0)
             + bonus
-            + sentence_adjustment(qnorm, norm(sentence), F.length(F.trim(sentence)))
+            + sentence_adjustment(qnorm, v["norm"], v["n"])
         )
         return F.when((F.size(sroots) > 0) & (F.size(qroots) > 0), F.round(value, 9)).otherwise(0.0)
 
-    return let(root_set(sentence), score)
+    # bound once: the adjustment reads the normalised sentence some twenty times
+    parts = F.struct(
+        root_set(sentence).alias("roots"), norm(sentence).alias("norm"), F.length(F.trim(sentence)).alias("n")
+    )
+    return let(parts, score)
 
 
 def query_features(df: DataFrame, query_col: str = "query") -> DataFrame:
@@ -168,18 +173,18 @@ def _membership_block(sents: Column, limit: Column) -> Column:
     return F.when(at > 0, F.aggregate(block, init, step, lambda a: a["text"]))
 
 
-def focus_text(text: Column, limit: Column, radius: int) -> Column:
-    """Best passage of one chunk; uses the _qroots/_acronyms/_qnorm columns of the row."""
+def focus_text(text: Column, features: Column, limit: Column, radius: int) -> Column:
+    """Best passage of one chunk; `features` = struct(roots, acronyms, norm) of the query."""
 
     def focused(sents: Column) -> Column:
         window = let(
             F.transform(
                 sents,
-                lambda x: sentence_score(F.col("_qroots"), F.col("_acronyms"), F.col("_qnorm"), x),
+                lambda x: sentence_score(features["roots"], features["acronyms"], features["norm"], x),
             ),
             lambda scores: _grow(sents, scores, radius, limit),
         )
-        block = F.when(membership_query(F.col("_qnorm")), _membership_block(sents, limit))
+        block = F.when(membership_query(features["norm"]), _membership_block(sents, limit))
         return F.coalesce(block, window)
 
     return F.when(F.length(text) <= limit, text).otherwise(
@@ -189,10 +194,9 @@ def focus_text(text: Column, limit: Column, radius: int) -> Column:
 
 def focus_hits(df: DataFrame, s: Settings) -> DataFrame:
     """hits -> passages; needs query features and `profile`."""
-    limit = F.col("profile.passage")
 
-    def one(h: Column) -> Column:
-        text = focus_text(h["text"], limit, s.focused_passage_neighbor_sentences)
+    def one(h: Column, v: Column) -> Column:
+        text = focus_text(h["text"], v, v["limit"], s.focused_passage_neighbor_sentences)
         return F.struct(
             h["idx"].alias("idx"), h["doc_id"].alias("doc_id"), h["chunk_id"].alias("chunk_id"),
             h["title"].alias("title"), h["section"].alias("section"), h["url"].alias("url"),
@@ -200,7 +204,14 @@ def focus_hits(df: DataFrame, s: Settings) -> DataFrame:
             h["score"].alias("score"), h["lexical_coverage"].alias("lexical_coverage"),
         )
 
-    return df.withColumn("passages", F.transform("hits", one))
+    # the query side is bound once per row, not re-evaluated for every sentence
+    bound = F.struct(
+        F.col("_qroots").alias("roots"), F.col("_acronyms").alias("acronyms"), F.col("_qnorm").alias("norm"),
+        F.col("profile.passage").alias("limit"), F.col("hits").alias("hits"),
+    )
+    return df.withColumn(
+        "passages", let(bound, lambda v: F.transform(v["hits"], lambda h: one(h, v)))
+    )
 
 
 def cut_to_budget(text: Column, room: Column) -> Column:
@@ -262,7 +273,7 @@ def dedup_and_budget(passages: Column, context: Column, chunks: Column, s: Setti
 
         return let(root_set(p["text"]), with_roots)
 
-    return F.aggregate(passages, start, step, lambda acc: acc["kept"])
+    return let(passages, lambda ps: F.aggregate(ps, start, step, lambda acc: acc["kept"]))
 
 
 def with_source_ids(passages: Column) -> Column:

@@ -108,8 +108,8 @@ def dense_entries(profiles: DataFrame, dimension: int) -> DataFrame:
         "idx",
         F.sqrt(square(F.slice("buckets", 1, half))).alias("wn"),
         F.sqrt(square(F.slice("buckets", half + 1, half))).alias("cn"),
-        F.posexplode("buckets").alias("bucket", "n"),
-    ).filter("n > 0")
+        "buckets",
+    ).select("idx", "wn", "cn", F.posexplode("buckets").alias("bucket", "n")).filter("n > 0")
     halves = (F.col("wn") > 0).cast("int") + (F.col("cn") > 0).cast("int")
     norm = F.when(F.col("bucket") < half, F.col("wn")).otherwise(F.col("cn"))
     return rows.select("idx", "bucket", (F.col("n") / norm / F.sqrt(halves)).alias("weight"))

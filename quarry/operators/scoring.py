@@ -208,7 +208,9 @@ def score_topk(
     s = snap.settings
     ship_package(snap.spark)
     corpus = profiles_with_norms(snap)
-    if n_variants <= s.query_block:
+    if n_variants == 0:
+        local = snap.spark.createDataFrame([], HIT_SCHEMA)
+    elif n_variants <= s.query_block:
         local = _score_broadcast(snap.spark, corpus, variants, snap.table("vocab"), kinds, s)
     else:
         local = _score_grid(snap, corpus, variants, n_variants, kinds)
