@@ -249,11 +249,9 @@ def build_index(
             df.write.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(table)
         return spark.table(table)
 
-    # spread documents before the Python stage: one input file may be one split
-    spread = docs_in.repartition(buckets)
     chunks = save(
         "chunks",
-        chunk_documents(spread, s).withColumn("roots", root_list(F.col("text"))),
+        chunk_documents(docs_in, s).withColumn("roots", root_list(F.col("text"))),
     )
     n_chunks, digest = corpus_hash(chunks).first()
     if not n_chunks:

@@ -28,7 +28,7 @@ _WORD = re.compile(r"\w\w+")
 
 
 def term_id(term: str) -> int:
-    return int(md5(term.encode()).hexdigest()[:15], 16)
+    return int.from_bytes(md5(term.encode()).digest()[:8]) >> 4
 
 
 def _word_id(term: str) -> int:

@@ -12,8 +12,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 REQUIRED = ("doc_id", "version", "title", "content", "url")
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def read(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    df = spark.read.parquet(f"{base}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Text work is CPU-bound: a small file that yields fewer splits than cores is spread.
+
+    Large inputs already have more splits than cores and are left alone (no shuffle).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents_from_tables(spark: SparkSession, base: str) -> DataFrame:
