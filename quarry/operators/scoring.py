@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.operators.indexing import Snapshot, sublinear, term_rows
 from quarry.operators.profiles import profile_of
-from quarry.session import ship_package
+from quarry.session import materialize, ship_package
 from quarry.settings import Settings
 
 PROFILE_COLUMNS = [
@@ -113,7 +113,6 @@ def _sparse_scores(batch: pa.RecordBatch, q: QueryBlock, s: Settings) -> np.ndar
             continue
         col = batch.column(f + "_ids")
         ends = col.offsets.to_numpy()
-        base = ends[0]
         ids = col.flatten().to_numpy()
         tfs = batch.column(f + "_tfs").flatten().to_numpy()
         at = np.minimum(np.searchsorted(vocab, ids), len(vocab) - 1)
@@ -128,7 +127,6 @@ def _sparse_scores(batch: pa.RecordBatch, q: QueryBlock, s: Settings) -> np.ndar
             dense = np.zeros((hi - lo, len(vocab)))
             dense[rows[a:b] - lo, at[a:b]] = values[a:b]
             scores[lo:hi] += dense @ q.weights[f]
-        assert base == col.offsets[0].as_py()
     return scores
 
 
@@ -207,13 +205,17 @@ def score_topk(
     """(qkey, kind, idx, score, rank) for kinds such as {'dense': 60, 'sparse': 80}."""
     s = snap.settings
     ship_package(snap.spark)
-    corpus = profiles_with_norms(snap)
     if n_variants == 0:
         local = snap.spark.createDataFrame([], HIT_SCHEMA)
-    elif n_variants <= s.query_block:
-        local = _score_broadcast(snap.spark, corpus, variants, snap.table("vocab"), kinds, s)
     else:
-        local = _score_grid(snap, corpus, variants, n_variants, kinds)
+        corpus = profiles_with_norms(snap)
+        profiles = materialize(query_profiles(variants, s), "query-profiles")
+        n_terms = profiles.agg(F.sum(F.size("word_ids") + F.size("char_ids"))).first()[0] or 0
+        if n_variants <= s.query_block and n_terms <= s.broadcast_rows:
+            local = _score_broadcast(snap.spark, corpus, profiles, snap.table("vocab"), kinds, s)
+        else:
+            n_blocks = max(-(-n_variants // s.query_block), -(-n_terms // s.broadcast_rows))
+            local = _score_grid(snap, corpus, profiles, n_blocks, kinds)
     order = Window.partitionBy("qkey", "kind").orderBy(F.desc("score"), "idx")
     limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in kinds.items()])
     ranked = local.withColumn("rank", F.row_number().over(order))
@@ -221,10 +223,10 @@ def score_topk(
 
 
 def _score_broadcast(
-    spark: SparkSession, corpus: DataFrame, variants: DataFrame, vocab: DataFrame,
+    spark: SparkSession, corpus: DataFrame, profiles: DataFrame, vocab: DataFrame,
     kinds: dict[str, int], s: Settings,
 ) -> DataFrame:
-    profiles = query_profiles(variants, s)
+    """The caller has counted the questions and their terms; both are within bounds."""
     weights = query_weights(profiles, vocab, s, bounded=True)
     block = make_block(
         profiles.select("qkey", "buckets").toPandas(), weights.toPandas(), s.embedding_dimension // 2
@@ -238,19 +240,17 @@ def _score_broadcast(
 
 
 def _score_grid(
-    snap: Snapshot, corpus: DataFrame, variants: DataFrame, n_variants: int, kinds: dict[str, int]
+    snap: Snapshot, corpus: DataFrame, profiles: DataFrame, n_blocks: int, kinds: dict[str, int]
 ) -> DataFrame:
     s = snap.settings
-    n_blocks = -(-n_variants // s.query_block)
     n_cells = max(1, -(-snap.manifest["chunk_count"] // CELL_ROWS))
     blocks, cells = F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.sequence(F.lit(0), F.lit(n_cells - 1))
-    profiles = query_profiles(variants, s).select("qkey", "buckets")
-    weights = query_weights(query_profiles(variants, s), snap.table("vocab"), s, bounded=False)
+    weights = query_weights(profiles, snap.table("vocab"), s, bounded=False)
     per_query = weights.groupBy("qkey").agg(
         F.collect_list(F.struct("family", "term_id", "idf", "weight")).alias("terms")
     )
     left = (
-        profiles.join(per_query, "qkey", "left")
+        profiles.select("qkey", "buckets").join(per_query, "qkey", "left")
         .withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(n_blocks)))
         .withColumn("cell", F.explode(cells))
     )
@@ -284,11 +284,6 @@ def _score_grid(
     )
 
 
-def dot(a, b):
-    """Dot product of two numeric arrays."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def vector_topk(
     corpus: DataFrame, queries: DataFrame, n_queries: int, k: int, s: Settings
 ) -> DataFrame:

@@ -9,11 +9,47 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quarry.settings import Settings
 
 
+BUCKETS = 4096
+
+
+def exact_medians(samples: DataFrame) -> DataFrame:
+    """samples(model, tps) -> (model, samples, median), exact without collecting a group.
+
+    Equal values are merged first (the hot model spreads over its values), a histogram of
+    BUCKETS bins per model locates the bins of the two middle ranks, and only the values of
+    those bins are ranked.
+    """
+    values = samples.filter("tps IS NOT NULL").groupBy("model", "tps").agg(F.count("*").alias("n"))
+    span = values.groupBy("model").agg(
+        F.min("tps").alias("lo"), F.max("tps").alias("hi"), F.sum("n").alias("samples")
+    )
+    width = F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-300))
+    binned = values.join(span, "model").withColumn(
+        "bin", F.least(F.floor((F.col("tps") - F.col("lo")) / width), F.lit(BUCKETS - 1))
+    )
+    bins = binned.groupBy("model", "bin").agg(F.sum("n").alias("in_bin"), F.first("samples").alias("samples"))
+    below = F.sum("in_bin").over(Window.partitionBy("model").orderBy("bin")) - F.col("in_bin")
+    first, second = F.floor((F.col("samples") + 1) / 2), F.floor((F.col("samples") + 2) / 2)
+    middle = bins.withColumn("below", below).filter(
+        (F.col("below") < second) & (F.col("below") + F.col("in_bin") >= first)
+    )
+    picked = binned.select("model", "bin", "tps", "n").join(middle.select("model", "bin", "below", "samples"), ["model", "bin"])
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("model", "bin").orderBy("tps"))
+    ranked = picked.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
+
+    def at(rank):
+        return F.max(F.when((F.col("from") < rank) & (F.col("upto") >= rank), F.col("tps")))
+
+    return ranked.groupBy("model").agg(
+        F.first("samples").alias("samples"), ((at(first) + at(second)) / 2).alias("median")
+    )
+
+
 def throughput_medians(samples: DataFrame) -> DataFrame:
     """samples(model, tps) -> medians and the guidance label."""
-    m = F.median("tps")
-    return samples.groupBy("model").agg(
-        F.count("*").alias("samples"), F.round(m, 6).alias("median_tps"),
+    m = F.col("median")
+    return exact_medians(samples).select(
+        "model", "samples", F.round(m, 6).alias("median_tps"),
         F.when(m >= 10, "strong").when(m >= 6, "borderline")
         .otherwise("short-answer profile recommended").alias("guidance"),
     )
