@@ -1,6 +1,6 @@
 """Russian language pack: rule data only, no logic.
 
-FIXED VALUES.  Every list, pattern and message below has to equal the surveyed
+FIXED VALUES.  Every list, pattern and message below has to equal the expected
 behaviour for results to match, so it is stated verbatim in its natural order.
 The five stop lists differ from each other on purpose.
 """
