@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import (
-    chat_format, decontaminate, language_id, mixing, quality_rules, simhash_dedup, token_counts, training_order,
+    chat_format, decontaminate, language_id, mixing, quality_rules, secret_scan, simhash_dedup, token_counts, training_order,
 )
 from quarry.llm.common import stage, table
 
@@ -19,6 +19,15 @@ def op1_training_order(spark: SparkSession, d: str) -> DataFrame:
     return training_order.training_order(_docs(spark, d))
 
 
+def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    out = secret_scan.secret_spans(_docs(spark, d).select("doc_id", "text"))
+    s = F.col("secrets")
+    return out.select(
+        "doc_id", s.n_assign.alias("n_assign"), s.n_access.alias("n_access"), s.n_hex.alias("n_hex"),
+        F.sha2(secret_scan.joined(s.base), 256).alias("base_sha256"), secret_scan.joined(s.spans).alias("spans"),
+    )
+
+
 def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, d))
 
@@ -72,7 +81,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_training_order, op4_simhash, op5_decontaminate, op6_language_id, op7_mixing, op8_quality_rules,
+        op1_training_order, op2_secret_scan, op4_simhash, op5_decontaminate, op6_language_id, op7_mixing, op8_quality_rules,
         op9_token_counts, op10_chat_format, pipeline,
     )
 }
