@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import (
-    chat_format, decontaminate, language_id, mixing, quality_rules, secret_scan, simhash_dedup, token_counts, training_order,
+    chat_format, decontaminate, language_id, mixing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, training_order,
 )
 from quarry.llm.common import stage, table
 
@@ -28,6 +28,10 @@ def op2_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op3_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_docs(spark, d)).drop("spans")
+
+
 def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_docs(spark, d))
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_training_order, op2_secret_scan, op4_simhash, op5_decontaminate, op6_language_id, op7_mixing, op8_quality_rules,
+        op1_training_order, op2_secret_scan, op3_suffix_dedup, op4_simhash, op5_decontaminate, op6_language_id, op7_mixing, op8_quality_rules,
         op9_token_counts, op10_chat_format, pipeline,
     )
 }
