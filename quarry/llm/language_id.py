@@ -138,7 +138,7 @@ def fit(vectors: np.ndarray, labels: list[str], s: LanguageSettings) -> Language
     for pairs in lang_pairs.values():
         for a, b in pairs:
             machine((a, b), y == a, y == b)
-    w = np.array(weights, np.float32).reshape(len(weights), -1)
+    w = np.array(weights, np.float32).reshape(len(weights), vectors.shape[1])
     return LanguageModel(langs, families, w, np.array(biases, np.float32), family_pairs, lang_pairs, rows)
 
 
