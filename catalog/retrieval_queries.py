@@ -36,9 +36,8 @@ def _variants(spark, d):
 
 def _ranked(spark, d, kinds):
     v = _variants(spark, d)
-    return score_topk(snapshot(spark, d), v, v.count(), kinds).select(
-        F.floor(F.col("qkey") / 16).cast("long").alias("qid"), F.pmod("qkey", F.lit(16)).alias("vid"),
-        "kind", "idx", "score", "rank")
+    n = v.count()
+    return R.with_variant(score_topk(snapshot(spark, d), v, n, kinds), v, n, S)
 
 
 @query("dense_topk", sql("SELECT qid, idx, score, rank FROM dense_ranked", "dense_ranked"))

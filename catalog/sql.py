@@ -290,14 +290,14 @@ block("fused", ("dense_ranked", "sparse_ranked"), """
 block("pool_head", ("fused", "lexical"), """
   SELECT qid, idx, min(pos) AS pos FROM (
     SELECT qid, idx, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, seen) AS pos, 80 AS lim FROM fused
-    UNION ALL SELECT qid, idx, lex_rank+1000, 2000 FROM lexical) WHERE pos<=lim GROUP BY 1,2""")
+    UNION ALL SELECT qid, idx, lex_rank+1099511627776, 1099511629776 FROM lexical) WHERE pos<=lim GROUP BY 1,2""")
 block("pool", ("pool_head", "fused"), """
   SELECT p.*, coalesce(rrf_score,0.0) AS rrf_score, coalesce(dense_score,0.0) AS dense_score,
          coalesce(sparse_score,0.0) AS sparse_score FROM (
     SELECT qid, idx, min(pos) AS pos FROM (
       SELECT * FROM pool_head
       UNION ALL
-      SELECT qid, idx+d, 1000000+a*100+j FROM
+      SELECT qid, idx+d, 1152921504606846976+a*1073741824+j FROM
         (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS a FROM pool_head),
         (SELECT unnest([-1,1]) AS d, unnest([0,1]) AS j) WHERE a<=3) GROUP BY 1,2) p
   LEFT JOIN fused f ON f.qid=p.qid AND f.idx=p.idx""")

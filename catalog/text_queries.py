@@ -231,9 +231,9 @@ def _(spark, d):
 
 @query("abstentions", f"""
 SELECT qid, contains(n,{q(ru.ABSTAIN_MARKER)}) OR regexp_matches(n,{q(ru.ABSTAIN_PATTERNS[0])}) OR regexp_matches(n,{q(ru.ABSTAIN_PATTERNS[1])}) AS abstained
-FROM (SELECT qid, {norm("query || CASE WHEN length(query)%2=0 THEN ' Недостаточно данных.' ELSE ' В источниках нет информации' END")} AS n FROM {TURNS})""")
+FROM (SELECT qid, {norm("query || CASE WHEN length(query)%3=2 THEN ' Ответ найден.' WHEN length(query)%2=0 THEN ' Недостаточно данных.' ELSE ' В источниках нет информации' END")} AS n FROM {TURNS})""")
 def _(spark, d):
-    extra = F.when(F.length("query") % 2 == 0, " Недостаточно данных.").otherwise(" В источниках нет информации")
+    extra = F.when(F.length("query") % 3 == 2, " Ответ найден.").when(F.length("query") % 2 == 0, " Недостаточно данных.").otherwise(" В источниках нет информации")
     return queries_from_conversations(spark, d).select("qid", T.abstained(F.concat("query", extra)).alias("abstained"))
 
 
@@ -262,13 +262,13 @@ def _(spark, d):
 
 @query("token_budgets", """
 SELECT event_id,
-  greatest(220, floor(p*greatest(2.0, 20.0-160/greatest(1.0,v)-1.5)*0.9))::BIGINT AS prompt_tokens,
-  greatest(least(160,160), least(160, floor(v*greatest(1.0, 20.0-n/greatest(1.0,p)-1.5)*0.9)))::BIGINT AS output_tokens,
+  greatest(220, floor(p*greatest(2.0, 20.0-w/greatest(1.0,v)-1.5)*0.9))::BIGINT AS prompt_tokens,
+  greatest(least(160,w), least(w, floor(v*greatest(1.0, 20.0-n/greatest(1.0,p)-1.5)*0.9)))::BIGINT AS output_tokens,
   least(17500, greatest(1000, trunc((v-0.75)*1000)))::BIGINT AS predict_ms
-FROM (SELECT event_id, value AS v, value*6 AS p, (event_id%900+1) AS n FROM events)""")
+FROM (SELECT event_id, value AS v, value*6 AS p, (event_id%900+1) AS n, 60+event_id%841 AS w FROM events)""")
 def _(spark, d):
-    e = read(spark, d, "events").select("event_id", F.col("value").alias("v"), (F.col("value") * 6).alias("p"), (F.col("event_id") % 900 + 1).alias("n"))
-    want, t = F.lit(160), F.lit(20.0)
+    e = read(spark, d, "events").select("event_id", F.col("value").alias("v"), (F.col("value") * 6).alias("p"), (F.col("event_id") % 900 + 1).alias("n"), (F.col("event_id") % 841 + 60).alias("w"))
+    want, t = F.col("w"), F.lit(20.0)
     return e.select(
         "event_id",
         prompt_token_budget(want, t, F.col("p"), F.col("v"), S).alias("prompt_tokens"),

@@ -95,6 +95,13 @@ def chunk_texts(content: Column, s: Settings) -> Column:
     return run(content)
 
 
+def chunk_index(doc_seq: Column, number: Column) -> Column:
+    """doc_seq * 2^20 + number; a document or number that would run into the next one's ids is an error."""
+    fits = (number < MAX_CHUNKS_PER_DOC) & (doc_seq < (1 << 63) // MAX_CHUNKS_PER_DOC)
+    index = doc_seq * MAX_CHUNKS_PER_DOC + number
+    return F.when(fits, index).otherwise(F.raise_error(F.lit("chunk index out of range")).cast("long"))
+
+
 def chunk_documents(documents: DataFrame, s: Settings) -> DataFrame:
     """chunks(idx, doc_seq, doc_id, chunk_number, chunk_id, text); order = idx."""
     return (
@@ -103,7 +110,7 @@ def chunk_documents(documents: DataFrame, s: Settings) -> DataFrame:
             F.posexplode(chunk_texts(F.col("content"), s)).alias("pos", "text"),
         )
         .select(
-            (F.col("doc_seq") * MAX_CHUNKS_PER_DOC + F.col("pos") + 1).alias("idx"),
+            chunk_index(F.col("doc_seq"), F.col("pos") + 1).alias("idx"),
             "doc_seq",
             "doc_id",
             (F.col("pos") + 1).cast("int").alias("chunk_number"),

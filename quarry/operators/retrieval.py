@@ -46,10 +46,16 @@ def query_variants(queries: DataFrame, rewrites: DataFrame | None = None) -> Dat
         )
     clean = primary.select("qid", F.array_distinct(F.filter("all", lambda q: q != "")).alias("all"))
     return clean.select("qid", F.posexplode("all").alias("vid", "query")).select(
-        (F.col("qid") * 16 + F.col("vid")).alias("qkey"), "qid", "vid", "query"
+        F.xxhash64("qid", "vid").alias("qkey"), "qid", "vid", "query"
     )
 
 
+def with_variant(scored: DataFrame, variants: DataFrame, n_variants: int, s: Settings) -> DataFrame:
+    """(qid, vid, kind, idx, score, rank): the scorer's key put back to its question and variant."""
+    names = small_side(variants.select("qkey", "qid", "vid"), n_variants, s.broadcast_rows)
+    return scored.join(names, "qkey").select("qid", "vid", "kind", "idx", "score", "rank")
+
+
 def variant_roots(variants: DataFrame) -> DataFrame:
     """(qkey, qid, vid, qroots, qn, n_numeric) with distinct roots in query order."""
     roots = F.array_distinct(root_list(F.col("query")))
@@ -108,7 +114,7 @@ def fuse(ranked: DataFrame) -> DataFrame:
 
     `seen` reproduces first-appearance order (variant, dense before sparse, rank).
     """
-    seen = (F.col("vid") * 2 + F.when(F.col("kind") == "sparse", 1).otherwise(0)) * 1000 + F.col("rank")
+    seen = F.struct("vid", (F.col("kind") == "sparse").alias("sparse"), "rank")
     best = lambda kind: F.greatest(
         F.lit(0.0), F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     )
@@ -120,6 +126,11 @@ def fuse(ranked: DataFrame) -> DataFrame:
     )
 
 
+#: Order of the pool: fused ranks, then lexical ranks, then neighbours by anchor. The steps are wider
+#: than any rank, whatever the settings.
+LEXICAL_POS, NEIGHBOR_POS, ANCHOR_STEP = 1 << 40, 1 << 60, 1 << 30
+
+
 def candidate_pool(fused: DataFrame, lexical: DataFrame | None, s: Settings) -> DataFrame:
     """(qid, idx, pos, rrf_score, dense_score, sparse_score); pos = candidate order."""
     order = Window.partitionBy("qid").orderBy(F.desc("rrf_score"), "seen")
@@ -131,7 +142,7 @@ def candidate_pool(fused: DataFrame, lexical: DataFrame | None, s: Settings) ->
     pool = top
     if lexical is not None:
         pool = pool.unionByName(
-            lexical.select("qid", "idx", (F.col("lex_rank") + 1000).cast("long").alias("pos"))
+            lexical.select("qid", "idx", (F.col("lex_rank") + F.lit(LEXICAL_POS)).cast("long").alias("pos"))
         )
     if s.neighbor_expansion_enabled and s.neighbor_distance:
         # the ordered union starts with the fused list, so its head holds the anchors;
@@ -146,7 +157,7 @@ def candidate_pool(fused: DataFrame, lexical: DataFrame | None, s: Settings) ->
             "qid", "idx", "anchor", F.posexplode(F.array(*[F.lit(d) for d in deltas])).alias("j", "delta")
         ).select(
             "qid", (F.col("idx") + F.col("delta")).alias("idx"),
-            (F.lit(1_000_000) + F.col("anchor") * 100 + F.col("j")).cast("long").alias("pos"),
+            (F.lit(NEIGHBOR_POS) + F.col("anchor").cast("long") * F.lit(ANCHOR_STEP) + F.col("j")).cast("long").alias("pos"),
         )
         pool = pool.unionByName(near)
     pool = pool.groupBy("qid", "idx").agg(F.min("pos").alias("pos"))
@@ -372,11 +383,8 @@ def search(
     variants = query_variants(queries, rewrites)
     roots = variant_roots(variants)
     n_variants, n_roots = roots.agg(F.count("*"), F.coalesce(F.sum("qn"), F.lit(0))).first()
-    scored = score_topk(
-        snap, variants, n_variants, {"dense": s.dense_top_k, "sparse": s.sparse_top_k}
-    ).select(
-        F.floor(F.col("qkey") / 16).cast("long").alias("qid"), F.pmod("qkey", F.lit(16)).alias("vid"),
-        "kind", "idx", "score", "rank",
+    scored = with_variant(
+        score_topk(snap, variants, n_variants, {"dense": s.dense_top_k, "sparse": s.sparse_top_k}), variants, n_variants, s
     )
     fused = materialize(fuse(scored), "fused")
     lexical = None

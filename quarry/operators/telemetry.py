@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.settings import Settings
@@ -58,19 +56,28 @@ def throughput_medians(samples: DataFrame) -> DataFrame:
 def ema_throughput(samples: DataFrame, s: Settings) -> DataFrame:
     """samples(model, ts, seq, tps) -> EMA after the last positive sample, seeded.
 
-    ema_n = (1-a)^n * seed + sum a*(1-a)^(n-i) * x_i: a weighted sum, so no ordered fold
-    over a collected group is needed.  Only the newest HORIZON samples are ranked (the
-    group limit runs before the shuffle): older weights underflow to exactly 0.
+    ema_n = (1-a)^n * seed + sum a*(1-a)^(n-i) * x_i: a weighted sum, so no ordered fold over a
+    collected group is needed. A sample's age in samples is the count of newer time bins of its
+    model plus its place within the bin, so no task ranks a whole model.
     """
     a = s.perf_ema_alpha
-    horizon = math.ceil(math.log(5e-324) / math.log(1.0 - a)) + 1
-    positive = samples.filter("tps > 0")
-    newest = Window.partitionBy("model").orderBy(F.desc("ts"), F.desc("seq"))
-    recent = positive.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= horizon)
-    weight = F.pow(F.lit(1.0 - a), F.col("n") - 1)
-    moving = recent.groupBy("model").agg(F.sum(a * weight * F.col("tps")).alias("part"))
-    counts = positive.groupBy("model").agg(F.count("*").alias("samples"))
-    return counts.join(moving, "model").select(
+    ts = F.col("ts").cast("timestamp") if dict(samples.dtypes)["ts"].startswith("timestamp") else F.col("ts")
+    at = ts.cast("double")
+    positive = samples.filter("tps > 0").withColumn("at", at)
+    span = positive.groupBy("model").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("samples"))
+    width = F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-9))
+    binned = positive.join(span, "model").withColumn(
+        "bin", F.least(F.floor((F.col("at") - F.col("lo")) / width), F.lit(BUCKETS - 1))
+    )
+    counts = binned.groupBy("model", "bin").agg(F.count("*").alias("in_bin"))
+    newer_bins = Window.partitionBy("model").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    newer = counts.withColumn("newer", F.coalesce(F.sum("in_bin").over(newer_bins), F.lit(0))).select("model", "bin", "newer")
+    inside = Window.partitionBy("model", "bin").orderBy(F.desc("ts"), F.desc("seq"))
+    aged = binned.withColumn("place", F.row_number().over(inside)).join(newer, ["model", "bin"])
+    weight = F.pow(F.lit(1.0 - a), F.col("newer") + F.col("place") - 1)
+    return aged.groupBy("model").agg(
+        F.first("samples").alias("samples"), F.sum(a * weight * F.col("tps")).alias("part")
+    ).select(
         "model", "samples",
         (F.col("part") + F.pow(F.lit(1.0 - a), F.col("samples")) * s.initial_decode_tps).alias("tps"),
     )

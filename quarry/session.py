@@ -48,12 +48,18 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def on_mounted_folder(spark: SparkSession) -> bool:
+    return spark.conf.get("quarry.sharedMount", "false").lower() == "true"
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`; a temp folder only for local masters."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if shared:
+        if shared.startswith("file:") and not sc.master.startswith("local") and not on_mounted_folder(spark):
+            raise RuntimeError("spark.checkpoint.dir is a machine-local folder; set quarry.sharedMount=true if all executors mount it")
         return shared.rstrip("/")
-    sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if sc.applicationId not in _local_dirs:

@@ -197,4 +197,6 @@ def source_key(base_url: str, section_id: int = 0, kb_name: str = "kb") -> str:
 
 def readable_articles(articles: DataFrame, max_articles: int = 0) -> DataFrame:
     good = articles.filter(F.col("error").isNull()).drop("error")
-    return good.limit(max_articles) if max_articles else good
+    # the first ones by section and id, so that a limit does not depend on task timing
+    ordered = good.orderBy(F.col("section_id").cast("long").asc_nulls_last(), "id")
+    return ordered.limit(max_articles) if max_articles else good

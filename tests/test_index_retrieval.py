@@ -63,10 +63,10 @@ def brute_sparse(query):
 
 def test_sparse_matches_brute_force(spark, snap):
     v = R.query_variants(questions(spark, "ежегодный отпуск 28 дней", "alpha delta"))
-    got = score_topk(snap, v, 2, {"sparse": 80}).collect()
+    got = R.with_variant(score_topk(snap, v, 2, {"sparse": 80}), v, 2, snap.settings).collect()
     for qid, text in enumerate(("ежегодный отпуск 28 дней", "alpha delta")):
         want = brute_sparse(text)
-        mine = {r.idx: r.score for r in got if r.qkey == qid * 16}
+        mine = {r.idx: r.score for r in got if r.qid == qid}
         assert mine.keys() == want.keys()
         assert all(mine[i] == pytest.approx(want[i], abs=2e-6) for i in want)
 
@@ -245,3 +245,56 @@ def test_rest_source(spark):
     with pytest.raises(RuntimeError):
         Api({**opts, "password": "x"}, fake_kb.transport).login()
     assert source_key("https://kb.local/", 0) == "kb:https://kb.local:section:all"
+
+
+def test_many_variants_and_large_ids_keep_their_question(spark):
+    big = 1 << 60
+    queries = spark.createDataFrame([(big, "main one"), (big + 1, "main two")], "qid long, query string")
+    rewrites = spark.createDataFrame([(big, [f"rewrite {i}" for i in range(20)])], "qid long, rewrites array<string>")
+    v = R.query_variants(queries, rewrites)
+    scored = v.select("qkey", F.lit("dense").alias("kind"), F.lit(1).cast("long").alias("idx"), F.lit(0.5).alias("score"), F.lit(1).alias("rank"))
+    got = R.with_variant(scored, v, 22, Settings()).groupBy("qid").count().collect()
+    assert {r.qid: r["count"] for r in got} == {big: 21, big + 1: 1} and v.select("qkey").distinct().count() == 22
+
+
+def test_pool_order_beyond_a_thousand(spark):
+    fused = spark.createDataFrame([(1, i, 1.0 / i, 0.1, 0.1, i) for i in range(1, 1501)], "qid long, idx long, rrf_score double, dense_score double, sparse_score double, seen int")
+    lexical = spark.createDataFrame([(1, 5000 + i, i) for i in range(1, 1501)], "qid long, idx long, lex_rank int")
+    s = Settings(rerank_candidate_k=1500, neighbor_expansion_enabled=False)
+    order = [r.idx for r in R.candidate_pool(fused, lexical, s).orderBy("pos").collect()]
+    assert order == list(range(1, 1501)) + list(range(5001, 6501))
+
+
+def test_short_questions_are_found(spark):
+    from quarry.operators.quality import planted_pairs, retrieval_quality
+
+    docs = spark.createDataFrame([(1, "so the five word question here stands"), (2, "nothing like it"), (3, "a-b, c")], "doc_id long, content string")
+    asked = [(1, "five word question here stands"), (2, "like it"), (3, ","), (4, "absent words"), (5, " "), (6, "the five word question here stands")]
+    queries = spark.createDataFrame(asked, "qid long, query string")
+    pairs = planted_pairs(docs, queries)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 1), (2, 2), (3, 3), (6, 1)]
+    hits = spark.createDataFrame([(1, 1, 2)], "qid long, doc_id long, rank int")
+    got = {r.qid: (r.planted, r.found) for r in retrieval_quality(pairs, hits, queries).collect()}
+    assert got[1] == (1, 1) and got[4] == (0, 0) and len(got) == 6
+
+
+def test_ema_over_more_samples_than_any_window(spark):
+    from quarry.operators.telemetry import ema_throughput
+
+    tps = [1.0 + i % 7 for i in range(3000)]
+    df = spark.createDataFrame([("m", float(i // 3), i, x) for i, x in enumerate(tps)], "model string, ts double, seq long, tps double")
+    for alpha in (0.0005, 0.35, 1.0):
+        s = Settings(perf_ema_alpha=alpha)
+        want = s.initial_decode_tps
+        for x in tps:
+            want = alpha * x + (1 - alpha) * want
+        got = ema_throughput(df, s).first()
+        assert got.samples == 3000 and abs(got.tps - want) < 1e-9
+
+
+def test_chunk_index_out_of_range_fails(spark):
+    from quarry.operators.chunking import chunk_index
+
+    df = spark.createDataFrame([(1, 1 << 20)], "d long, n long")
+    with pytest.raises(Exception, match="out of range"):
+        df.select(chunk_index(F.col("d"), F.col("n"))).collect()
