@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import (
-    chat_format, decontaminate, language_id, mixing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, training_order,
+    chat_format, decontaminate, language_id, mixing, oracles, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, training_order,
 )
 from quarry.llm.common import stage, table
 
@@ -59,7 +59,9 @@ def op7_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    return quality_rules.quality_rules(_docs(spark, d).select("doc_id", "text")).select("doc_id", "quality.*")
+    return quality_rules.quality_rules(_docs(spark, d).select("doc_id", "text")).select(
+        "doc_id", "quality.*"
+    ).drop("longest_repeat")
 
 
 def op9_token_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -89,4 +91,4 @@ QUERIES = {
         op9_token_counts, op10_chat_format, pipeline,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_quality_rules": oracles.quality(), "op10_chat_format": oracles.CHAT}
