@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.llm.mixing import JUNK
 from quarry.llm.quality_rules import RepetitionLimits
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -52,3 +53,31 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role||chr(10)||te
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(stop) FILTER (role = 'assistant' OR i = last)::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id"""
+
+
+MIXING = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(t, '{WORDS}'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')||':'||md5(t)) AS tie,
+         0.25::DOUBLE + 0.75::DOUBLE * length(translate(t, '{JUNK}', '')) / greatest(length(t), 1) AS quality FROM d),
+e AS (
+  SELECT *, -ln((('0x'||substr(tie, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / quality AS es FROM k),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight FROM k GROUP BY source),
+r AS (
+  SELECT *, 3 * source_size AS cap,
+         (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0))::DOUBLE
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level FROM s
+  WINDOW before AS (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, cap >= level * weight AS open, max(level) FILTER (cap >= level * weight) OVER () AS top FROM r),
+p AS (SELECT *, CASE WHEN open THEN least(top * weight, cap) ELSE cap END::DOUBLE AS target FROM l),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM p),
+c AS (
+  SELECT e.doc_id, e.source, e.size, q.source_size, q.target, q.epochs, q.target - q.epochs * q.source_size AS rest,
+         coalesce(sum(e.size) OVER (PARTITION BY e.source ORDER BY es, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source),
+t AS (SELECT *, epochs + (rest > 0 AND 2 * before + size <= 2 * rest)::BIGINT AS copies FROM c)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (copies * size)::BIGINT AS taken, source, copies FROM t"""

@@ -91,4 +91,4 @@ QUERIES = {
         op9_token_counts, op10_chat_format, pipeline,
     )
 }
-SQL: dict[str, str] = {"op8_quality_rules": oracles.quality(), "op10_chat_format": oracles.CHAT}
+SQL: dict[str, str] = {"op8_quality_rules": oracles.quality(), "op10_chat_format": oracles.CHAT, "op7_mixing": oracles.MIXING}
