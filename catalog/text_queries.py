@@ -311,7 +311,7 @@ SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM (
     SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,'(?is)<!--.*?-->|<!doctype[^>]*>','','g'),'(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>','','g'),
       '(?i)</?({_tags})(\s[^>]*)?/?>',chr(10),'g'),'</?[a-zA-Z][^>]*>','','g') AS x FROM pages)))""")
 def _(spark, d):
-    t = articles.content_text(F.col("html"), F.lit("html"))
+    t = articles.markup_text(F.col("html"))
     return read(spark, d, "pages").select("page_id", t.alias("t")).select(
         "page_id", L(F.length("t")).alias("n_chars"), F.md5("t").alias("text_md5"))
 

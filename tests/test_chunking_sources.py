@@ -5,7 +5,7 @@ from quarry.operators.chunking import _packs, _tail, chunk_text
 from quarry.operators.passages import windows
 from quarry.settings import Settings
 from quarry.sources.articles import (
-    articles_to_documents, blocks_to_text, markup_to_text, merge_articles, parse_timestamp,
+    articles_to_documents, blocks_text, decoded, markup_text, merge_articles, parse_timestamp,
 )
 
 
@@ -29,16 +29,31 @@ def test_chunks_cover_every_word(parts):
     assert all(len(c) <= 60 + 1 + 20 for c in chunks)
 
 
-def test_html():
-    assert markup_to_text("<p>a</p><script>x</script><p>b&nbsp;c</p>") == "a\n\nb c"
-    assert markup_to_text("<noscript>z</noscript>t<br>u") == "t\nu"
-    assert markup_to_text("t<br/>u") == "t\n\nu"          # a self-closed tag opens and closes
+@pytest.mark.parametrize("markup, text", [
+    ("<p>a</p><script>x</script><p>b&nbsp;c</p>", "a\n\nb c"),
+    ("<noscript>z</noscript>t<br>u", "t\nu"),
+    ("t<br/>u", "t\n\nu"),                                   # a self-closed tag opens and closes
+    ("a<!-- <p>no</p> -->b<style>p{}", "ab"),
+    ('<a title="x > y">link</a> <prefix>t</prefix>', "link t"),
+    ("<P CLASS='q'>one</P >two<b", "one\ntwo"),
+    ("2 < 3 &lt;b&gt; &amp;amp; &copy &#8364; &#x41; &#150; &unknown; &", "2 < 3 <b> & \u00a9 \u20ac A \u2013 &unknown; &"),
+    (None, ""), ("", ""), (" \u00a0\t", ""),
+])
+def test_html(one, markup, text):
+    assert one(lambda c: markup_text(c.cast("string")), markup) == text
 
 
-def test_editor_blocks():
-    raw = '{"blocks":[{"type":"header","data":{"text":"<b>T</b>"}},{"data":{"items":["one","two"]}}]}'
-    assert blocks_to_text(raw) == "header\nT\none\ntwo"
-    assert blocks_to_text("<p>x</p>") == "x"
+@given(st.lists(st.sampled_from(["&", "#", "x", "65", ";", "amp", "lt", "notit", "hellip", " ", "1F600", "not", "eacute"]), max_size=9))
+@settings(max_examples=40, deadline=None)
+def test_references_as_the_standard_library(one, parts):
+    import html
+    assert one(decoded, "".join(parts)) == html.unescape("".join(parts))
+
+
+def test_editor_blocks(one):
+    raw = '{"blocks":[{"type":"header","data":{"text":"<b>T</b>"}},{"data":{"items":["one","two", 3, null, " "]}}]}'
+    assert one(blocks_text, raw) == "header\nT\none\ntwo"
+    assert one(blocks_text, "<p>x</p>") == "x"
 
 
 def test_timestamp(one):
