@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarry.functions.text import root_list
 from quarry.operators.chunking import CHUNKING_VERSION, chunk_documents
 from quarry.operators.profiles import profile_of
+from quarry.session import materialize
 from quarry.settings import Settings
 from quarry.sources.tables import actual_documents
 
@@ -231,17 +232,20 @@ def build_index(
     version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
     path = f"{root}/{version}"
     names = {t: f"quarry_{version.replace('-', '_')}_{t}" for t in TABLES}
-    docs_in = actual_documents(documents)
-    n_docs = docs_in.count()
+    # written once: a source that answers differently the second time cannot mix two states
+    docs_in = materialize(actual_documents(documents), "index-docs")
+    n_docs, n_chars = docs_in.agg(F.count("*"), F.coalesce(F.sum(F.length("content")), F.lit(0))).first()
     buckets = s.index_buckets or max(
-        spark.sparkContext.defaultParallelism, math.ceil(n_docs / s.bucket_target_rows)
+        spark.sparkContext.defaultParallelism, math.ceil(n_chars / s.bucket_target_chars)
     )
 
-    def save(name: str, df: DataFrame) -> DataFrame:
+    def save(name: str, df: DataFrame, placed: bool = False) -> DataFrame:
+        """`placed`: every partition of `df` holds whole buckets already."""
         table = names[name]
         if name in BUCKETED:
+            laid = df if placed else df.repartition(buckets, "idx")
             (
-                df.repartition(buckets, "idx").write.mode("overwrite").format("parquet")
+                laid.write.mode("overwrite").format("parquet")
                 .bucketBy(buckets, "idx").sortBy("idx")
                 .option("path", f"{path}/{name}").saveAsTable(table)
             )
@@ -257,9 +261,14 @@ def build_index(
     if not n_chunks:
         raise ValueError("no chunks left after chunking")
     prof = profile_of(F.col("text"), s.embedding_dimension)
-    profiles = save(
-        "profiles", chunks.select("idx", prof.alias("p")).select("idx", "p.*")
-    )
+    # one task a bucket: the profiles keep the layout of the chunks without an exchange
+    auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(auto)
+    spark.conf.set(auto, "false")
+    try:
+        profiles = save("profiles", chunks.select("idx", prof.alias("p")).select("idx", "p.*"), placed=True)
+    finally:
+        spark.conf.set(auto, before)
     vocab = save("vocab", vocabulary(profiles, n_chunks, s))
     save("norms", chunk_norms(profiles, vocab))
     docs = save("docs", document_dimension(docs_in, chunks))

@@ -13,7 +13,7 @@ from quarry.functions.intents import (
 from quarry.functions.budgets import sigmoid
 from quarry.functions.text import fold, is_number, let, norm, root_list, strip
 from quarry.operators.indexing import Snapshot
-from quarry.operators.scoring import score_topk
+from quarry.operators.scoring import coverage_topk, score_topk
 from quarry.session import materialize, small_side
 from quarry.settings import Settings
 
@@ -78,28 +78,30 @@ def coverage_value(matched: Column, matched_numeric: Column, qn: Column, n_numer
 def lexical_topk(chunks: DataFrame, roots: DataFrame, n_roots: int, k: int, s: Settings) -> DataFrame:
     """(qid, idx, coverage, lex_rank): best root coverage per query.
 
-    Chunks are bucketed by idx, so the group-by on (qkey, idx) runs where the chunk
-    was read and only k rows per query and task are exchanged for the final ranking.
+    A counted block of variants meets the chunks in one pass that keeps a running top k. More
+    variants, or more roots than may be broadcast, are joined by salted root.
     """
-    postings = chunks.select("idx", F.explode(F.array_distinct("roots")).alias("root"))
-    terms = roots.select("qkey", "qid", "qn", "n_numeric", F.explode("qroots").alias("root"))
-    if n_roots <= s.broadcast_rows:
-        hits = postings.join(F.broadcast(terms), "root")
+    n_variants = roots.count()
+    if n_variants <= s.query_block and n_roots <= s.broadcast_rows:
+        names = F.broadcast(roots.select("qkey", "qid"))
+        per_query = coverage_topk(chunks, roots, k, s).join(names, "qkey").select("qid", "idx", "coverage", "qkey")
     else:
         # a common root may sit in a third of all chunks: salt it
         salts = 32
+        postings = chunks.select("idx", F.explode(F.array_distinct("roots")).alias("root"))
+        terms = roots.select("qkey", "qid", "qn", "n_numeric", F.explode("qroots").alias("root"))
         hits = postings.withColumn("salt", F.pmod("idx", F.lit(salts))).join(
             terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["root", "salt"]
         )
-    per_variant = hits.groupBy("qkey", "idx").agg(
-        F.first("qid").alias("qid"),
-        F.count("*").alias("m"),
-        F.sum(is_number(F.col("root")).cast("int")).alias("mn"),
-        F.first("qn").alias("qn"),
-        F.first("n_numeric").alias("nn"),
-    )
-    cov = F.round(coverage_value(F.col("m"), F.col("mn"), F.col("qn"), F.col("nn")), s.score_digits)
-    per_query = per_variant.select("qid", "idx", cov.alias("coverage"), "qkey")
+        per_variant = hits.groupBy("qkey", "idx").agg(
+            F.first("qid").alias("qid"),
+            F.count("*").alias("m"),
+            F.sum(is_number(F.col("root")).cast("int")).alias("mn"),
+            F.first("qn").alias("qn"),
+            F.first("n_numeric").alias("nn"),
+        )
+        cov = F.round(coverage_value(F.col("m"), F.col("mn"), F.col("qn"), F.col("nn")), s.score_digits)
+        per_query = per_variant.select("qid", "idx", cov.alias("coverage"), "qkey")
     # several variants of one query: keep the best value per chunk
     best = per_query.groupBy("qid", "idx").agg(F.max("coverage").alias("coverage"))
     order = Window.partitionBy("qid").orderBy(F.desc("coverage"), "idx")

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarry.operators.indexing import Snapshot, sublinear, term_rows
@@ -131,21 +132,31 @@ def _sparse_scores(batch: pa.RecordBatch, q: QueryBlock, s: Settings) -> np.ndar
 
 
 class TopK:
-    """Running exact top-k per query; order = score desc, idx asc."""
+    """Running exact top-k per query; order = score desc, idx asc. A row that cannot enter is never sorted."""
 
     def __init__(self, k: int, n_queries: int) -> None:
         self.k, self.nq = k, n_queries
         self.q = np.empty(0, np.int64)
         self.idx = np.empty(0, np.int64)
         self.score = np.empty(0)
+        self.last_score = np.full(n_queries, -np.inf)    # the k-th of each query, once it has k
+        self.last_idx = np.full(n_queries, np.iinfo(np.int64).max)
 
     def add(self, idx: np.ndarray, scores: np.ndarray) -> None:
         n = len(idx)
+        by_idx = np.argsort(idx, kind="stable")
+        idx, scores = idx[by_idx], scores[by_idx]
+        enter = (scores > self.last_score) | ((scores == self.last_score) & (idx[:, None] < self.last_idx))
         if n > self.k:
             limit = np.partition(scores, n - self.k, axis=0)[n - self.k]
-            rows, cols = np.nonzero(scores >= limit)
-        else:
-            rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
+            above = scores > limit
+            # of the rows level with the batch's k-th, the first by idx fill what is left
+            level = scores == limit
+            room = self.k - above.sum(axis=0)
+            enter &= above | (level & (np.cumsum(level, axis=0) <= room))
+        rows, cols = np.nonzero(enter)
+        if not len(rows):
+            return
         q = np.concatenate([self.q, cols])
         i = np.concatenate([self.idx, idx[rows]])
         v = np.concatenate([self.score, scores[rows, cols]])
@@ -153,6 +164,8 @@ class TopK:
         q, i, v = q[order], i[order], v[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         keep = rank < self.k
+        full = rank == self.k - 1
+        self.last_score[q[full]], self.last_idx[q[full]] = v[full], i[full]
         self.q, self.idx, self.score = q[keep], i[keep], v[keep]
 
 
@@ -289,41 +302,112 @@ def vector_topk(
 ) -> DataFrame:
     """Dense top-k over precomputed vectors: corpus(idx, vector), queries(qkey, vector).
 
-    The query block is counted before it is collected; a larger set is scored block by
-    block, each block again bounded by `query_block`.
+    Up to `query_block` counted queries are broadcast and the corpus is scanned in place. More are
+    cut into hash blocks and meet hash cells of the corpus on a grid, each pair of a block and a
+    cell in one task; no query vector passes through the driver and a task emits its top k only.
     """
     spark = corpus.sparkSession
     ship_package(spark)
-    n_blocks = max(1, -(-n_queries // s.query_block))
-
-    def one(block: int) -> DataFrame:
-        part = queries
-        if n_blocks > 1:
-            part = queries.filter(F.pmod(F.xxhash64("qkey"), F.lit(n_blocks)) == block)
-        pdf = part.toPandas()
-        keys = pdf["qkey"].to_numpy(np.int64)
+    columns = "qkey long, idx long, score double"
+
+    def matrix(vectors: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+        return vectors.flatten().to_numpy().astype(float).reshape(n, -1)
+
+    def found(keys: np.ndarray, top: TopK) -> pa.Table:
+        return pa.table({
+            "qkey": pa.array(keys[top.q], pa.int64()), "idx": pa.array(top.idx, pa.int64()),
+            "score": pa.array(top.score, pa.float64()),
+        })
+
+    def against(keys: np.ndarray, m: np.ndarray, batches: Iterator[pa.RecordBatch]) -> pa.Table:
+        top = TopK(k, len(keys))
+        for b in batches:
+            if b.num_rows and len(keys):
+                v = matrix(b.column("vector"), b.num_rows)
+                top.add(b.column("idx").to_numpy(), np.round(v @ m.T, s.score_digits))
+        return found(keys, top)
+
+    if n_queries <= s.query_block:
+        pdf = queries.limit(s.query_block).toPandas()
         mat = np.stack(pdf["vector"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((keys, mat))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qk, m = shared.value
-            top = TopK(k, len(qk))
-            for b in batches:
-                if b.num_rows and len(qk):
-                    v = b.column("vector").flatten().to_numpy().astype(float).reshape(b.num_rows, -1)
-                    top.add(b.column("idx").to_numpy(), np.round(v @ m.T, s.score_digits))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "qkey": pa.array(qk[top.q], pa.int64()),
-                    "idx": pa.array(top.idx, pa.int64()),
-                    "score": pa.array(top.score, pa.float64()),
-                }
-            )
+        shared = spark.sparkContext.broadcast((pdf["qkey"].to_numpy(np.int64), mat))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from against(*shared.value, batches).to_batches()
+
+        scored = corpus.mapInArrow(scan, columns)
+    else:
+        n_blocks, n_cells = -(-n_queries // s.query_block), max(1, -(-corpus.count() // CELL_ROWS))
+        left = queries.select(
+            "qkey", "vector", F.pmod(F.xxhash64("qkey"), F.lit(n_blocks)).alias("block"),
+            F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).alias("cell"),
+        )
+        right = corpus.select(
+            "idx", "vector", F.pmod(F.xxhash64("idx"), F.lit(n_cells)).alias("cell"),
+            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
+        )
 
-        return corpus.mapInArrow(run, "qkey long, idx long, score double")
+        def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            if not asked.num_rows or not rows.num_rows:
+                return found(np.empty(0, np.int64), TopK(k, 0))
+            return against(
+                asked["qkey"].to_numpy(), matrix(asked["vector"].combine_chunks(), asked.num_rows),
+                rows.combine_chunks().to_batches(1024),
+            )
 
-    scored = one(0)
-    for b in range(1, n_blocks):
-        scored = scored.unionByName(one(b))
+        scored = left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInArrow(meet, columns)
     order = Window.partitionBy("qkey").orderBy(F.desc("score"), "idx")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def coverage_topk(
+    chunks: DataFrame, roots: DataFrame, k: int, s: Settings
+) -> DataFrame:
+    """(qkey, idx, coverage): each variant's best root coverage, in one pass over chunks(idx, roots).
+
+    `roots(qkey, qroots, qn, n_numeric)` holds at most `query_block` variants and `broadcast_rows`
+    roots, counted by the caller; no (variant, chunk) pair leaves the task, only its running top k."""
+    spark = chunks.sparkSession
+    ship_package(spark)
+    asked = roots.select("qkey", "qroots", "qn", "n_numeric").toPandas()
+    names = sorted({r for rs in asked["qroots"] for r in rs})
+    shared = spark.sparkContext.broadcast((
+        asked["qkey"].to_numpy(np.int64), [list(rs) for rs in asked["qroots"]],
+        asked["qn"].to_numpy(float), asked["n_numeric"].to_numpy(float), names,
+    ))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, qroots, qn, nn, vocab = shared.value
+        top = TopK(k, len(keys))
+        known = pa.array(vocab, pa.string())
+        digits = np.array([r.isdecimal() and r.isascii() for r in vocab], dtype=bool)
+        # the postings of the questions: which variants ask for a root
+        at = {r: i for i, r in enumerate(vocab)}
+        pairs = np.array([(at[r], j) for j, rs in enumerate(qroots) for r in rs], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        first = np.searchsorted(pairs[:, 0], np.arange(len(vocab) + 1))
+        for batch in batches:
+            if not batch.num_rows or not len(vocab):
+                continue
+            n, nq = batch.num_rows, len(keys)
+            col = batch.column("roots")
+            term = pc.index_in(col.flatten(), value_set=known)
+            rows = pc.list_parent_indices(col).to_numpy()
+            hit = term.is_valid().to_numpy(zero_copy_only=False)
+            cells = np.unique(rows[hit].astype(np.int64) * len(vocab) + pc.drop_null(term).to_numpy().astype(np.int64))
+            row, t = np.divmod(cells, len(vocab))
+            much = first[t + 1] - first[t]
+            place = np.repeat(first[t] - np.concatenate([[0], np.cumsum(much)[:-1]]).astype(np.int64), much) + np.arange(much.sum())
+            cell = np.repeat(row, much) * nq + pairs[place, 1]
+            matched = np.bincount(cell, minlength=n * nq).reshape(n, nq)
+            numeric = np.bincount(cell, np.repeat(digits[t], much), minlength=n * nq).reshape(n, nq)
+            plain = matched / np.maximum(qn, 1.0)
+            cover = np.where((nn > 0) & (numeric == nn), np.minimum(1.15, plain + 0.12), plain)
+            top.add(batch.column("idx").to_numpy(), np.where(matched > 0, np.round(cover, s.score_digits), -1.0))
+        keep = top.score > 0
+        yield pa.RecordBatch.from_pydict({
+            "qkey": pa.array(keys[top.q[keep]], pa.int64()), "idx": pa.array(top.idx[keep], pa.int64()),
+            "coverage": pa.array(top.score[keep], pa.float64()),
+        })
+
+    return chunks.select("idx", "roots").mapInArrow(run, "qkey long, idx long, coverage double")

@@ -115,7 +115,7 @@ class Settings:
     broadcast_rows: int = 500_000
     query_block: int = 512
     index_buckets: int = 0          # 0 = derive from the corpus size
-    bucket_target_rows: int = 200_000
+    bucket_target_chars: int = 64_000_000
     score_digits: int = 6
 
     def __post_init__(self) -> None:
