@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import SETTINGS as S, question_lists, snapshot, _once
 from catalog.retrieval_queries import block
 from catalog.sql import any_in, fold, inter, norm, ordered_distinct, q, root_list, root_set, sentences, sql, squash, unicode_word, words
-from catalog.text_queries import L, TURNS, mask, runs
+from catalog.text_queries import L, TURNS, filled, mask, runs
 from quarry.operators import answers, context, guards
 from quarry.operators.contracts import check_answer, check_fast, check_grade
 from quarry.rules import russian as ru
@@ -297,18 +297,50 @@ def _(spark, d):
 _sp = f"list_filter({root_list('query', ru.PLANNER_STOP)}, lambda t: NOT list_contains({words(ru.GENERIC_ROOTS)},t))"
 
 
+#: Questions and replies derived from the turns so that every issue meets rows with and without it.
+_q_made, _q_col = filled(
+    ("{q}", "Кто отвечает: {q}", "Кто входит в состав комиссии {q}", "Как согласовать {q}", "Кому сообщить {q}", "Что такое СОУТ",
+     "Какой срок {q}", "Что делать: {q}", "Выдача СИЗ", "Что такое {q}"), "(conv_id*7+turn)%10", "query")
+_a_made, _a_col = filled(
+    ("{q}", "{q} Ответственный руководитель входит, это согласовано и сообщено в течение 5 дней, необходимо.",
+     "[ЧЕЛОВЕК_1] Специальная оценка условий труда, средства индивидуальной защиты. {q}"), "conv_id%3", "answer")
+_w = r"[\p{L}\p{N}_]"
+_known = [f"list_distinct({root_list(q(meaning), [])})" for _, meaning in ru.ACRONYM_MEANINGS]
+_answered = (
+    rf"(?:ответствен{_w}*|руководител{_w}*|представител{_w}*|работник{_w}*|комисси{_w}*|служб{_w}*|организаци{_w}*|лиц{_w}*|"
+    rf"директор{_w}*|специалист{_w}*|диспетчер{_w}*|подрядчик{_w}*)"
+)
+_members = rf"(?:входит{_w}*|состо{_w}*|член{_w}*|председател{_w}*|заместител{_w}*|секретар{_w}*)"
+_relevance = ",".join(f"CASE WHEN {rule} THEN 'answer_misses_{name}' END" for name, rule in (
+    ("query_object", f"len(sp)>0 AND {inter('sp', 'ar')}=0 AND NOT (CASE WHEN {unicode_word('n', 'соут')} THEN {inter(_known[0], 'ar')}>0 "
+                     f"WHEN {unicode_word('n', 'сиз')} THEN {inter(_known[1], 'ar')}>0 ELSE false END)"),
+    ("who_intent", f"({unicode_word('n', 'кто|кому|кем')} OR contains(n,'ответствен')) AND NOT {unicode_word('a', _answered)}"),
+    ("membership_intent", f"{_member.replace('qn', 'n')} AND NOT {unicode_word('a', _members)}"),
+    ("agreement_action", "contains(n,'соглас') AND NOT contains(a,'соглас')"),
+    ("notification_action", "contains(n,'сообщ') AND NOT contains(a,'сообщ')"),
+    ("definition_intent", f"{any_in('n', ru.GUARD_DEFINITION_QUERY)} AND NOT ({unicode_word('a', 'это')} OR "
+                          f"{any_in('a', ('представляет собой', 'определяется как', 'понимается как'))} OR "
+                          f"(contains(n,'соут') AND {inter(_known[0], 'ar')}=len({_known[0]})))"),
+    ("time_intent", f"{any_in('n', ru.TIME_QUERY)} AND NOT ({unicode_word('a', '[0-9]+')} OR {any_in('a', ru.TIME_ANSWER)})"),
+    ("procedure_intent", f"{any_in('n', ru.GUARD_PROCEDURE_QUERY)} AND NOT {any_in('a', ru.PROCEDURE_ANSWER)}"),
+))
+
+
 @query("relevance_issues", f"""
-SELECT conv_id*1000+turn AS qid, CASE WHEN len({_sp})>0 AND len(list_intersect({_sp},{root_set('answer')}))=0 THEN 'answer_misses_query_object' ELSE '' END AS issues
-FROM (SELECT conv_id, turn, role, text AS query, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
-WHERE role='user' AND answer IS NOT NULL""")
+SELECT qid, array_to_string(list_filter([{_relevance}], lambda x: x IS NOT NULL),',') AS issues FROM (
+  SELECT qid, {norm('query')} AS n, a, {_sp} AS sp, {root_set('a')} AS ar FROM (
+    SELECT qid, query, regexp_replace({fold('answer')},{q('(?i)' + ru.PLACEHOLDER_PATTERN)},' ','g') AS a FROM (
+      SELECT conv_id*1000+turn AS qid, {_q_made} AS query, {_a_made} AS answer FROM (
+        SELECT conv_id, turn, role, text AS query, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
+      WHERE role='user' AND answer IS NOT NULL)))""")
 def _(spark, d):
     from pyspark.sql import Window
     c = read(spark, d, "conversations").select(
         "conv_id", "turn", "role", F.col("text").alias("query"),
         F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("answer"))
-    return c.filter("role = 'user' AND answer IS NOT NULL").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
-        F.array_join(guards.relevance_issues(F.col("query"), F.col("answer")), ",").alias("issues"))
+    made = c.filter("role = 'user' AND answer IS NOT NULL").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), _q_col().alias("query"), _a_col().alias("answer"))
+    return made.select("qid", F.array_join(guards.relevance_issues(F.col("query"), F.col("answer")), ",").alias("issues"))
 
 
 @query("resolved_sources", sql("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import SETTINGS as S, snapshot
 from catalog.sql import (
     any_in, fold, isnum, keep, norm, ordered_distinct, q, root_list, root_set, sentences, sql, squash, term_id,
-    tokens, words,
+    tokens, unicode_word, words,
 )
 from quarry.functions import text as T
 from quarry.functions.budgets import output_token_budget, prompt_token_budget, server_predict_budget, sigmoid
@@ -46,6 +46,34 @@ def sjoined(c: str, sort: bool = True) -> str:
     return f"md5(array_to_string({'list_sort(' + c + ')' if sort else c},','))"
 
 
+#: Questions derived from the user turns so that every gate and rewriting rule meets rows.
+ASKED = (
+    "{q}", "Привет!", "Как ты?", "Здравствуйте, как дела?", "Хорошо, спасибо!", "до свидания", "Что ты умеешь?", "помоги",
+    "Какая погода: {q}", "Курс доллара, {q}", "Рецепт {q}", "Результат матча {q}", "Кто президент {q}",
+    "Сколько будет 7 и 8 {q}", "{q} 7 * 8", "Как это оформить?", "Какой срок?", "Подскажите, пожалуйста, {q}",
+    "Как выписать наряд на опасные работы {q}", "Наряд допуск на опасные работы", "Наряд  допуск и опасная работа: {q}",
+    "Что нужно делать если увидел дым", "Возгорание {q}", "Возгорание и пожар",
+)
+
+
+def filled(templates, pick: str, text: str = "text") -> tuple[str, object]:
+    """`text` put into the template that `pick` numbers: as SQL and as a function that makes the column."""
+    def column():
+        template = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.expr(pick) + 1).cast("int"))
+        return F.replace(template, F.lit("{q}"), F.col(text))
+
+    return f"replace([{','.join(q(t) for t in templates)}][({pick})+1],'{{q}}',{text})", column
+
+
+_asked, _asked_col = filled(ASKED, f"(conv_id*7+turn)%{len(ASKED)}")
+ASKED_TURNS = f"(SELECT conv_id*1000+turn AS qid, {_asked} AS query FROM conversations WHERE role='user')"
+
+
+def asked_turns(spark, d):
+    turns = read(spark, d, "conversations").filter("role = 'user'")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), _asked_col().alias("query"))
+
+
 TURNS = "(SELECT conv_id*1000+turn AS qid, text AS query FROM conversations WHERE role='user')"
 
 
@@ -186,14 +214,27 @@ def _(spark, d):
 
 
 _polite = "(?i)" + ru.POLITE_PREFIX
+_n, _w = r"[^\p{L}\p{N}_]", r"[\p{L}\p{N}_]"
+
+
+def edged(x: str, pattern: str, to: str, every: str = "'g'") -> str:
+    """Replace whole words, Unicode word edges spelled out for RE2."""
+    return f"regexp_replace({x},'(?i)(^|{_n})(?:{pattern})($|{_n})','\\1{to}\\2'{',' + every if every else ''})"
 
 
-@query("normalized_queries", f"""
-SELECT qid, CASE WHEN n='' THEN s ELSE n END AS normalized FROM (
-  SELECT qid, s, trim(regexp_replace(s, {q(_polite)}, ''), ' ,') AS n
-  FROM (SELECT qid, {squash('query')} AS s FROM {TURNS}))""")
+@query("normalized_queries", rf"""
+SELECT qid, CASE WHEN {unicode_word(fold('d'), 'огонь|огня|дым|дыма')} AND regexp_matches({fold('d')},{q(ru.FIRE_ACTION)}) THEN {q(ru.FIRE_QUERY)}
+    WHEN {unicode_word(fold('d'), 'возгоран' + _w + '*')} AND NOT ends_with({fold('d')},' пожар') THEN d||' пожар' ELSE d END AS normalized FROM (
+  SELECT qid, CASE WHEN contains(lower(v),'наряд-допуск')
+      THEN {edged('v', f'опасн{_w}*[ ]+работ{_w}*|работ{_w}*[ ]+опасн{_w}*', ru.DANGEROUS_WORK_CANONICAL)} ELSE v END AS d FROM (
+  SELECT qid, {edged('w', 'выпис(?:ать|ывают|ывается)', ru.ISSUE_VERB_CANONICAL)} AS v FROM (
+  SELECT qid, CASE WHEN NOT contains(lower(p),'наряд-допуск') AND regexp_matches(p,'(?i)(^|{_n})наряд({_n}|{_n}.*{_n})(?:опасн|повышенн)')
+      THEN {edged('p', 'наряд', ru.WORK_PERMIT, '')} ELSE p END AS w FROM (
+  SELECT qid, {edged("(CASE WHEN n='' THEN s ELSE n END)", 'наряд[ ]+допуск', ru.WORK_PERMIT)} AS p FROM (
+    SELECT qid, s, trim(regexp_replace(s, {q(_polite)}, ''), ' ,') AS n
+    FROM (SELECT qid, {squash('query')} AS s FROM {ASKED_TURNS}))))))""")
 def _(spark, d):
-    return queries_from_conversations(spark, d).select("qid", T.normalize_query(F.col("query")).alias("normalized"))
+    return asked_turns(spark, d).select("qid", T.normalize_query(F.col("query")).alias("normalized"))
 
 
 @query("cache_keys", rf"""
@@ -345,16 +386,23 @@ def _(spark, d):
         "event_id", F.date_format(articles.parse_timestamp(raw), "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
-@query("request_limits", """
-SELECT conv_id*1000+turn AS qid, greatest(1,least(CASE WHEN turn=0 THEN 5 ELSE turn END,5))::BIGINT AS top_k,
-  CASE WHEN trim(text)='' THEN 'query must not be empty' WHEN length(trim(text))>16000 THEN 'query must not exceed 16000 characters' END AS error
-FROM conversations""")
+_request, _request_col = filled(("{q}", " \t ", "{q}" + "x" * 16_001, "{q}", " {q} "), "(conv_id*7+turn)%5")
+_trace = "CASE WHEN (conv_id*7+turn)%5=3 THEN repeat('я',65+turn) ELSE 't' END"
+
+
+@query("request_limits", f"""
+SELECT qid, greatest(1,least(CASE WHEN k=0 THEN 5 ELSE k END,5))::BIGINT AS top_k, greatest(0,section)::BIGINT AS section_id,
+  CASE WHEN r='' THEN 'query must not be empty' WHEN length(r)>16000 THEN 'query must not exceed 16000 characters'
+       WHEN strlen(trace)>128 THEN 'trace_id must not exceed 128 bytes' END AS error FROM (
+  SELECT conv_id*1000+turn AS qid, turn*3-2 AS k, conv_id%7-3 AS section, {_trace} AS trace,
+    trim({_request},' '||chr(9)||chr(10)||chr(13)) AS r FROM conversations)""")
 def _(spark, d):
     from quarry.plans.service import validate_requests
     req = read(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"),
-        F.col("turn").cast("int").alias("top_k"), F.lit(0).alias("section_id"), F.lit("t").alias("trace_id"))
-    return validate_requests(req, S).select("qid", L(F.col("top_k")).alias("top_k"), "error")
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), _request_col().alias("query"),
+        (F.col("turn") * 3 - 2).cast("int").alias("top_k"), (F.col("conv_id") % 7 - 3).cast("int").alias("section_id"),
+        F.expr(_trace).alias("trace_id"))
+    return validate_requests(req, S).select("qid", L(F.col("top_k")).alias("top_k"), L(F.col("section_id")).alias("section_id"), "error")
 
 
 # --- chunking ----------------------------------------------------------------------------
@@ -450,16 +498,27 @@ def _(spark, d):
 
 # --- query gates and profiles ------------------------------------------------------------------
 
-_ext = "CASE WHEN regexp_matches(query,'[0-9]\\s*[+*/=]\\s*[0-9]') THEN 'external_arithmetic' END"
 _spec = f"list_filter(c, lambda t: NOT list_contains({words(ru.GENERIC_ROOTS)},t))"
 
 
+_direct = " ".join(f"WHEN regexp_full_match({squash('query')},{q('(?i)' + p)}) THEN {q(reason)}" for p, _, reason in ru.DIRECT_PATTERNS)
+_outside = " ".join(f"WHEN {rule} THEN '{reason}'" for rule, reason in (
+    (unicode_word("query", rf"(?i:погода|прогноз\s+погоды|температур{_w}*\s+(?:на\s+улице|снаружи))"), "external_weather"),
+    (unicode_word("query", rf"(?i:курс\s+(?:доллар{_w}*|евро|валют{_w}*))"), "external_currency"),
+    (unicode_word("query", r"(?i:рецепт|приготовить|как\s+готовить)"), "external_recipe"),
+    (unicode_word("query", r"(?i:матч|счет\s+матча|результат\s+матча)"), "external_sports"),
+    (rf"regexp_matches(query,'(?i)(^|{_n})(?:кто\s+президент|президент\s+[а-яa-z])')", "external_current_affairs"),
+    (rf"regexp_matches(query,'(?i)(^|{_n})сколько\s+будет{_n}.*[0-9]|[0-9]\s*[+*/=]\s*[0-9]')", "external_arithmetic"),
+))
+
+
 @query("query_gates", f"""
-SELECT qid, NULL::VARCHAR AS gate_direct, {_ext} AS gate_external,
-  CASE WHEN len(c)>0 AND len({_spec})=0 AND len({tokens('query')})<=7 THEN {q(ru.MSG_CLARIFY_GENERIC)} END AS gate_clarify
-FROM (SELECT qid, query, {ordered_distinct('r')} AS c FROM (SELECT qid, query, {_cr} AS r FROM {TURNS}))""")
+SELECT qid, CASE {_direct} END AS gate_direct, CASE {_outside} END AS gate_external,
+  CASE WHEN {unicode_word(norm('query'), 'их|это|эти|этого|такое|такие|ему|ей|им')} AND len({_spec})=0 THEN {q(ru.MSG_CLARIFY_ANAPHORA)}
+       WHEN len(c)>0 AND len({_spec})=0 AND len({tokens('query')})<=7 THEN {q(ru.MSG_CLARIFY_GENERIC)} END AS gate_clarify
+FROM (SELECT qid, query, {ordered_distinct('r')} AS c FROM (SELECT qid, query, {_cr} AS r FROM {ASKED_TURNS}))""")
 def _(spark, d):
-    return query_gates(queries_from_conversations(spark, d), S).select("qid", "gate_direct", "gate_external", "gate_clarify")
+    return query_gates(asked_turns(spark, d), S).select("qid", "gate_direct", "gate_external", "gate_clarify")
 
 
 @query("answer_profiles", f"""
