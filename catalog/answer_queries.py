@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.common import SETTINGS as S, question_lists, snapshot, _once
+from catalog.common import SETTINGS as S, hits, question_lists, snapshot, _once
 from catalog.retrieval_queries import block
 from catalog.sql import any_in, fold, inter, norm, ordered_distinct, q, root_list, root_set, sentences, sql, squash, unicode_word, words
-from catalog.text_queries import L, TURNS, filled, mask, runs
+from catalog.text_queries import L, SQL as TEXT_SQL, TURNS, filled, mask, runs, window_sql
 from quarry.operators import answers, context, guards
 from quarry.operators.contracts import check_answer, check_fast, check_grade
+from quarry.operators.passages import select_passages
+from quarry.operators.retrieval import cross_encode
 from quarry.rules import russian as ru
 from quarry.session import materialize
 from quarry.sources.tables import queries_from_benchmark, read
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+SQL_CACHE_KEYS = TEXT_SQL["cache_keys"]
 
 
 def query(name: str, oracle: str | None = None):
@@ -238,17 +241,27 @@ def _(spark, d):
 _cited = r"list_transform(regexp_extract_all(answer,'\[\s*[SsСс]\s*(\d+)\s*\]',1), lambda x: 'S'||x)"
 
 
+_made = "CASE qid%5 WHEN 0 THEN ' ' WHEN 1 THEN 'No marker here.' WHEN 2 THEN answer||' [S9]' WHEN 3 THEN answer||' see https://x.y' ELSE answer END"
+_fault = lambda rule, message: f"CASE WHEN {rule} THEN {message} END"
+_alien = lambda xs: f"list_sort(list_filter({xs}, lambda x: NOT list_contains(al,x)))"
+_quoted = lambda xs: f"'['||array_to_string(list_transform({xs}, lambda x: chr(39)||x||chr(39)),', ')||']'"
+
+
 @query("format_issues", sql(f"""
-SELECT a.qid, array_to_string(list_filter([
-    CASE WHEN len(list_filter(list_distinct({_cited}), lambda x: NOT list_contains(al,x)))>0 THEN {q(ru.ISSUE_UNKNOWN_CITED)}||'['||array_to_string(list_transform(list_sort(list_filter(list_distinct({_cited}), lambda x: NOT list_contains(al,x))), lambda x: ''''||x||''''),', ')||']' END,
-    CASE WHEN NOT (len(list_intersect(list_distinct({_cited}),ids))=len(list_distinct({_cited})) AND len(list_distinct({_cited}))=len(ids)) THEN {q(ru.ISSUE_MISMATCH)} END,
-    CASE WHEN regexp_matches(answer,'(?i)https?://[^\\s]+') THEN {q(ru.ISSUE_URL)} END], lambda x: x IS NOT NULL),'|') AS issues
-FROM (SELECT qid, answer||CASE WHEN qid%2=0 THEN ' [S9]' ELSE ' see https://x.y' END AS answer, ids FROM asids) a
-JOIN (SELECT qid, list(source_id) AS al FROM ctx GROUP BY 1) c ON c.qid=a.qid""", "asids", "ctx"))
+SELECT qid, array_to_string(list_filter([{",".join((
+    _fault("trim(answer)=''", q(ru.ISSUE_EMPTY)),
+    _fault(f"len({_alien('cited')})>0", q(ru.ISSUE_UNKNOWN_CITED) + "||" + _quoted(_alien("cited"))),
+    _fault(f"len({_alien('declared')})>0", q(ru.ISSUE_UNKNOWN_DECLARED) + "||" + _quoted(_alien("declared"))),
+    _fault("len(cited)=0", q(ru.ISSUE_NO_CITATIONS)),
+    _fault("NOT (len(list_intersect(cited,declared))=len(cited) AND len(cited)=len(declared))", q(ru.ISSUE_MISMATCH)),
+    _fault("regexp_matches(answer,'(?i)https?://[^\\s]+')", q(ru.ISSUE_URL))))}], lambda x: x IS NOT NULL),'|') AS issues
+FROM (SELECT qid, answer, declared, al, list_distinct({_cited}) AS cited FROM (
+  SELECT a.qid, {_made.replace('qid', 'a.qid')} AS answer, CASE WHEN a.qid%3=0 THEN list_append(ids,'S8') ELSE ids END AS declared, al
+  FROM asids a JOIN (SELECT qid, list(source_id) AS al FROM ctx GROUP BY 1) c ON c.qid=a.qid))""", "asids", "ctx"))
 def _(spark, d):
     e = extracted(spark, d).filter("answer <> ''")
-    bad = F.concat("answer", F.when(F.col("qid") % 2 == 0, " [S9]").otherwise(" see https://x.y"))
-    issues = guards.format_issues(bad, F.col("used_source_ids"), F.lit(False), guards.allowed_ids(F.col("context")))
+    declared = F.when(F.col("qid") % 3 == 0, F.array_append("used_source_ids", F.lit("S8"))).otherwise(F.col("used_source_ids"))
+    issues = guards.format_issues(F.expr(_made), declared, F.lit(False), guards.allowed_ids(F.col("context")))
     return e.select("qid", F.array_join(issues, "|").alias("issues"))
 
 
@@ -383,14 +396,154 @@ def _(spark, d):
     return e.select("qid", n.alias("n")).select("qid", "n.answer", F.array_join("n.used_source_ids", ",").alias("ids"))
 
 
-@query("answer_contracts", """
-SELECT doc_id, CASE WHEN trim(text)='' THEN 'empty answer' WHEN doc_id%3=0 AND doc_id%2=0 THEN 'sources with insufficient context'
-  WHEN doc_id%3=0 AND regexp_matches(text,'\\[\\s*[SsСс]\\s*\\d+\\s*\\]') THEN 'markers with insufficient context'
-  WHEN doc_id%3<>0 AND doc_id%2<>0 THEN 'no sources' END AS violation FROM documents""")
+_text_made, _text_col = filled(("{q}", " ", "{q} [S1]", "{q}"), "doc_id%4")
+_ids_made = "CASE doc_id%5 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
+_ids_sql = _ids_made.format("[]::VARCHAR[]", "['S1']", "['S9']", "['S2','S3']")
+_ids_col = _ids_made.format("cast(array() as array<string>)", "array('S1')", "array('S9')", "array('S2','S3')")
+_known_ids = f"len(list_filter(ids, lambda x: NOT list_contains({words(('S1', 'S2', 'S3', 'S4', 'S5'))},x)))=0"
+
+
+@query("answer_contracts", rf"""
+SELECT doc_id, CASE WHEN trim(x)='' THEN 'empty answer' WHEN ins AND len(ids)>0 THEN 'sources with insufficient context'
+  WHEN ins AND regexp_matches(x,'\[\s*[SsСс]\s*\d+\s*\]') THEN 'markers with insufficient context'
+  WHEN NOT ins AND len(ids)=0 THEN 'no sources' WHEN NOT {_known_ids} THEN 'unknown source id' END AS violation
+FROM (SELECT doc_id, {_text_made} AS x, {_ids_sql} AS ids, doc_id%3=0 AS ins FROM documents)""")
+def _(spark, d):
+    return read(spark, d, "documents").select(
+        "doc_id", check_answer(_text_col(), F.expr(_ids_col), F.col("doc_id") % 3 == 0).alias("violation"))
+
+
+_fast = "CASE doc_id%7 WHEN 0 THEN 'later' WHEN 1 THEN 'answer' WHEN 2 THEN 'answer' WHEN 3 THEN 'answer' ELSE 'corrective' END"
+_again = "CASE doc_id%4 WHEN 0 THEN {0}('again ',' ') WHEN 1 THEN {0}('') ELSE {1} END"
+
+
+@query("fast_contracts", f"""
+SELECT doc_id, CASE WHEN decision NOT IN ('answer','corrective') THEN 'unknown decision' WHEN NOT {_known_ids} THEN 'unknown source id'
+  WHEN decision='answer' AND trim(x)='' THEN 'answer without text' WHEN decision='answer' AND len(ids)=0 THEN 'answer without sources'
+  WHEN decision='answer' AND rw>0 THEN 'answer with rewrites'
+  WHEN decision='corrective' AND (trim(x)<>'' OR len(ids)>0) THEN 'corrective with an answer'
+  WHEN decision='corrective' AND rw=0 THEN 'corrective without rewrites' END AS violation
+FROM (SELECT doc_id, {_fast} AS decision, {_text_made.replace('doc_id%4', '(doc_id//3)%4')} AS x, {_ids_sql} AS ids,
+  CASE WHEN doc_id%4=0 THEN 1 ELSE 0 END AS rw FROM documents)""")
 def _(spark, d):
-    ids = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("S1"))).otherwise(F.array().cast("array<string>"))
+    text = filled(("{q}", " ", "{q} [S1]", "{q}"), "(doc_id div 3)%4")[1]()
+    none = "cast(array() as array<string>)"
+    reply = F.struct(
+        F.expr(_fast).alias("decision"), text.alias("answer"), F.expr(_ids_col).alias("used_source_ids"),
+        F.expr(_again.format("array", none)).alias("rewritten_queries"), F.lit("").alias("reason"))
+    return read(spark, d, "documents").select("doc_id", check_fast(reply).alias("violation"))
+
+
+@query("grade_contracts", f"""
+SELECT doc_id, CASE WHEN decision='unsure' THEN 'unknown decision' WHEN len(list_filter(ids, lambda x: x NOT IN ('S1','S2')))>0 THEN 'unknown source id'
+  WHEN decision='sufficient' AND len(ids)=0 THEN 'sufficient without sources' END AS violation
+FROM (SELECT doc_id, ['sufficient','partial','insufficient','unsure'][doc_id%4+1] AS decision, {_ids_sql} AS ids FROM documents)""")
+def _(spark, d):
+    reply = F.struct(
+        F.expr("element_at(array('sufficient','partial','insufficient','unsure'), cast(doc_id%4+1 as int))").alias("decision"),
+        F.expr(_ids_col).alias("relevant_source_ids"))
     return read(spark, d, "documents").select(
-        "doc_id", check_answer(F.col("text"), ids, F.col("doc_id") % 3 == 0).alias("violation"))
+        "doc_id", check_grade(reply, F.array(F.lit("S1"), F.lit("S2"))).alias("violation"))
+
+
+# --- operators of the answering plans, one by one -----------------------------------------------
+
+
+@query("naive_context", sql("""
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS pos, idx FROM hits10 WHERE trim(text)<>'' AND rank<=5""", "hits10"))
+def _(spark, d):
+    hits = question_lists(spark, d).filter("hits IS NOT NULL")
+    picked = context.select_naive(F.col("hits"), F.lit(S.naive_context_top_k))
+    return hits.select("qid", F.posexplode(picked).alias("p", "h")).select("qid", L(F.col("p") + 1).alias("pos"), "h.idx")
+
+
+@query("best_passages", sql(f"""
+SELECT qid, rank, w_start AS passage_start, w_end AS passage_end, length(p)::BIGINT AS selected_text_chars, score AS passage_score, md5(p) AS text_md5 FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid, rank ORDER BY score DESC, k) AS best FROM (
+    SELECT w.*, {inter('f.qr', root_set('p'))}::DOUBLE AS score FROM (
+      {window_sql('qid, rank', squash('text'), 'hits10')}) w JOIN qfeat f ON f.qid=w.qid)) WHERE best=1""", "hits10", "qfeat"))
+def _(spark, d):
+    shared = lambda query, passage: F.size(F.array_intersect(context.root_set(query), context.root_set(passage))).cast("double")
+    asked = queries_from_benchmark(spark, d).select("qid", "query")
+    rows = hits(spark, d, 10).select("qid", "rank", "text").join(asked, "qid")
+    best = select_passages(rows, shared, S.passage_window_chars, S.passage_overlap_chars)
+    return best.select(
+        "qid", L(F.col("rank")).alias("rank"), L(F.col("passage_start")).alias("passage_start"), L(F.col("passage_end")).alias("passage_end"),
+        L(F.col("selected_text_chars")).alias("selected_text_chars"), "passage_score", F.md5("text").alias("text_md5"))
+
+
+@query("blended_scores", sql("""
+SELECT qid, idx, (length(text)%9-4)::DOUBLE AS rerank_raw_score,
+  round(0.72/(1+exp(-(length(text)%9-4)))+0.28*least(1.0,score),6) AS score FROM hits10""", "hits10"))
+def _(spark, d):
+    scorer = (F.length("text") % 9 - 4).cast("double")
+    blended = cross_encode(hits(spark, d, 10).withColumn("base_score", F.col("score")), scorer)
+    return blended.select("qid", "idx", "rerank_raw_score", F.round("score", 6).alias("score"))
+
+
+@query("answer_cache", f"""
+SELECT a.qid, a.cache_key, c.answer FROM ({SQL_CACHE_KEYS}) a JOIN (
+  SELECT * FROM (SELECT cache_key, max(qid) AS used, md5(min(query)) AS answer FROM (
+    SELECT k.qid, k.cache_key, t.query FROM ({SQL_CACHE_KEYS}) k JOIN {TURNS} t ON t.qid=k.qid) WHERE qid%2=0 GROUP BY 1)
+  ORDER BY used DESC, cache_key LIMIT {S.answer_cache_size}) c ON c.cache_key=a.cache_key""")
+def _(spark, d):
+    from quarry.functions.text import cache_key
+    from quarry.plans.latency import cached_answers, evict
+    from quarry.sources.tables import queries_from_conversations
+
+    asked = queries_from_conversations(spark, d)
+    written = asked.filter("qid % 2 = 0").withColumn("cache_key", cache_key(F.col("query")))
+    cache = written.groupBy("cache_key", "top_k", "section_id").agg(
+        F.max("qid").alias("used_at"), F.md5(F.min("query")).alias("answer"))
+    return cached_answers(asked, evict(cache, S)).select("qid", "cache_key", "answer")
+
+
+_s_made, _s_col = filled(
+    ("{q}", "Председатель комиссии и секретарь входят в состав. {q}", "Руководитель и работники проводят проверку не реже одного раза. {q}",
+     "Работы выполняются в течение 10 дней, необходимо оформить акт. {q}", "Термины, определения — это документ.",
+     "Порядок и обязанности и действия.", "Задачи комиссии: проводит плановые заседания. {q}", "Проверка осуществляется ежегодно. {q}"),
+    "(conv_id*5+turn)%8", "answer")
+_i_made, _i_col = filled(
+    ("{q}", "Кто входит в состав комиссии?", "Кто проводит проверку {q}", "Какой срок {q}", "Что делать при пожаре?", "Как часто {q}",
+     "Что такое наряд и кто его выдаёт?"), "conv_id%7", "query")
+_role = (
+    rf"(?:эксперт(?:ом|а|ы|ов|ами)?|работник(?:ами|и|ов|ом)?|комисси{_w}*|руководител{_w}*|представител{_w}*|служб{_w}*|ответственн{_w}*)"
+)
+_shape = f"((contains(s,'в состав') AND {unicode_word('s', 'вход' + _w + '*')}) OR contains(s,{q(ru.SENTENCE_COMPOSITION)}))"
+_bare = r"regexp_replace(s,'\[[^\]]+\]',' ','g')"
+_has_role = f"({unicode_word(_bare, _role)} OR regexp_matches({_bare},'организаци{_w}*[, ]+(?:осуществля|проводящ|выполняющ)'))"
+_roles = "+".join(f"contains(s,{q(m)})::INT" for m in ru.ROLE_MARKERS)
+_defines = any_in("qn", ru.DEFINITION_MARKERS)
+_terms = (
+    (f"{_member} AND {_shape}", 0.65), (f"{_member} AND {_roles}>=2", 0.32),
+    (f"{_member} AND NOT {_shape} AND {any_in('s', ru.SENTENCE_TASKS)}", -0.35),
+    (f"{_who} AND {_has_role}", 0.42), (f"{_who} AND NOT {_has_role}", -0.42), (f"{_who} AND {any_in('s', ru.SENTENCE_WHO_VERBS)}", 0.16),
+    (f"{_time} AND {unicode_word('s', _dur)}", 0.30),
+    (f"{_time} AND NOT {unicode_word('s', _dur)} AND {any_in('s', ru.SENTENCE_LIMITS)}", 0.24),
+    (f"{_act} AND {any_in('s', ru.SENTENCE_ACTIONS)}", 0.20),
+    (f"{_act} AND contains(s,{q(ru.DUTIES_HEADING)}) AND n<140", -0.22),
+    (f"NOT {_defines} AND ({_who} OR {_time} OR {_act}) AND (contains(s,{q(ru.TERMS_MARKERS[0])}) OR (contains(s,' — ') AND {any_in('s', ru.DEFINITION_TEXT)}))", -0.18),
+    (f"n<70 AND {unicode_word('s', '[^ ]*(?:порядок|раздел|глава|приложение)')}", -0.10),
+)
+
+
+@query("sentence_intents", f"""
+SELECT qid, round({'+'.join(f'CASE WHEN {rule} THEN {value} ELSE 0.0 END' for rule, value in _terms)},6)::DOUBLE AS adjustment FROM (
+  SELECT qid, {norm('query')} AS qn, {norm('answer')} AS s, length(trim(answer)) AS n FROM (
+    SELECT conv_id*1000+turn AS qid, {_i_made} AS query, {_s_made} AS answer FROM (
+      SELECT conv_id, turn, role, text AS query, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations)
+    WHERE role='user' AND answer IS NOT NULL))""")
+def _(spark, d):
+    from pyspark.sql import Window
+    from quarry.functions.intents import sentence_adjustment
+    from quarry.functions.text import norm as text_norm
+
+    c = read(spark, d, "conversations").select(
+        "conv_id", "turn", "role", F.col("text").alias("query"),
+        F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("answer")).filter("role = 'user' AND answer IS NOT NULL")
+    made = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), text_norm(_i_col()).alias("q"), _s_col().alias("s"))
+    value = sentence_adjustment(F.col("q"), F.col("sn"), F.length(F.trim("s")))
+    return made.withColumn("sn", text_norm(F.col("s"))).select("qid", F.round(value, 6).alias("adjustment"))
 
 
 # --- whole answering plans (model behind a deterministic stand-in: rows-only) --------------------

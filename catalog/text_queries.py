@@ -357,6 +357,25 @@ def _(spark, d):
         "page_id", L(F.length("t")).alias("n_chars"), F.md5("t").alias("text_md5"))
 
 
+_tidy = r"trim(regexp_replace(regexp_replace(regexp_replace({},'[ \t\r\f\v]+',' ','g'),' *\n *',chr(10),'g'),'\n{{3,}}',chr(10)||chr(10),'g'),' '||chr(10))"
+
+
+@query("block_text", f"""
+SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM (
+  SELECT doc_id, {_tidy.format("'header'||chr(10)||source||' & '||lang||chr(10)||CASE WHEN x='' THEN '' ELSE x||chr(10) END||doc_id||chr(10)||chr(10)||'<i>'")} AS t
+  FROM (SELECT doc_id, source, coalesce(lang,'-') AS lang, {_tidy.format('text')} AS x FROM documents))""")
+def _(spark, d):
+    escaped = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&lt;"))
+    block = F.struct(F.lit("header").alias("type"), F.struct(
+        F.array(F.concat("doc_id", F.lit("<br/> &lt;i&gt;"))).alias("items"),
+        F.concat(F.lit("<b>"), "source", F.lit("</b> &amp; "), F.coalesce("lang", F.lit("-"))).alias("text"),
+        F.concat(F.lit("<p>"), escaped, F.lit("</p><script>no</script>")).alias("caption")).alias("data"))
+    raw = F.to_json(F.struct(F.lit(1).alias("version"), F.array(block).alias("blocks")))
+    t = articles.content_text(F.col("raw"), F.lit("EditorJS"))
+    return read(spark, d, "documents").select("doc_id", raw.alias("raw")).select("doc_id", t.alias("t")).select(
+        "doc_id", L(F.length("t")).alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
 @query("kb_documents", sql("SELECT doc_seq, doc_id, title, section, section_id, md5(content) AS content_md5, url FROM docs_in", "docs_in"))
 def _(spark, d):
     return tables.actual_documents(documents_from_tables(spark, d)).select(
@@ -432,16 +451,21 @@ def _(spark, d):
     return chunking.simple_chunks(docs, 700).select("doc_id", L(F.col("chunk_number")).alias("chunk_number"), F.md5("text").alias("text_md5"))
 
 
-@query("passage_windows", rf"""
-SELECT doc_id, k::BIGINT AS k, s::BIGINT AS w_start, e::BIGINT AS w_end, md5(trim(substr(t,s+1,e-s))) AS text_md5 FROM (
+def window_sql(keys: str, text: str, source: str) -> str:
+    """(keys, k, w_start, w_end, p): overlapping windows of `text`, cut at blanks."""
+    count = "range(0,CASE WHEN length(t)<=500 THEN 1 ELSE CAST(ceil((length(t)-500)/350.0) AS BIGINT)+1 END)"
+    return rf"""
+SELECT {keys}, k::BIGINT AS k, s::BIGINT AS w_start, e::BIGINT AS w_end, trim(substr(t,s+1,e-s)) AS p FROM (
   SELECT *, CASE WHEN raw_end<n AND strpos(back,' ')>0 AND back_lo+length(back)-strpos(back,' ')>s THEN back_lo+length(back)-strpos(back,' ') ELSE raw_end END AS e FROM (
     SELECT *, reverse(substr(t,back_lo+1,raw_end-back_lo)) AS back FROM (
       SELECT *, greatest(s,raw_end-40) AS back_lo FROM (
         SELECT *, CASE WHEN raw>0 AND strpos(substr(t,raw+1,least(40,n-raw)),' ')>0 THEN raw+strpos(substr(t,raw+1,least(40,n-raw)),' ') ELSE raw END AS s, least(raw+500,n) AS raw_end FROM (
-          SELECT doc_id, t, length(t) AS n, unnest(range(0,CASE WHEN length(t)<=500 THEN 1 ELSE CAST(ceil((length(t)-500)/350.0) AS BIGINT)+1 END)) AS k,
-                 unnest(range(0,CASE WHEN length(t)<=500 THEN 1 ELSE CAST(ceil((length(t)-500)/350.0) AS BIGINT)+1 END))*350 AS raw
-          FROM (SELECT doc_id, {squash('text')} AS t FROM documents) WHERE t<>'')))))
-WHERE trim(substr(t,s+1,e-s))<>''""")
+          SELECT {keys}, t, length(t) AS n, unnest({count}) AS k, unnest({count})*350 AS raw
+          FROM (SELECT {keys}, {text} AS t FROM {source}) WHERE t<>'')))))
+WHERE trim(substr(t,s+1,e-s))<>''"""
+
+
+@query("passage_windows", f"SELECT doc_id, k, w_start, w_end, md5(p) AS text_md5 FROM ({window_sql('doc_id', squash('text'), 'documents')})")
 def _(spark, d):
     w = windows(F.col("text"), S.passage_window_chars, S.passage_overlap_chars)
     return read(spark, d, "documents").select("doc_id", F.explode(w).alias("w")).select(

@@ -29,7 +29,7 @@ SOURCES = (
 )
 RESULT = [
     "qid", "query", "answer", "sources", "status", "route_type", "retrieval_attempts", "generation_attempts",
-    "rewritten_queries", "latency_ms", "exit_stage", "diagnostics",
+    "rewritten_queries", "exit_stage", "diagnostics",
 ]
 
 
@@ -50,7 +50,6 @@ def result(
         lit(retrievals).cast("int").alias("retrieval_attempts"),
         lit(generations).cast("int").alias("generation_attempts"),
         (rewrites if rewrites is not None else F.array()).cast("array<string>").alias("rewritten_queries"),
-        F.lit(0).cast("long").alias("latency_ms"),
         lit(stage).alias("exit_stage"),
         (diagnostics if diagnostics is not None else F.array()).cast("array<string>").alias("diagnostics"),
     )
@@ -146,7 +145,7 @@ def answer_queries(
     if cache is not None and s.answer_cache_size > 0:
         hit = materialize(
             cached_answers(open_, cache).withColumns(
-                {"exit_stage": F.lit("cache"), "latency_ms": F.lit(0).cast("long"),
+                {"exit_stage": F.lit("cache"),
                  "diagnostics": F.array_append("diagnostics", F.lit("answer_cache_hit"))}
             ).select(*RESULT),
             "cache",

@@ -51,7 +51,7 @@ def answer_stream(results: DataFrame, s: Settings) -> DataFrame:
                 "final",
                 F.to_json(
                     F.struct(
-                        "answer", "route_type", "latency_ms",
+                        "answer", "route_type",
                         F.transform(
                             "sources",
                             lambda x: F.struct(

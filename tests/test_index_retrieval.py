@@ -298,3 +298,44 @@ def test_chunk_index_out_of_range_fails(spark):
     df = spark.createDataFrame([(1, 1 << 20)], "d long, n long")
     with pytest.raises(Exception, match="out of range"):
         df.select(chunk_index(F.col("d"), F.col("n"))).collect()
+
+
+def test_vector_grid_equals_broadcast_and_brute_force(spark):
+    from quarry.operators.scoring import vector_topk
+    rng = np.random.default_rng(7)
+    vectors = np.round(rng.normal(size=(60, 4)), 1)
+    vectors[20:40] = vectors[0]                                   # ties: the smaller idx goes first
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    corpus = spark.createDataFrame(rows, "idx long, vector array<float>").repartition(5)
+    asked = spark.createDataFrame(rows, "qkey long, vector array<float>")
+    got = lambda s: sorted(map(tuple, vector_topk(corpus, asked, 60, 5, s).select("qkey", "rank", "idx", "score").collect()))
+    scores = np.round(vectors.astype(np.float32).astype(float) @ vectors.astype(np.float32).astype(float).T, S.score_digits)
+    want = []
+    for q, line in enumerate(scores):
+        best = sorted(range(60), key=lambda i: (-line[i], i))[:5]
+        want += [(q, r, i, line[i]) for r, i in enumerate(best, 1)]
+    assert got(S) == got(S.with_(query_block=16))
+    assert [x[:3] for x in got(S)] == [x[:3] for x in sorted(want)]
+
+
+def test_running_top_k():
+    from quarry.operators.scoring import TopK
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 50):
+        top, rows = TopK(k, 2), []
+        for _ in range(6):
+            idx = rng.permutation(1000)[:20] + 1000 * len(rows)
+            scores = rng.integers(0, 3, size=(20, 2)).astype(float)
+            top.add(idx, scores)
+            rows += list(zip(idx, scores))
+        for q in range(2):
+            want = sorted(((-s[q], i) for i, s in rows))[:k]
+            assert [(-v, i) for v, i, qq in zip(top.score, top.idx, top.q) if qq == q] == want
+
+
+def test_index_profiles_take_the_layout_of_the_chunks(spark, snap):
+    auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    assert spark.conf.get(auto) == "true"
+    joined = snap.table("profiles").join(snap.table("chunks").select("idx").hint("merge"), "idx")
+    assert joined.count() == snap.manifest["chunk_count"]
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
