@@ -382,7 +382,8 @@ def search(
     which sides may be broadcast.
     """
     s = snap.settings
-    variants = query_variants(queries, rewrites)
+    # written once: the questions are read by every step, and rewrites may come from a costly plan
+    variants = materialize(query_variants(queries, rewrites), "variants")
     roots = variant_roots(variants)
     n_variants, n_roots = roots.agg(F.count("*"), F.coalesce(F.sum("qn"), F.lit(0))).first()
     scored = with_variant(
