@@ -3,8 +3,8 @@
 A linear model predicts the language family; within the family, one-versus-one linear support
 vector machines vote for the language. Features are the hashed 1- to 3-byte runs of the whole
 lower-cased text, square-rooted and normalised. The machines are trained on at most
-`sample_per_language` labelled texts of each language (and `sample_total` in all): the ones with
-the smallest hash of their id. Only those vectors come to the driver; texts never do.
+`sample_per_language` different labelled rows of each language (and `sample_total` in all): the ones with
+the smallest hash of id and text. Only those vectors come to the driver; texts never do.
 
 Cases: `und` with score 0 for a null text, a text without a letter, or when nothing was learned;
 one learned language is always predicted; rows without lang are predicted but not learned from; a
@@ -149,13 +149,15 @@ def held_out(doc_id: Column, folds: int) -> Column:
 def train(docs: DataFrame, s: LanguageSettings, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{doc_id}`").cast("string").alias("i"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i"), s.folds))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    place = F.shiftrightunsigned(F.xxhash64("i", "t"), 1).alias("place")
+    # different rows of each language, by sketches: copies of a row share its hash
+    sizes = {r.l: r.n for r in rows.select("l", place).groupBy("l").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
     if not sizes:
         return fit(np.zeros((0, s.dimensions), np.float32), [], s)
     cap = max(1, min(s.sample_per_language, s.sample_total // len(sizes)))
     # hash thresholds that leave about cap rows of each language; the smallest hashes are taken
-    place = F.pmod(F.xxhash64("i"), F.lit(1 << 30)).alias("place")
-    shares = F.create_map(*[F.lit(x) for l, n in sorted(sizes.items()) for x in (l, int(min(1.0, (1.2 * cap + 20) / n) * (1 << 30)))])
+    whole = (1 << 63) - 1
+    shares = F.create_map(*[F.lit(x) for l, n in sorted(sizes.items()) for x in (l, int(whole * min(1.0, (1.2 * cap + 20) / n)) if n > 1.2 * cap + 20 else whole)])
     dims = s.dimensions
 
     @F.arrow_udf("binary")
@@ -163,7 +165,8 @@ def train(docs: DataFrame, s: LanguageSettings, text: str = "text", lang: str =
         return pa.array([features(x, dims).tobytes() if LETTER.search(x) else None for x in col.to_pylist()], pa.binary())
 
     chosen = rows.select("l", "t", place).where(F.col("place") <= shares[F.col("l")])
-    got = chosen.select("l", "place", vector("t").alias("v")).collect()
+    # one of the copies of a row is learned from, so a hot row cannot fill the sample
+    got = chosen.dropDuplicates(["l", "place"]).select("l", "place", vector("t").alias("v")).collect()
     taken: dict[str, list] = {}
     for r in sorted((r for r in got if r.v is not None), key=lambda r: (r.l, r.place, r.v)):
         if len(kept := taken.setdefault(r.l, [])) < cap:

@@ -36,6 +36,8 @@ class OrderSettings:
     shard_size: int = 16_384
     key: int = 20_240_607
     end_token: int = 50_256
+    #: Most tasks of the last shuffle; a task then orders and writes several neighbouring shards, one after the other.
+    tasks: int = 20_000
 
     @property
     def stride(self) -> int:
@@ -154,8 +156,9 @@ def training_order(docs: DataFrame, s: OrderSettings = OrderSettings(), **column
     slotted = sequences.withColumn("slot", slot_of("part", "nth"))
     slotted = slotted.withColumn("shard", F.floor(F.col("slot") / s.shard_size).cast("int"))
     shards = max(1, -(-total // s.shard_size))
+    tasks = min(shards, s.tasks)
     return (
-        slotted.repartitionById(shards, F.col("shard"))
+        slotted.repartitionById(tasks, F.expr(f"cast(cast(shard as bigint) * {tasks} div {shards} as int)"))
         .sortWithinPartitions("slot")
         .select(
             "slot", "shard", ((F.col("slot") % s.shard_size) * s.stride).cast("long").alias("byte_offset"), "doc_id", "seq_no", "n_tokens",

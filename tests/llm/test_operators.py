@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -171,11 +172,9 @@ def test_keep_one(docs, rows):
 
 # --- decontamination
 
-def test_leaks_match_brute_force(spark, docs, rows):
-    bench = table(spark, SF, "benchmark").unionByName(
-        spark.createDataFrame([(900, None), (901, ""), (902, "one two three"), (903, "word word word word word word word")], "item_id long, text string"))
-    got = {(r.doc_id, r.leak.item_id): r.leak for r in decontaminate.leaks(docs, bench).collect()}
-    items = {b.item_id: words((b.text or "").lower()) for b in bench.collect()}
+def naive_leaks(rows, bench):
+    """(doc_id, item_id) -> similarity of the best item-sized window, where it is 0.8 or more."""
+    items = {b.item_id: words((b.text or "").lower()) for b in bench}
     want = {}
     for r in rows:
         ws = words((r.text or "").lower())
@@ -194,6 +193,14 @@ def test_leaks_match_brute_force(spark, docs, rows):
                 best = max(best, sum((c & own).values()) / sum((c | own).values()))
             if best >= 0.8:
                 want[(r.doc_id, item)] = best
+    return want
+
+
+def test_leaks_match_brute_force(spark, docs, rows):
+    bench = table(spark, SF, "benchmark").unionByName(
+        spark.createDataFrame([(900, None), (901, ""), (902, "one two three"), (903, "word word word word word word word")], "item_id long, text string"))
+    got = {(r.doc_id, r.leak.item_id): r.leak for r in decontaminate.leaks(docs, bench).collect()}
+    want = naive_leaks(rows, bench.collect())
     assert got.keys() == want.keys() and (10004, 902) in got and (10005, 903) in got
     assert all(math.isclose(got[k].similarity, v) for k, v in want.items())
     clean = decontaminate.decontaminate(docs, bench)
@@ -298,6 +305,12 @@ def test_training_order_and_shards(docs, rows, tmp_path):
     by_slot = {r.slot: r.tokens for r in got}
     assert [x.tobytes() for x in tail] == [by_slot[i] for i in range(700, len(got))]
     assert training_order.training_order(docs.limit(0), s).collect() == []
+    # fewer tasks than shards: a task writes several whole shards, and nothing else changes
+    few = training_order.training_order(docs, replace(s, tasks=2))
+    assert few.rdd.getNumPartitions() == 2 and by_row(few) == by_row(out)
+    again = training_order.write_shards(few, str(tmp_path / "few"), s).collect()
+    assert sorted((r.shard, r.sequences) for r in again) == sorted((r.shard, r.sequences) for r in written.collect())
+    assert [x.tobytes() for x in training_order.read_from(str(tmp_path / "few"), 0, s)] == [by_slot[i] for i in range(len(got))]
 
 
 # --- token counts
@@ -378,6 +391,17 @@ def test_language_id(docs):
     assert {r.language.lang_pred for r in language_id.identify(docs, nothing, s).collect()} == {"und"}
 
 
+def test_copies_of_a_row_are_learned_from_once(docs, monkeypatch):
+    s = language_id.LanguageSettings(sample_per_language=5)
+    seen = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda vectors, labels, s: seen.append(labels) or fit(vectors, labels, s))
+    hot = docs.sparkSession.range(4000).selectExpr("7L AS doc_id", "'the same words again' AS text", "'xx' AS lang", "id AS n")
+    few = docs.sparkSession.createDataFrame([(3, "otro texto", "es", 0), (8, "más palabras", "es", 1)], "doc_id long, text string, lang string, n long")
+    language_id.train(hot.unionByName(few), s)
+    assert Counter(seen[0]) == {"xx": 1, "es": 2}
+
+
 def test_features_do_not_depend_on_chunks():
     text = "Ünder the bridge " * 50
     assert np.allclose(language_id.features(text, 256), language_id.features(text, 256, chunk=37))
@@ -413,17 +437,28 @@ def test_chat_round_trip(spark):
 
 # --- pipeline
 
-def test_pipeline_against_single_steps(spark):
+def test_pipeline_against_brute_force(spark):
+    """The documents of every stage by brute force; the last counts by the mix, which has a brute-force test of its own."""
     import corpus_pipeline
 
-    out = corpus_pipeline.run(spark, SF)
-    source = {r.doc_id: r for r in table(spark, SF, "documents").collect()}
-    ids = {r.doc_id for r in out.collect()}
-    for i in ids:
-        ws = words(source[i].text)
-        assert len(ws) >= 10 and 100 * covered(ws, 5) <= 20 * len(ws)
-    fps = {i: naive_fingerprint(source[i].text) for i in ids}
-    assert all((fps[a] ^ fps[b]).bit_count() > 3 for a in ids for b in ids if a < b)
-    leaked = {r.doc_id for r in decontaminate.leaks(table(spark, SF, "documents"), table(spark, SF, "benchmark")).collect()}
-    assert not ids & leaked
+    source = table(spark, SF, "documents")
+    limits, kept = quality_rules.RepetitionLimits(), []
+    for r in source.collect():
+        ws = words(r.text)
+        failed = len(ws) < 10 or 100 * covered(ws, 5) > 20 * len(ws)
+        if not failed and covered(ws, limits.min_repeat) <= limits.max_covered * len(ws) and not covered(ws, limits.max_longest + 1):
+            kept.append(r)
+    fps = {r.doc_id: naive_fingerprint(r.text) for r in kept}
+    root = naive_components(set(fps.values()), lambda a, b: (a ^ b).bit_count() <= 3)
+    least = {}
+    for i, f in fps.items():
+        least[root[f]] = min(least.get(root[f], i), i)
+    kept = [r for r in kept if r.doc_id in set(least.values())]
+    leaked = {d for d, _ in naive_leaks(kept, table(spark, SF, "benchmark").collect())}
+    clean = [r.doc_id for r in kept if r.doc_id not in leaked]
+    assert leaked and len(clean) < len(kept) < len(fps)
+    copies = Counter(r.doc_id for r in mixing.mixed_copies(source.where(F.col("doc_id").isin(clean))).collect())
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in out if r.seq_no == 0) == copies
+    assert sorted(r.slot for r in out) == list(range(len(out)))
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and len(corpus_pipeline.STAGES) == 5
