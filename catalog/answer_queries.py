@@ -379,19 +379,43 @@ def _(spark, d):
     return e.select("qid", answers.posthoc_citations(bare, F.col("context"))["answer"].alias("cited"))
 
 
-@query("reply_normalization")
+#: Replies cut off in a citation: after an echo of the question, after a marker, whole, and without any citation.
+_reply = (
+    "CASE qid%4 WHEN 0 THEN query||' — Ответ: '||answer||' Недописанное [S' WHEN 1 THEN 'S# '||answer||'  Tail words [S' "
+    "WHEN 2 THEN ' A : '||answer ELSE 'Nothing is cited here. [S' END"
+)
+
+
+@query("reply_normalization", sql(rf"""
+SELECT qid, CASE WHEN len(ids)=0 THEN {q(ru.MSG_SOURCES_INSUFFICIENT)} ELSE t END AS answer,
+  CASE WHEN len(ids)=0 THEN '' ELSE array_to_string(ids,',') END AS ids, len(ids)=0 AS insufficient_context FROM (
+  SELECT r.qid, t, list_filter({ordered_distinct('sids')}, lambda x: list_contains(al,x)) AS ids FROM (
+    SELECT qid, t, list_transform(regexp_extract_all(t,'\[S(\d+)\]',1), lambda x: 'S'||x) AS sids FROM (
+      SELECT qid, trim(regexp_replace(regexp_extract(regexp_replace(y,'\[[^\]]*$',''),'(?s)^(.*(?:[.!?]\s*\[S\d+\](?:\s*[.!?])?|\[S\d+\]\s*[.!?]))',1),'\s{{2,}}',' ','g')) AS t FROM (
+        SELECT qid, regexp_replace(trim(CASE WHEN starts_with(lower(r),lower(n)) THEN regexp_replace(substr(r,length(n)+1),'^[ \t\r\n:—-]+','') ELSE r END),
+          '(?i)^\s*(?:S#|Ответ\s*:|A\s*:)\s*','') AS y FROM (
+          SELECT a.qid, trim({_reply.replace('qid', 'a.qid')}) AS r, {squash('query')} AS n FROM answer a JOIN qfeat f ON f.qid=a.qid)))) r
+  JOIN (SELECT qid, list(source_id) AS al FROM ctx GROUP BY 1) c ON c.qid=r.qid)""", "answer", "qfeat", "ctx"))
 def _(spark, d):
     e = extracted(spark, d).filter("answer <> ''")
-    reply = F.concat("query", F.lit(" — Ответ: "), "answer", F.lit(" Недописанное [S"))
-    n = answers.normalize_reply(reply, F.col("query"), F.col("context"), F.lit(True), F.lit(True))
+    n = answers.normalize_reply(F.expr(_reply), F.col("query"), F.col("context"), F.lit(True), F.lit(True))
     return e.select("qid", n.alias("n")).select("qid", "n.answer", F.array_join("n.used_source_ids", ",").alias("ids"), "n.insufficient_context")
 
 
-@query("generated_sources")
+@query("generated_sources", sql("""
+SELECT qid, CASE qid%3 WHEN 0 THEN 'By chunk [S1] and ['||last||'].'
+    WHEN 1 THEN 'Nothing cited.'||chr(10)||chr(10)||'Источники: '||array_to_string(list_transform(ids, lambda x: '['||x||']'),', ')
+    ELSE 'Seen in [S9] and [S1].' END AS answer,
+  CASE qid%3 WHEN 0 THEN CASE WHEN last='S1' THEN 'S1' ELSE 'S1,'||last END WHEN 1 THEN array_to_string(ids,',') ELSE 'S1' END AS ids
+FROM (SELECT a.qid, ids, (SELECT arg_max(c.source_id,c.n) FROM ctx c WHERE c.qid=a.qid AND c.doc_id=f.doc_id) AS last
+  FROM asids a JOIN ctx f ON f.qid=a.qid AND f.n=1)""", "asids", "ctx"))
 def _(spark, d):
     e = extracted(spark, d).filter("answer <> ''")
     first = F.element_at("context", 1)
-    reply = F.concat(F.lit("By chunk ["), first["chunk_id"], F.lit("] and ["), first["doc_id"], F.lit("]."))
+    reply = (
+        F.when(F.col("qid") % 3 == 0, F.concat(F.lit("By chunk ["), first["chunk_id"], F.lit("] and [ "), first["doc_id"], F.lit(" ].")))
+        .when(F.col("qid") % 3 == 1, F.lit(" Nothing cited. ")).otherwise(F.lit("Seen in [ s9 ] and [s1]."))
+    )
     n = answers.normalize_generated(reply, F.col("used_source_ids"), F.lit(False), F.col("context"))
     return e.select("qid", n.alias("n")).select("qid", "n.answer", F.array_join("n.used_source_ids", ",").alias("ids"))
 
@@ -557,11 +581,39 @@ def _(spark, d):
     return answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), FirstSourceClient)
 
 
-@query("extractive_route")
+_say = {name: q(getattr(ru, f"MSG_{name}")) for name in ("EXTERNAL", "CLARIFY_GENERIC", "WEAK", "CLARIFY_TIE", "INSUFFICIENT")}
+block("own_relevance", ("answer",), f"""
+  SELECT qid, len(list_filter([{_relevance}], lambda x: x IS NOT NULL))=0 AS fits FROM (
+    SELECT qid, {norm('query')} AS n, a, {_sp} AS sp, {root_set('a')} AS ar FROM (
+      SELECT qid, text AS query, regexp_replace({fold('answer')},{q('(?i)' + ru.PLACEHOLDER_PATTERN)},' ','g') AS a
+      FROM answer JOIN benchmark ON item_id=qid))""")
+block("routed", ("gated", "evidence", "tie", "asids", "own_relevance"), f"""
+  SELECT *, CASE stage WHEN 'external' THEN {_say['EXTERNAL']} WHEN 'underspecified' THEN {_say['CLARIFY_GENERIC']} WHEN 'weak_evidence' THEN {_say['WEAK']}
+      WHEN 'retrieval_ambiguity' THEN {_say['CLARIFY_TIE']} WHEN 'extractive' THEN found ELSE {_say['INSUFFICIENT']} END AS answer FROM (
+    SELECT g.qid, g.ext, e.level, e.v, e.reason, a.answer AS found, a.ids, a.confidence,
+      CASE WHEN g.ext IS NOT NULL THEN 'external' WHEN len(c)>0 AND len(sp)=0 AND nt<=7 THEN 'underspecified' WHEN e.level='weak' THEN 'weak_evidence'
+           WHEN tie THEN 'retrieval_ambiguity'
+           WHEN e.level='strong' AND coalesce(a.answer,'')<>'' AND a.confidence>={S.extractive_min_score} AND fits THEN 'extractive'
+           ELSE 'extractive_rejected' END AS stage
+    FROM gated g LEFT JOIN evidence e ON e.qid=g.qid LEFT JOIN tie t ON t.qid=g.qid LEFT JOIN asids a ON a.qid=g.qid
+    LEFT JOIN own_relevance r ON r.qid=g.qid)""")
+
+
+@query("extractive_route", sql("""
+SELECT qid, answer, CASE WHEN stage='extractive' THEN 'success' ELSE 'insufficient_context' END AS status, stage AS exit_stage,
+  (stage NOT IN ('external','underspecified'))::INT::BIGINT AS retrieval_attempts, CASE WHEN stage='extractive' THEN array_to_string(ids,',') ELSE '' END AS sources,
+  CASE stage WHEN 'external' THEN 'query_gate='||ext WHEN 'underspecified' THEN 'query_gate=underspecified' ELSE
+    'evidence_gate='||level||'|evidence_score='||printf('%.3f',v)||'|evidence_reason='||reason||CASE stage WHEN 'retrieval_ambiguity' THEN '|query_gate=retrieval_ambiguity'
+      WHEN 'weak_evidence' THEN '' WHEN 'extractive' THEN '|llm_skipped_deadline_or_capability|extractive_confidence='||printf('%.3f',confidence)
+      ELSE '|llm_skipped_deadline_or_capability' END END AS diagnostics
+FROM routed""", "routed"))
 def _(spark, d):
     from quarry.plans.latency import answer_queries
 
-    return answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), None)
+    r = answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), None)
+    return r.select(
+        "qid", "answer", "status", "exit_stage", L(F.col("retrieval_attempts")).alias("retrieval_attempts"),
+        F.array_join(F.transform("sources", lambda x: x["source_id"]), ",").alias("sources"), F.array_join("diagnostics", "|").alias("diagnostics"))
 
 
 @query("corrective_answers")
@@ -572,10 +624,29 @@ def _(spark, d):
     return answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), FirstSourceClient)
 
 
-@query("answer_stream")
+block("said", ("routed",), r"""
+  SELECT qid, unnest(x) AS piece, generate_subscripts(x,1) AS i FROM (
+    SELECT qid, regexp_extract_all(answer,'[^\s\p{Z}\x{85}]+[\s\p{Z}\x{85}]*') AS x FROM routed)""")
+block("r_said", ("said",), f"""
+  SELECT qid, i, 1 AS g, length(piece) AS cur FROM said WHERE i=1
+  UNION ALL
+  SELECT p.qid, p.i, CASE WHEN r.cur+length(p.piece)>{S.token_chunk_chars} THEN r.g+1 ELSE r.g END,
+         CASE WHEN r.cur+length(p.piece)>{S.token_chunk_chars} THEN length(p.piece) ELSE r.cur+length(p.piece) END
+  FROM r_said r JOIN said p ON p.qid=r.qid AND p.i=r.i+1""")
+block("shown", ("routed", "ctx"), """
+  SELECT r.qid, list({'doc_id':c.doc_id,'title':c.title,'url':c.url,'score':c.score} ORDER BY list_position(r.ids,c.source_id)) AS sources
+  FROM routed r JOIN ctx c ON c.qid=r.qid AND list_contains(r.ids,c.source_id) WHERE r.stage='extractive' GROUP BY 1""")
+
+
+@query("answer_stream", sql("""
+SELECT qid, 0::BIGINT AS seq, 'route_info' AS kind, 'naive' AS payload FROM routed
+UNION ALL SELECT qid, g, 'token', string_agg(piece,'' ORDER BY i) FROM r_said JOIN said USING (qid,i) GROUP BY qid, g
+UNION ALL SELECT r.qid, coalesce(m.g,0)+1, 'final', to_json({'answer':answer,'route_type':'naive','sources':coalesce(s.sources,[])})::VARCHAR
+FROM routed r LEFT JOIN shown s ON s.qid=r.qid LEFT JOIN (SELECT qid, max(g) AS g FROM r_said GROUP BY 1) m ON m.qid=r.qid""",
+    "routed", "shown", "said", "r_said"))
 def _(spark, d):
     from quarry.plans.latency import answer_queries
     from quarry.plans.service import answer_stream
 
     r = answer_queries(snapshot(spark, d), queries_from_benchmark(spark, d), None)
-    return answer_stream(r, S).select("qid", "seq", "kind", "payload")
+    return answer_stream(r, S).select("qid", L(F.col("seq")).alias("seq"), "kind", "payload")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from catalog.common import SETTINGS as S, hits, question_lists, snapshot
-from catalog.sql import block, fold, isnum, keep, ordered_distinct, q, root_list, sql, tokens, words
-from catalog.text_queries import L, TURNS, s_anchors
+from catalog.sql import block, fold, isnum, keep, norm, ordered_distinct, q, root_list, sql, tokens, unicode_word, words
+from catalog.text_queries import L, TURNS, filled, s_anchors
 from quarry.operators import retrieval as R
 from quarry.operators.gates import assess_evidence, dangling_reference, retrieval_tie
 from quarry.operators.rewrites import fallback_rewrites, filter_rewrites
@@ -121,7 +121,7 @@ def _(spark, d):
     return R.search(snapshot(spark, d), asked).select("qid", L(F.col("rank")).alias("rank"), "idx", "score")
 
 
-@query("search_variants")
+@query("search_variants", sql("SELECT qid, rank, idx, score FROM v_hits5", "v_hits5"))
 def _(spark, d):
     asked = queries_from_benchmark(spark, d)
     rewrites = asked.select("qid", fallback_rewrites(F.col("query")).alias("rewrites"))
@@ -208,11 +208,21 @@ def _(spark, d):
                     *[F.round(F.col(f"evidence.{c}"), 6).alias(c) for c in num])
 
 
-@query("retrieval_clarification", sql("SELECT qid, tie, false AS dangling FROM tie", "tie"))
+_rt = f"list_distinct(list_transform(list_filter(regexp_extract_all(lower(X),'[0-9a-zа-яё]+'), lambda t: length(t)>=4 AND NOT list_contains({words(ru.REWRITE_STOP)},t)), lambda t: left(t,5)))"
+#: Follow-up questions without an object of their own, over the hits of the question they follow.
+_after, _after_col = filled(("{q}", "Как это оформить?", "Какие эти {q}", "Можно ли делать такое 5 дней?"), "qid%4", "query")
+
+
+@query("retrieval_clarification", sql(rf"""
+SELECT qid, tie, len(h)>=2 AND {unicode_word('n', ru.ANAPHORA_SHORT_PATTERN[len(chr(92) + 'b(?:'):-len(')' + chr(92) + 'b')])}
+  AND len(list_filter({_rt.replace('X', 'n')}, lambda t: NOT list_contains({words(ru.GENERIC_REWRITE_ROOTS)},t)))=0
+  AND NOT ({unicode_word('x', '[А-ЯA-Z]{2,}')} OR regexp_matches(x,'[0-9]|[а-яa-z]+-[а-яa-z]+'))
+  AND len(list_distinct(list_transform(h[1:4], lambda y: y.doc_id)))>=2 AND (h[1].score<=0 OR h[2].score>=h[1].score*0.72) AS dangling
+FROM (SELECT *, {norm('x')} AS n FROM (SELECT qid, h, tie, {_after} AS x FROM top10 JOIN tie USING (qid)))""", "top10", "tie"))
 def _(spark, d):
     return question_lists(spark, d).select(
         "qid", retrieval_tie(F.col("query"), F.col("hits")).alias("tie"),
-        dangling_reference(F.col("query"), F.col("hits")).alias("dangling"))
+        dangling_reference(_after_col(), F.col("hits")).alias("dangling"))
 
 
 @query("route", sql("""
@@ -229,9 +239,6 @@ def _(spark, d):
     return route_queries(snapshot(spark, d), queries_from_benchmark(spark, d)).drop("retrieval_query")
 
 
-_rt = f"list_distinct(list_transform(list_filter(regexp_extract_all(lower(X),'[0-9a-zа-яё]+'), lambda t: length(t)>=4 AND NOT list_contains({words(ru.REWRITE_STOP)},t)), lambda t: left(t,5)))"
-
-
 @query("rewrite_filter", f"""
 SELECT qid, CASE WHEN len(v)>0 THEN v[1] ELSE o END AS first, CASE WHEN len(v)>0 THEN v[2] WHEN len(p)>=2 THEN p[2] END AS second FROM (
   SELECT qid, trim(query,' '||chr(9)||chr(10)||chr(13)) AS o, p,

@@ -5,6 +5,8 @@ Every block is written against the raw tables only, independently of the Spark c
 
 from __future__ import annotations
 
+import re
+
 from quarry.rules import russian as ru
 
 SIZE, OVERLAP, HALF = 1400, 180, 384
@@ -351,20 +353,27 @@ _pen = "+".join(
 _pref = "list_concat(" + ",".join(
     f"CASE WHEN {any_in('qf_', p)} THEN {list(ids)} ELSE []::INT[] END" for p, ids in ru.SECTION_RULES
 ) + ")"
-block("features", ("pairs", "matched", "spans", "affinity"), f"""
+def features(coverages: str, source: str) -> str:
+    """Signals of the rows of `source`, with the SQL of the three coverages that several variants share."""
+    return f"""
   SELECT *, len(pref_)>0 AND list_contains(pref_, coalesce(TRY_CAST(section_id AS INT),0)) AS inpref_ FROM (
     SELECT p.*, {norm('query')} AS qn_, {fold('query')} AS qf_, {norm('text')} AS w_, {norm('left(text,900)')} AS h_,
          {fold("section||' '||title")} AS dt_,
-         CASE WHEN len(m)>0 THEN round({coverage('len(m)', "len(list_filter(m, lambda t: " + isnum('t') + "))", 'qn', 'nn')},12)
-              ELSE 0.0 END AS lexical_coverage,
-         CASE WHEN len(m)>0 THEN {inter('qroots', 'title_roots')}::DOUBLE/qn ELSE 0.0 END AS title_coverage,
-         CASE WHEN need>=2 AND span IS NOT NULL THEN need::DOUBLE/greatest(need,span) ELSE 0.0 END AS term_proximity,
+         {coverages},
          coalesce(document_affinity,0.0) AS document_affinity,
          {inter('qroots', 'title_roots')}::DOUBLE/greatest(1,qn) AS title_match,
          {inter('qroots', 'section_roots')}::DOUBLE/greatest(1,qn) AS section_match,
          {_pref.replace('qf_', fold('query'))} AS pref_
-    FROM pairs p JOIN matched USING (qid,idx) LEFT JOIN spans USING (qid,idx)
-    LEFT JOIN affinity a ON a.qid=p.qid AND a.doc_id=p.doc_id)""")
+    FROM {source} a ON a.qid=p.qid AND a.doc_id=p.doc_id)"""
+
+
+_numeric = "len(list_filter(m, lambda t: " + isnum("t") + "))"
+_proximity = "CASE WHEN need>=2 AND span IS NOT NULL THEN need::DOUBLE/greatest(need,span) ELSE 0.0 END"
+block("features", ("pairs", "matched", "spans", "affinity"), features(f"""
+         CASE WHEN len(m)>0 THEN round({coverage('len(m)', _numeric, 'qn', 'nn')},12) ELSE 0.0 END AS lexical_coverage,
+         CASE WHEN len(m)>0 THEN {inter('qroots', 'title_roots')}::DOUBLE/qn ELSE 0.0 END AS title_coverage,
+         {_proximity} AS term_proximity""",
+    "pairs p JOIN matched USING (qid,idx) LEFT JOIN spans USING (qid,idx) LEFT JOIN affinity"))
 block("signals", ("features",), f"""
   SELECT *, {_boost} + CASE WHEN inpref_ THEN 0.30 ELSE 0.0 END AS intent_boost,
     {_pen} + CASE WHEN len(pref_)>0 AND NOT inpref_ THEN 0.10 ELSE 0.0 END AS intent_penalty,
@@ -401,3 +410,68 @@ def hits(k: str, section: str = "TRUE") -> str:
 
 block("hits5", ("scored",), hits("5"))
 block("hits10", ("scored",), hits("10"))
+
+
+# --- several variants of a question: the blocks above once more over qid*100+variant ---------------
+
+
+def again(name: str, also: dict[str, str] | None = None) -> None:
+    """The block `name` as `v_name`, over the variants' blocks where there are any."""
+    needs, body = BLOCKS[name]
+    for old in [n for n in BLOCKS if f"v_{n}" in BLOCKS]:
+        body = re.sub(rf"(?<![\w.]){old}(?!\w)", f"v_{old}", body)
+        needs = tuple(f"v_{n}" if n == old else n for n in needs)
+    for old, new in (also or {}).items():
+        body = body.replace(old, new)
+    block(f"v_{name}", needs, body)
+
+
+_trimmed = lambda x: f"trim({x},' '||chr(9)||chr(10)||chr(13))"
+_terms = (
+    f"list_filter(regexp_extract_all(lower(p),'[0-9a-zа-яё]+'), lambda t: length(t)>=4 AND NOT list_contains({words(ru.REWRITE_STOP)},t))"
+)
+block("v_qs", (), rf"""
+  SELECT item_id*100+i-1 AS qid, all_[i] AS query FROM (SELECT item_id, all_, unnest(range(1,len(all_)+1)) AS i FROM (
+    SELECT item_id, {ordered_distinct('a')} AS all_ FROM (
+      SELECT item_id, list_filter(list_concat([{_trimmed('text')}], CASE WHEN len(ps)>=2 THEN ps[1:2] ELSE [] END), lambda x: x<>'') AS a FROM (
+        SELECT item_id, text, list_filter(list_transform(string_split(regexp_replace(trim(text,' ?.!'||chr(9)||chr(10)||chr(13)),
+          '(?i)[\s\p{{Z}}\x{{85}}]+(?:и|или|а также)[\s\p{{Z}}\x{{85}}]+|[;,]',chr(31),'g'),chr(31)), lambda x: {_trimmed('x')}), lambda p: len({_terms})>0) AS ps
+        FROM benchmark))))""")
+for _n in ("qwtf", "qctf", "qweights", "sparse_all", "sparse_ranked", "qdvec", "dense_ranked"):
+    again(_n)
+BLOCKS["v_qroots"] = (("v_qs",), BLOCKS["qroots"][1].replace("FROM qs", "FROM v_qs"))
+block("v_lexical", ("croots", "v_qroots"), f"""
+  SELECT * FROM (SELECT qid, idx, coverage, row_number() OVER (PARTITION BY qid ORDER BY coverage DESC, idx) AS lex_rank FROM (
+    SELECT qid//100 AS qid, idx, max(coverage) AS coverage FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coverage DESC, idx) AS own FROM (
+        SELECT qid, idx, round({coverage('count(*)', 'sum(isn)', 'any_value(qn)', 'any_value(nn)')},6) AS coverage
+        FROM (SELECT qid, qn, nn, unnest(qroots) AS root FROM v_qroots) JOIN
+             (SELECT idx, root, {isnum('root')}::INT AS isn FROM (SELECT DISTINCT idx, unnest(roots) AS root FROM croots)) USING (root)
+        GROUP BY 1,2)) GROUP BY 1,2)) WHERE lex_rank<=80""")
+block("v_fused", ("v_dense_ranked", "v_sparse_ranked"), BLOCKS["fused"][1]
+      .replace("min(kind*1000+rank)", "min(vid*1000000+kind*1000+rank)")
+      .replace("SELECT qid,idx,score,rank,0 AS kind FROM dense_ranked", "SELECT qid//100 AS qid,qid%100 AS vid,idx,score,rank,0 AS kind FROM v_dense_ranked")
+      .replace("SELECT qid,idx,score,rank,1 FROM sparse_ranked", "SELECT qid//100,qid%100,idx,score,rank,1 FROM v_sparse_ranked"))
+again("pool_head")
+again("pool")
+_own = BLOCKS.pop("v_qroots")
+again("pairs")
+again("affinity")
+BLOCKS["v_qroots"] = _own
+block("v_matched", ("v_pairs", "v_qroots"), f"""
+  SELECT p.qid, p.idx, v.qid AS vid, p.roots, {inter('v.qroots', 'p.title_roots')}::DOUBLE/v.qn AS title, v.qn, v.nn,
+         list_filter(v.qroots, lambda t: list_contains(p.roots,t)) AS m FROM v_pairs p JOIN v_qroots v ON v.qid//100=p.qid""")
+block("v_occ", ("v_matched",), """
+  SELECT qid, idx, vid, ix, list_position(m[1:5], root) AS slot, least(5,len(m)) AS need FROM (
+    SELECT qid, idx, vid, m, unnest(roots) AS root, generate_subscripts(roots,1) AS ix FROM v_matched) WHERE list_contains(m[1:5],root)""")
+block("v_spans", ("v_occ",), BLOCKS["spans"][1].replace("qid, idx", "qid, idx, vid").replace("qid,idx", "qid,idx,vid").replace("FROM occ", "FROM v_occ")
+      .replace("GROUP BY 1,2", "GROUP BY 1,2,3"))
+block("v_best", ("v_matched", "v_spans"), f"""
+  SELECT qid, idx, max(CASE WHEN len(m)>0 THEN round({coverage('len(m)', _numeric, 'qn', 'nn')},12) ELSE 0.0 END) AS lexical_coverage,
+         max(CASE WHEN len(m)>0 THEN title ELSE 0.0 END) AS title_coverage, max({_proximity}) AS term_proximity
+  FROM v_matched LEFT JOIN v_spans USING (qid,idx,vid) GROUP BY 1,2""")
+block("v_features", ("v_pairs", "v_best", "v_affinity"), features(
+    "b.lexical_coverage, b.title_coverage, b.term_proximity", "v_pairs p JOIN v_best b USING (qid,idx) LEFT JOIN v_affinity"))
+again("signals")
+again("scored")
+again("hits5")

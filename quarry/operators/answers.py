@@ -339,8 +339,8 @@ def normalize_generated(answer: Column, declared: Column, insufficient: Column,
 
 
 def _longest_first(aliases: Column) -> Column:
-    # a later passage overrides an equal alias, hence the reverse before distinct
+    # of equal aliases the one replaced first counts: the sort is stable, and reversed the later passage leads
     return F.array_sort(
-        aliases, lambda x, y: F.when(F.length(x["a"]) > F.length(y["a"]), -1)
+        F.reverse(aliases), lambda x, y: F.when(F.length(x["a"]) > F.length(y["a"]), -1)
         .when(F.length(x["a"]) < F.length(y["a"]), 1).otherwise(0)
     )
