@@ -69,6 +69,17 @@ def work_dir(spark: SparkSession) -> str:
     return path
 
 
+def stage_root(spark: SparkSession) -> str:
+    """Folder of this application's stages."""
+    return f"{work_dir(spark)}/quarry-stage/{spark.sparkContext.applicationId}"
+
+
+def clear_stages(spark: SparkSession) -> bool:
+    """Delete the stages of this application; only when every result that reads them has been written."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_root(spark))
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` once under the shared folder and read it back.
 
@@ -76,7 +87,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     result only when it is really small.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/quarry-stage/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -85,3 +85,12 @@ def test_settings_invariants():
         with pytest.raises(ValueError):
             Settings(**bad)
     assert Settings(embedding_dimension=767).embedding_dimension == 768
+
+
+def test_stages_are_cleared(spark, tmp_path, monkeypatch):
+    from quarry import session
+
+    monkeypatch.setattr(session, "stage_root", lambda _: str(tmp_path / "stages"))
+    assert session.materialize(spark.range(5), "five").count() == 5
+    assert [p.name.split("-")[0] for p in (tmp_path / "stages").iterdir()] == ["five"]
+    assert session.clear_stages(spark) and not (tmp_path / "stages").exists()

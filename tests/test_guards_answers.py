@@ -90,6 +90,10 @@ def test_normalize_generated(spark):
     df = context_df(spark, "q", ["t1", "t2"])
     run = lambda a, ids: df.select(A.normalize_generated(F.lit(a), F.array(*map(F.lit, ids)), F.lit(False), F.col("context")).alias("r")).first().r
     assert run("См. [d2:c1] и [D1]", ["S1"]).answer == "См. [S2] и [S1]"
+    # a document of two passages: its bare id names the later one
+    twice = df.select(F.transform("context", lambda c: c.withField("doc_id", F.lit("d1"))).alias("context"))
+    both = twice.select(A.normalize_generated(F.lit("См. [D1]"), F.array(F.lit("S1")), F.lit(False), F.col("context")).alias("r")).first().r
+    assert both.answer == "См. [S2]" and both.used_source_ids == ["S2"]
     assert run("Без ссылок", ["S2"]).answer == "Без ссылок\n\n" + ru.SOURCES_LINE + "[S2]"
 
 
