@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.session import materialize, ship_package
@@ -44,12 +42,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, f"llm-{name}")
 
 
-def stage_path(spark: SparkSession, name: str) -> str:
-    from quarry.session import work_dir
-
-    return f"{work_dir(spark)}/quarry-stage/llm-{name}-{uuid.uuid4().hex}"
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
