@@ -80,14 +80,18 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "lower36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 
 
 def encoding(body: Column) -> Column:
+    """Runs with both pairs of base64's last two symbols are `mixed`: neither kind of base64 writes them."""
     return (
         F.when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX").when(body.rlike("^[A-Z2-7]+$"), "base32")
-        .when(body.rlike("^[0-9a-z]+$"), "lower36").when(body.rlike("^[0-9A-Za-z]+$"), "base62").otherwise("base64")
+        .when(body.rlike("^[0-9a-z]+$"), "lower36").when(body.rlike("^[0-9A-Za-z]+$"), "base62")
+        .when(body.rlike("^[0-9A-Za-z+/]+$"), "base64").when(body.rlike("^[0-9A-Za-z_-]+$"), "base64url").otherwise("mixed")
     )
 
 
