@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns plus a randomness test battery, in native expressions.
 
-Candidates are runs of key characters that hold a letter and a digit. Each gets an inferred encoding
-(hex, base32, alphanumeric or base64) and, over that alphabet, three tests of the hypothesis that
+Candidates are runs of key characters. Each gets an inferred encoding (decimal, hex, base32,
+alphanumeric, base64 or base64url) and, over that alphabet, three tests of the hypothesis that
 it is random: chi-squared uniformity, runs about the middle of the alphabet, and lag-one serial
-correlation. Against it stands the hypothesis that the run is text: under the letter skew of text
-its chi-squared would be much larger, the more so the longer it is. That p-value is rounded up to
+correlation. Against it stands the hypothesis that the run is text: under the symbol shares that the
+whole corpus's text has over that alphabet more of its symbols would be equal. That p-value is rounded up to
 a tenth of a decade, counted by length class, and the Benjamini-Hochberg bound is read off those
 few counts (each class is weighted by how much its lengths can tell). A candidate becomes a `random`
 span if the bound rejects text and no test, corrected for their number, rejects randomness.
@@ -38,7 +38,7 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 class BatterySettings:
     false_discovery: float = 0.01
     least_random: float = 0.001
-    #: Sum of squared symbol shares of text over the encoding's alphabet, relative to 1 / alphabet size.
+    #: Sum of squared symbol shares of text over an alphabet, relative to 1 / alphabet size, where the corpus has no such symbol.
     text_skew: float = 2.0
     steps: int = 10
     classes: tuple[int, ...] = (28, 40, 64, 128)
@@ -75,6 +75,7 @@ def _normal_tail(z: Column) -> Column:
 
 #: Alphabets by inferred encoding, in the order of their symbols.
 ALPHABETS = {
+    "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -84,27 +85,53 @@ ALPHABETS = {
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
+#: Text of one case is measured on the letters of both.
+FOLDED = {"hex": str.lower, "HEX": str.upper, "base32": str.upper, "lower36": str.lower}
 
 
 def encoding(body: Column) -> Column:
     """Runs with both pairs of base64's last two symbols are `mixed`: neither kind of base64 writes them."""
     return (
-        F.when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX").when(body.rlike("^[A-Z2-7]+$"), "base32")
-        .when(body.rlike("^[0-9a-z]+$"), "lower36").when(body.rlike("^[0-9A-Za-z]+$"), "base62")
+        F.when(body.rlike("^[0-9]+$"), "decimal").when(body.rlike("^[0-9a-f]+$"), "hex").when(body.rlike("^[0-9A-F]+$"), "HEX")
+        .when(body.rlike("^[A-Z2-7]+$"), "base32").when(body.rlike("^[0-9a-z]+$"), "lower36").when(body.rlike("^[0-9A-Za-z]+$"), "base62")
         .when(body.rlike("^[0-9A-Za-z+/]+$"), "base64").when(body.rlike("^[0-9A-Za-z_-]+$"), "base64url").otherwise("mixed")
     )
 
 
-def battery(candidates: Column, s: BatterySettings) -> Column:
-    """Array of (start, end, value) -> array of (start, end, enc, n, p_text, p_random), of those with a letter and a digit.
+def text_moments(docs: DataFrame, s: BatterySettings, text: str = "text") -> dict[str, tuple[float, float]]:
+    """Encoding -> sums of the squared and of the cubed symbol shares of the corpus's text outside the candidates.
+
+    Every document is counted; one row a symbol comes to the driver."""
+    symbols = ALPHABETS["mixed"]
+    plain = F.array(F.regexp_replace(text_of(text), CANDIDATE, " "))
+    # a lambda variable, so that the candidates are cut out once and not once a symbol
+    counts = F.transform(plain, lambda t: F.array(*[F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in symbols]))
+    got = docs.select(F.posexplode(F.element_at(counts, 1)).alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
+    seen = {symbols[r["at"]]: r["n"] for r in got}
+    out = {}
+    for name, alphabet in ALPHABETS.items():
+        fold = FOLDED.get(name, str)
+        n = dict.fromkeys(alphabet, 0)
+        for c, m in seen.items():
+            if fold(c) in n:
+                n[fold(c)] += m
+        total = sum(n.values())
+        square = s.text_skew / len(alphabet)
+        out[name] = (sum((x / total) ** 2 for x in n.values()), sum((x / total) ** 3 for x in n.values())) if total else (square, 1.25 * square**2)
+    return out
+
+
+def battery(candidates: Column, s: BatterySettings, moments: dict[str, tuple[float, float]]) -> Column:
+    """Array of (start, end, value) -> array of (start, end, enc, n, p_text, p_random); `moments` as of `text_moments`.
 
     Every step is an array of structs, so that each quantity is computed once."""
     letters = F.transform(
-        F.filter(candidates, lambda c: c.value.rlike("[0-9]") & c.value.rlike("[A-Za-z]")),
+        candidates,
         lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), F.rtrim(c.value, F.lit("=")).alias("body")),
     )
     coded = F.transform(letters, lambda c: F.struct(c.start.alias("start"), c.end.alias("end"), c.body.alias("body"), encoding(c.body).alias("enc")))
     alphabet = F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv])
+    square, cube = (F.create_map(*[F.lit(x) for k, v in moments.items() for x in (k, v[i])]) for i in range(2))
     indexed = F.transform(
         coded,
         lambda c: F.struct(
@@ -148,9 +175,12 @@ def battery(candidates: Column, s: BatterySettings) -> Column:
         # Wilson-Hilferty: the cube root of chi-squared over its degrees of freedom is nearly normal
         spread = F.lit(2.0) / (F.lit(9.0) * (k - 1))
         z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
-        # of text: mean and deviation of the same statistic under a skewed alphabet
-        mean = (k - 1) + (n - 1) * F.lit(s.text_skew - 1)
-        deviation = F.sqrt(F.lit(2.0) * (k - 1) + F.lit(4.0) * (n - 1) * F.lit(s.text_skew - 1))
+        # of text: mean and variance of the number of equal pairs under the corpus's shares; its cube root is nearly normal
+        p2, p3, pairs = square[c.enc], cube[c.enc], n * (n - 1) / 2
+        expected = pairs * p2
+        variance_text = pairs * (F.lit(2.0) * (n - 2) * F.greatest(p3 - p2 * p2, F.lit(0.0)) + F.greatest(p2 - p2 * p2, F.lit(1e-9)))
+        relative = variance_text / (expected * expected * 9)
+        z_text = (F.lit(1.0) - relative - F.pow(((c.squares - n) / 2 + 0.5) / expected, F.lit(1 / 3))) / F.sqrt(relative)
         low = n - c.m.high
         both = F.greatest(c.m.high * low, F.lit(0.5))
         runs_mean = F.lit(2.0) * both / n + 1
@@ -161,7 +191,7 @@ def battery(candidates: Column, s: BatterySettings) -> Column:
         return F.struct(
             c.start.alias("start"), c.end.alias("end"), c.enc.alias("enc"), c.n.cast("int").alias("n"),
             z_chi.alias("z_chi"), ((c.m.runs - runs_mean) / runs_sd).alias("z_runs"),
-            ((lag / variance + F.lit(1.0) / n) * F.sqrt(n)).alias("z_serial"), ((mean - chi) / deviation).alias("z_text"),
+            ((lag / variance + F.lit(1.0) / n) * F.sqrt(n)).alias("z_serial"), z_text.alias("z_text"),
         )
 
     def tails(c: Column) -> Column:
@@ -217,7 +247,8 @@ def secret_spans(docs: DataFrame, s: BatterySettings = BatterySettings(), text:
     t = text_of(text)
     col, cand, fixed = scratch(docs, "secrets", "candidates", "fixed")
     key = lambda c: F.struct(length_class(c.n, s).alias("cls"), step_of(c.p_text, s).alias("step"))
-    seen = docs.select(battery(matches(t, CANDIDATE), s).alias("c")).select(F.explode(F.transform("c", key)).alias("k")).select("k.*")
+    moments = text_moments(docs, s, text)
+    seen = docs.select(battery(matches(t, CANDIDATE), s, moments).alias("c")).select(F.explode(F.transform("c", key)).alias("k")).select("k.*")
     bounds = discovery_bounds(seen, s)
     least = F.create_map(*[F.lit(x) for kv in sorted(bounds.items()) for x in kv])
 
@@ -227,7 +258,7 @@ def secret_spans(docs: DataFrame, s: BatterySettings = BatterySettings(), text:
     value = lambda m: F.length(F.regexp_extract(m.value, "^" + ASSIGN, 2))
     df = docs.withColumn(fixed, F.struct(
         F.filter(matches(t, ASSIGN), lambda m: value(m) >= ASSIGN_LEAST).alias("assign"), matches(t, ACCESS).alias("access"), matches(t, HEX).alias("hex"),
-    )).withColumn(cand, battery(matches(t, CANDIDATE), s))
+    )).withColumn(cand, battery(matches(t, CANDIDATE), s, moments))
     f = F.col(fixed)
     base = F.array_sort(F.concat(*[spans(k, f[k]) for k in KINDS[:3]]))
     df = df.withColumn(col, F.struct(F.size(f.assign).cast("long").alias("n_assign"), F.size(f.access).cast("long").alias("n_access"), F.size(f.hex).cast("long").alias("n_hex"), base.alias("base")))
