@@ -11,7 +11,8 @@ The radius of 23 bits lies far beyond the distances of windows at 0.8 (mean abou
 
 Cases: null and blank texts or items match nothing; an item of fewer than five words is compared by
 one shingle of its length; a text shorter than an item is one window; repeated rows return their
-matches each; equal items match alike; empty tables give an empty result; in `decontaminate` the
+matches each; equal items match alike, whatever their item_ids, and a null item_id is
+reported like any other; empty tables give an empty result; in `decontaminate` the
 columns of the documents pass through, whatever their names.
 """
 
@@ -68,11 +69,13 @@ def blocks(fp: Column, radius: int) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame, radius: int, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(item_id, k, n_words, item_hashes, item_fp, item_blocks): staged, one row per item that has a word."""
+    """(item, item_id, k, n_words, item_hashes, item_fp, item_blocks): staged, one row per item that has a word.
+
+    `item` is the digest of the item's words: unlike item_id it is never null, and equal items share it."""
     df = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), words(text_of(text)).alias("w")).where(F.size("w") > 0)
     df = df.withColumn("k", F.least(F.size("w"), F.lit(SHINGLE)))
     hashes = F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("w"), k)) for k in range(1, SHINGLE + 1)])
-    df = df.select("item_id", "k", F.size("w").alias("n_words"), hashes.alias("item_hashes"))
+    df = df.select(F.md5(F.array_join("w", " ")).alias("item"), "item_id", "k", F.size("w").alias("n_words"), hashes.alias("item_hashes"))
     df = df.withColumn("item_fp", simhash(F.col("item_hashes")))
     return stage(df.withColumn("item_blocks", blocks(F.col("item_fp"), radius)), "items")
 
@@ -80,30 +83,30 @@ def benchmark_items(benchmark: DataFrame, radius: int, text: str = "text", item_
 def candidate_pairs(docs: DataFrame, items: DataFrame, s: LeakSettings, text: str = "text") -> DataFrame:
     """(key, item_id, starts, item columns): texts (by digest) with enough hits of an item; staged."""
     sizes = [r.k for r in items.select("k").distinct().orderBy("k").collect()]  # at most five
-    distinct_hashes = items.select("item_id", "k", "n_words", F.size("item_hashes").alias("weight"), F.explode(F.array_distinct("item_hashes")).alias("h"))
+    distinct_hashes = items.dropDuplicates(["item"]).select("item", "k", "n_words", F.size("item_hashes").alias("weight"), F.explode(F.array_distinct("item_hashes")).alias("h"))
     n_hashes = distinct_hashes.count()
     t = text_of(text)
     base = docs.select(F.md5(t).alias("key"), words(t).alias("w"))
     hits = None
     for k in sizes:
-        own = distinct_hashes.where(F.col("k") == k).select("h", "item_id", "n_words", "weight")
+        own = distinct_hashes.where(F.col("k") == k).select("h", "item", "n_words", "weight")
         found = (
             base.select("key", F.size("w").alias("m"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "h"))
             .join(small_side(own, n_hashes, BROADCAST_ROWS), "h")
-            .select("key", "item_id", "n_words", "weight", "m", "pos")
+            .select("key", "item", "n_words", "weight", "m", "pos")
         )
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        hits = base.select("key", *[F.lit(0).alias(c) for c in ("item_id", "n_words", "weight", "m", "pos")]).limit(0)
+        hits = base.select("key", *[F.lit(0).alias(c) for c in ("item", "n_words", "weight", "m", "pos")]).limit(0)
     start = F.greatest(F.least(F.col("pos"), F.col("m") - F.col("n_words")), F.lit(0))
-    per = hits.distinct().groupBy("key", "item_id", "weight", "n_words").agg(
+    per = hits.distinct().groupBy("key", "item", "weight", "n_words").agg(
         F.array_sort(F.collect_set("pos")).alias("hits"), F.array_sort(F.collect_set(start)).alias("starts")
     )
     # c shared of a window's and an item's weights: c / (|W| + |I| - c) >= t needs c >= t * |I|
     need = F.ceil(F.col("weight") * s.threshold - 1e-9)
     enough = F.filter("starts", lambda b: F.size(F.filter("hits", lambda p: (p >= b) & (p < b + F.col("weight")))) >= need)
-    per = per.where(F.size("hits") >= need).select("key", "item_id", enough.alias("starts")).where(F.size("starts") > 0)
-    return stage(per.join(items, "item_id"), "pairs")
+    per = per.where(F.size("hits") >= need).select("key", "item", enough.alias("starts")).where(F.size("starts") > 0)
+    return stage(per.join(items, "item"), "pairs")
 
 
 def _verified(own: DataFrame, sizes: list[int], s: LeakSettings) -> DataFrame:
