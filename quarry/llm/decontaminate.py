@@ -5,9 +5,10 @@
 2. The remaining pairs' item-sized windows that start at a hit (a best window can always be moved
    there) get a 64-bit SimHash. The fingerprints are cut into radius + 1 blocks; a window is a
    candidate of its item if a block agrees, which no pair within the radius can miss.
-3. Candidates within the radius are verified by weighted (multiset) shingle similarity.
+3. Candidates within the radius are verified by weighted (multiset) shingle similarity. Where the item or the
+   window holds a shingle twice the radius does not count: a repeated shingle moves many bits at once.
 
-The radius of 23 bits lies far beyond the distances of windows at 0.8 (mean about 10 bits).
+Of distinct shingles the radius of 23 bits lies far beyond the distances of windows at 0.8 (mean about 10 bits).
 
 Cases: null and blank texts or items match nothing; an item of fewer than five words is compared by
 one shingle of its length; a text shorter than an item is one window; repeated rows return their
@@ -120,12 +121,13 @@ def _verified(own: DataFrame, sizes: list[int], s: LeakSettings) -> DataFrame:
     shared = lambda window: F.aggregate(
         F.array_distinct("item_hashes"), F.lit(0), lambda acc, h: acc + F.least(count(F.col("item_hashes"), h), count(window, h))
     )
+    repeats = lambda xs: F.size(F.array_distinct(xs)) < F.size(xs)
     own = own.withColumn(
         "near",
         F.filter(
             F.arrays_zip("starts", "windows", "fps"),
-            lambda z: F.arrays_overlap(blocks(z.fps, s.radius), F.col("item_blocks"))
-            & (F.bit_count(z.fps.bitwiseXOR(F.col("item_fp"))) <= s.radius),
+            lambda z: repeats(F.col("item_hashes")) | repeats(z.windows)
+            | (F.arrays_overlap(blocks(z.fps, s.radius), F.col("item_blocks")) & (F.bit_count(z.fps.bitwiseXOR(F.col("item_fp"))) <= s.radius)),
         ),
     )
     own = own.withColumn("common", F.transform("near", lambda z: shared(z.windows)))
