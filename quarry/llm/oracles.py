@@ -81,3 +81,71 @@ c AS (
   FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source),
 t AS (SELECT *, epochs + (rest > 0 AND 2 * before + size <= 2 * rest)::BIGINT AS copies FROM c)
 SELECT doc_id, size, source_size, round(target, 6) AS target, (copies * size)::BIGINT AS taken, source, copies FROM t"""
+
+
+def clusters(k: int = 8, rounds: int = 10) -> str:
+    """Long rows (vector, dimension, value); one pair of subqueries a round."""
+    steps = [f"""
+e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = 64),
+x AS MATERIALIZED (SELECT rid, unnest(range(1, 65)) AS d, unnest(v) AS x FROM e),
+s AS (SELECT rid, row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c FROM e QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, d, x FROM s JOIN x USING (rid))"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, arg_min(c, [dist, c]) AS c, min(dist) AS dist FROM (
+    SELECT rid, c, sum((x.x - c{i}.x) * (x.x - c{i}.x))::BIGINT AS dist FROM x JOIN c{i} USING (d) GROUP BY rid, c) GROUP BY rid)""")
+        if i < rounds:
+            steps.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c, d, coalesce(m, c{i}.x) AS x FROM c{i} LEFT JOIN (
+    SELECT c, d, floor(sum(x) / count(*))::BIGINT AS m FROM x JOIN a{i} USING (rid) GROUP BY c, d) USING (c, d))""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(dist) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM a{rounds} a JOIN e USING (rid) JOIN (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c) n ON n.c = a.c"""
+
+
+DIVERGENCE = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+w AS (SELECT rid, lang, source, unnest(ws) AS term FROM d),
+t AS MATERIALIZED (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM t GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w JOIN t USING (lang, term) GROUP BY lang, source, term),
+g AS MATERIALIZED (
+  SELECT lang, source, coalesce(any_value(s.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source) GROUP BY lang, source),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n + 2 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (t.n + 2)) // (v.n + 2 * v.v) AS q
+  FROM g JOIN t USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 10"""
+
+
+JACCARD = rf"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT rid, md5(array_to_string(ws[i:i+2], ' ')) AS g FROM (
+    SELECT rid, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS i FROM d)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY x.rid, y.rid)
+  JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * i >= 90 * (p.n + q.n - i)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(doc_id, m.least) AS component_id
+FROM d LEFT JOIN n USING (rid) LEFT JOIN (SELECT r.a AS rid, min(d.doc_id) AS least FROM r JOIN d ON d.rid = r.b GROUP BY r.a) m USING (rid)"""

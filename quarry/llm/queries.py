@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.llm import (
-    chat_format, decontaminate, language_id, mixing, oracles, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, training_order,
+    centroid_clusters, chat_format, decontaminate, jaccard_join, language_id, mixing, oracles, quality_rules, secret_scan, simhash_dedup,
+    source_divergence, suffix_dedup, token_counts, training_order,
 )
 from quarry.llm.common import stage, table
 
@@ -78,6 +79,18 @@ def op10_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.examples(turns.unionByName(extra)))
 
 
+def op11_centroid_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return centroid_clusters.clustered(table(spark, d, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, d: str) -> DataFrame:
+    return source_divergence.audit(_docs(spark, d))
+
+
+def op13_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_docs(spark, d))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +101,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_training_order, op2_secret_scan, op3_suffix_dedup, op4_simhash, op5_decontaminate, op6_language_id, op7_mixing, op8_quality_rules,
-        op9_token_counts, op10_chat_format, pipeline,
+        op9_token_counts, op10_chat_format, op11_centroid_clusters, op12_source_divergence, op13_jaccard_join, pipeline,
     )
 }
-SQL: dict[str, str] = {"op8_quality_rules": oracles.quality(), "op10_chat_format": oracles.CHAT, "op7_mixing": oracles.MIXING}
+SQL: dict[str, str] = {
+    "op7_mixing": oracles.MIXING, "op8_quality_rules": oracles.quality(), "op10_chat_format": oracles.CHAT, "op11_centroid_clusters": oracles.clusters(),
+    "op12_source_divergence": oracles.DIVERGENCE, "op13_jaccard_join": oracles.JACCARD,
+}
