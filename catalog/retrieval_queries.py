@@ -53,7 +53,7 @@ def _(spark, d):
 def _lexical(spark, d):
     roots = R.variant_roots(_variants(spark, d))
     n = roots.agg(F.sum("qn")).first()[0]
-    return R.lexical_topk(snapshot(spark, d).table("chunks").select("idx", "roots"), roots, n, S.lexical_candidate_k, S)
+    return R.lexical_topk(snapshot(spark, d).table("postings"), roots, n, S.lexical_candidate_k, S)
 
 
 @query("lexical_topk", sql("SELECT qid, idx, coverage, lex_rank FROM lexical", "lexical"))

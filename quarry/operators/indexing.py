@@ -6,6 +6,10 @@
     vocab     family, term_id, df, total, idf
     docs      doc_id, title, section, url, ..., title_roots, n_chunks
     doc_roots doc_id, root, n
+    postings  root, slice, n, low, high, idxs                              bucketed by root
+
+A posting block holds the chunks of one slice of the corpus that have the root, ordered by idx, with
+their number and range; a root in many chunks is as many blocks as there are slices, never one row.
 
 The three per-chunk tables share one bucketing, so joins and group-bys on `idx`
 need no exchange.
@@ -28,11 +32,13 @@ from quarry.session import materialize
 from quarry.settings import Settings
 from quarry.sources.tables import actual_documents
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 SPARSE_LIBRARY = "spark-tfidf-v1"
 HOT_TERM_LIMIT = 500_000
-TABLES = ("chunks", "profiles", "norms", "vocab", "docs", "doc_roots")
-BUCKETED = ("chunks", "profiles", "norms")
+TABLES = ("chunks", "profiles", "norms", "vocab", "docs", "doc_roots", "postings")
+#: Bucketed tables and the columns that bucket and sort them.
+BUCKETED = {"chunks": ("idx", ["idx"]), "profiles": ("idx", ["idx"]), "norms": ("idx", ["idx"]), "postings": ("root", ["root", "slice"])}
+BY_CHUNK = ("chunks", "profiles", "norms")
 
 
 @dataclass(frozen=True)
@@ -216,6 +222,14 @@ def document_dimension(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
+def root_postings(chunks: DataFrame, slices: int) -> DataFrame:
+    """(root, slice, n, low, high, idxs): the inverted index of the distinct roots of every chunk, in blocks."""
+    rows = chunks.select(
+        F.explode(F.array_distinct("roots")).alias("root"), F.pmod(F.xxhash64("idx"), F.lit(slices)).cast("int").alias("slice"), "idx")
+    lists = rows.groupBy("root", "slice").agg(F.array_sort(F.collect_list("idx")).alias("idxs"))
+    return lists.select("root", "slice", F.size("idxs").alias("n"), F.array_min("idxs").alias("low"), F.array_max("idxs").alias("high"), "idxs")
+
+
 # --- build, load, reuse ---------------------------------------------------------------
 
 
@@ -243,10 +257,11 @@ def build_index(
         """`placed`: every partition of `df` holds whole buckets already."""
         table = names[name]
         if name in BUCKETED:
-            laid = df if placed else df.repartition(buckets, "idx")
+            by, order = BUCKETED[name]
+            laid = df if placed else df.repartition(buckets, by)
             (
                 laid.write.mode("overwrite").format("parquet")
-                .bucketBy(buckets, "idx").sortBy("idx")
+                .bucketBy(buckets, by).sortBy(order)
                 .option("path", f"{path}/{name}").saveAsTable(table)
             )
         else:
@@ -273,6 +288,7 @@ def build_index(
     save("norms", chunk_norms(profiles, vocab))
     docs = save("docs", document_dimension(docs_in, chunks))
     save("doc_roots", document_roots(chunks, docs))
+    save("postings", root_postings(chunks, max(buckets, -(-n_chunks // s.posting_slice_chunks))))
 
     manifest = {
         **expected_manifest(source_key, s),
@@ -308,14 +324,14 @@ def load_index(spark: SparkSession, root: str, s: Settings, *, verify: bool = Fa
     for t in TABLES:
         names[t] = f"quarry_{version.replace('-', '_')}_{t}"
         if not spark.catalog.tableExists(names[t]):
-            cluster = f"CLUSTERED BY (idx) INTO {manifest['buckets']} BUCKETS" if t in BUCKETED else ""
+            cluster = f"CLUSTERED BY ({BUCKETED[t][0]}) INTO {manifest['buckets']} BUCKETS" if t in BUCKETED else ""
             columns = manifest["schemas"][t]
             spark.sql(
                 f"CREATE TABLE {names[t]} ({columns}) USING parquet {cluster} LOCATION '{path}/{t}'"
             )
     snap = Snapshot(spark, path, manifest, s, names)
     if verify:
-        for t in BUCKETED:
+        for t in BY_CHUNK:
             rows = snap.table(t).count()
             if rows != manifest["chunk_count"]:
                 raise ValueError(f"{t}: {rows} rows, manifest says {manifest['chunk_count']}")

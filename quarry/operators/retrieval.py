@@ -75,33 +75,14 @@ def coverage_value(matched: Column, matched_numeric: Column, qn: Column, n_numer
     return F.when((n_numeric > 0) & (matched_numeric == n_numeric), boosted).otherwise(cov)
 
 
-def lexical_topk(chunks: DataFrame, roots: DataFrame, n_roots: int, k: int, s: Settings) -> DataFrame:
-    """(qid, idx, coverage, lex_rank): best root coverage per query.
-
-    A counted block of variants meets the chunks in one pass that keeps a running top k. More
-    variants, or more roots than may be broadcast, are joined by salted root.
-    """
+def lexical_topk(postings: DataFrame, roots: DataFrame, n_roots: int, k: int, s: Settings) -> DataFrame:
+    """(qid, idx, coverage, lex_rank): best root coverage per query, from the inverted index."""
     n_variants = roots.count()
-    if n_variants <= s.query_block and n_roots <= s.broadcast_rows:
-        names = F.broadcast(roots.select("qkey", "qid"))
-        per_query = coverage_topk(chunks, roots, k, s).join(names, "qkey").select("qid", "idx", "coverage", "qkey")
-    else:
-        # a common root may sit in a third of all chunks: salt it
-        salts = 32
-        postings = chunks.select("idx", F.explode(F.array_distinct("roots")).alias("root"))
-        terms = roots.select("qkey", "qid", "qn", "n_numeric", F.explode("qroots").alias("root"))
-        hits = postings.withColumn("salt", F.pmod("idx", F.lit(salts))).join(
-            terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["root", "salt"]
-        )
-        per_variant = hits.groupBy("qkey", "idx").agg(
-            F.first("qid").alias("qid"),
-            F.count("*").alias("m"),
-            F.sum(is_number(F.col("root")).cast("int")).alias("mn"),
-            F.first("qn").alias("qn"),
-            F.first("n_numeric").alias("nn"),
-        )
-        cov = F.round(coverage_value(F.col("m"), F.col("mn"), F.col("qn"), F.col("nn")), s.score_digits)
-        per_query = per_variant.select("qid", "idx", cov.alias("coverage"), "qkey")
+    names = small_side(roots.select("qkey", "qid"), n_variants, s.broadcast_rows)
+    per_query = coverage_topk(postings, roots, n_variants, n_roots, k, s).join(names, "qkey").select("qid", "idx", "coverage", "qkey")
+    # a slice keeps its own top k: those of all slices are cut to k a variant
+    each = Window.partitionBy("qkey").orderBy(F.desc("coverage"), "idx")
+    per_query = per_query.withColumn("n", F.row_number().over(each)).filter(F.col("n") <= k)
     # several variants of one query: keep the best value per chunk
     best = per_query.groupBy("qid", "idx").agg(F.max("coverage").alias("coverage"))
     order = Window.partitionBy("qid").orderBy(F.desc("coverage"), "idx")
@@ -393,9 +374,7 @@ def search(
     lexical = None
     if s.lexical_rerank_enabled:
         lexical = materialize(
-            lexical_topk(
-                snap.table("chunks").select("idx", "roots"), roots, n_roots, s.lexical_candidate_k, s
-            ),
+            lexical_topk(snap.table("postings"), roots, n_roots, s.lexical_candidate_k, s),
             "lexical",
         )
     pool = materialize(candidate_pool(fused, lexical, s), "pool")

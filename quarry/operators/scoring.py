@@ -7,14 +7,16 @@ vectors inside the task, and only the running top-k per query leaves the task:
 
 * queries <= settings.query_block: the block (a counted, bounded number of rows) is
   broadcast and the corpus is scanned once, with no shuffle of the corpus;
-* more queries: both sides are laid out on a grid (query block x corpus cell) by hash
-  and cogrouped, so no block ever passes through the driver.
+* more queries: they are packed into block rows in shared storage, and every corpus task reads
+  the blocks in turn (`in_blocks`). The corpus stays where it is, no block passes through the
+  driver, and a task holds one block at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,8 @@ PROFILE_COLUMNS = [
     "idx", "word_ids", "word_tfs", "char_ids", "char_tfs", "buckets", "word_norm", "char_norm",
 ]
 HIT_SCHEMA = "qkey long, kind string, idx long, score double"
-CELL_ROWS = 20_000
+#: Corpus rows of one packed row.
+PACKED_ROWS = 1_024
 
 
 # --- query side ----------------------------------------------------------------
@@ -143,17 +146,20 @@ class TopK:
         self.last_idx = np.full(n_queries, np.iinfo(np.int64).max)
 
     def add(self, idx: np.ndarray, scores: np.ndarray) -> None:
-        n = len(idx)
-        by_idx = np.argsort(idx, kind="stable")
-        idx, scores = idx[by_idx], scores[by_idx]
-        enter = (scores > self.last_score) | ((scores == self.last_score) & (idx[:, None] < self.last_idx))
-        if n > self.k:
-            limit = np.partition(scores, n - self.k, axis=0)[n - self.k]
-            above = scores > limit
-            # of the rows level with the batch's k-th, the first by idx fill what is left
-            level = scores == limit
-            room = self.k - above.sum(axis=0)
-            enter &= above | (level & (np.cumsum(level, axis=0) <= room))
+        enter = scores > self.last_score
+        level = scores == self.last_score
+        if level.any():
+            enter |= level & (idx[:, None] < self.last_idx)
+        # a query that more rows enter than it may keep is cut to its first k before anything is sorted
+        for c in np.nonzero(enter.sum(axis=0) > self.k)[0]:
+            rows = np.nonzero(enter[:, c])[0]
+            own = scores[rows, c]
+            limit = np.partition(own, len(own) - self.k)[len(own) - self.k]
+            above, tied = own > limit, rows[own == limit]
+            room = self.k - int(above.sum())
+            enter[:, c] = False
+            enter[rows[above], c] = True
+            enter[tied[np.argsort(idx[tied])[:room]], c] = True
         rows, cols = np.nonzero(enter)
         if not len(rows):
             return
@@ -228,7 +234,7 @@ def score_topk(
             local = _score_broadcast(snap.spark, corpus, profiles, snap.table("vocab"), kinds, s)
         else:
             n_blocks = max(-(-n_variants // s.query_block), -(-n_terms // s.broadcast_rows))
-            local = _score_grid(snap, corpus, profiles, n_blocks, kinds)
+            local = _score_blocks(snap, corpus, profiles, n_blocks, n_variants, kinds)
     order = Window.partitionBy("qkey", "kind").orderBy(F.desc("score"), "idx")
     limit = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in kinds.items()])
     ranked = local.withColumn("rank", F.row_number().over(order))
@@ -252,49 +258,80 @@ def _score_broadcast(
     return corpus.mapInArrow(run, HIT_SCHEMA)
 
 
-def _score_grid(
-    snap: Snapshot, corpus: DataFrame, profiles: DataFrame, n_blocks: int, kinds: dict[str, int]
+def packed_rows(df: DataFrame, column: str) -> DataFrame:
+    """One binary row per Arrow batch; nothing is shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PACKED_ROWS):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(lo, PACKED_ROWS))
+                yield pa.RecordBatch.from_pydict({column: pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return df.mapInArrow(pack, f"{column} binary")
+
+
+def unpacked(value: pa.Scalar) -> list[pa.RecordBatch]:
+    return list(pa.ipc.open_stream(value.as_buffer()))
+
+
+def question_blocks(questions: DataFrame, n_questions: int, size: int) -> DataFrame:
+    """(block, questions): binary rows of about `size` questions each, a bounded number of them in a partition."""
+    n_blocks = -(-n_questions // size)
+
+    def pack(block: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        rows = block.drop_columns("block")
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        return pa.table({"block": block["block"][:1], "questions": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    dealt = questions.withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(n_blocks)).cast("int"))
+    return materialize(dealt.groupBy("block").applyInArrow(pack, "block int, questions binary"), "question-blocks")
+
+
+def in_blocks(
+    corpus: DataFrame, blocks: DataFrame, score: Callable[[pa.Table, Iterator[list[pa.RecordBatch]]], Iterator[pa.RecordBatch]], schema: str
+) -> DataFrame:
+    """`score(questions, batches of the corpus partition)` for every block and every partition of the corpus.
+
+    `corpus` may already be packed, one binary `cell` a row. A stated set of questions against all rows, in blocks: each task reads its own corpus partition and the question blocks
+    one after another. The corpus is not shuffled, and only what `score` keeps leaves the task.
+    """
+    cells = corpus if corpus.columns == ["cell"] else packed_rows(corpus, "cell")
+    pairs = blocks.hint("shuffle_replicate_nl").crossJoin(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((b["block"][i].as_py(), b["questions"][i], b["cell"][i]) for b in batches for i in range(b.num_rows))
+        for _, same in groupby(rows, key=lambda r: r[0]):
+            _, questions, cell = next(same)
+            yield from score(pa.Table.from_batches(unpacked(questions)), chain([unpacked(cell)], (unpacked(r[2]) for r in same)))
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _score_blocks(
+    snap: Snapshot, corpus: DataFrame, profiles: DataFrame, n_blocks: int, n_variants: int, kinds: dict[str, int]
 ) -> DataFrame:
     s = snap.settings
-    n_cells = max(1, -(-snap.manifest["chunk_count"] // CELL_ROWS))
-    blocks, cells = F.sequence(F.lit(0), F.lit(n_blocks - 1)), F.sequence(F.lit(0), F.lit(n_cells - 1))
     weights = query_weights(profiles, snap.table("vocab"), s, bounded=False)
     per_query = weights.groupBy("qkey").agg(
         F.collect_list(F.struct("family", "term_id", "idf", "weight")).alias("terms")
     )
-    left = (
-        profiles.select("qkey", "buckets").join(per_query, "qkey", "left")
-        .withColumn("block", F.pmod(F.xxhash64("qkey"), F.lit(n_blocks)))
-        .withColumn("cell", F.explode(cells))
-    )
-    right = corpus.withColumn("cell", F.pmod(F.xxhash64("idx"), F.lit(n_cells))).withColumn(
-        "block", F.explode(blocks)
-    )
+    asked = profiles.select("qkey", "buckets").join(per_query, "qkey", "left")
     half = s.embedding_dimension // 2
 
-    def run(queries: pa.Table, chunks: pa.Table) -> pa.Table:
-        schema = pa.schema(
-            [("qkey", pa.int64()), ("kind", pa.string()), ("idx", pa.int64()), ("score", pa.float64())]
-        )
-        if not queries.num_rows or not chunks.num_rows:
-            return schema.empty_table()
-        pdf = queries.select(["qkey", "buckets", "terms"]).to_pandas()
+    def score(questions: pa.Table, cells: Iterator[list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        pdf = questions.to_pandas()
         rows = [
             (k, t["family"], t["term_id"], t["idf"], t["weight"])
             for k, ts in zip(pdf["qkey"], pdf["terms"]) if ts is not None for t in ts
         ]
         w = pd.DataFrame(rows, columns=["qkey", "family", "term_id", "idf", "weight"])
-        out = list(
-            score_batches(
-                chunks.select(PROFILE_COLUMNS).combine_chunks().to_batches(1024),
-                make_block(pdf, w, half), kinds, s,
-            )
-        )
-        return pa.Table.from_batches(out, schema)
+        return score_batches(chain.from_iterable(cells), make_block(pdf, w, half), kinds, s)
 
-    return (
-        left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInArrow(run, HIT_SCHEMA)
-    )
+    return in_blocks(corpus.select(PROFILE_COLUMNS), question_blocks(asked, n_variants, -(-n_variants // n_blocks)), score, HIT_SCHEMA)
 
 
 def vector_topk(
@@ -302,9 +339,8 @@ def vector_topk(
 ) -> DataFrame:
     """Dense top-k over precomputed vectors: corpus(idx, vector), queries(qkey, vector).
 
-    Up to `query_block` counted queries are broadcast and the corpus is scanned in place. More are
-    cut into hash blocks and meet hash cells of the corpus on a grid, each pair of a block and a
-    cell in one task; no query vector passes through the driver and a task emits its top k only.
+    Up to `query_block` counted queries are broadcast; more are read in blocks by every corpus task in
+    turn. The corpus is scanned in place either way, and a task emits its top k only.
     """
     spark = corpus.sparkSession
     ship_package(spark)
@@ -337,77 +373,113 @@ def vector_topk(
 
         scored = corpus.mapInArrow(scan, columns)
     else:
-        n_blocks, n_cells = -(-n_queries // s.query_block), max(1, -(-corpus.count() // CELL_ROWS))
-        left = queries.select(
-            "qkey", "vector", F.pmod(F.xxhash64("qkey"), F.lit(n_blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).alias("cell"),
-        )
-        right = corpus.select(
-            "idx", "vector", F.pmod(F.xxhash64("idx"), F.lit(n_cells)).alias("cell"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-        )
+        def score(questions: pa.Table, cells: Iterator[list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+            keys = questions["qkey"].to_numpy()
+            m = matrix(questions["vector"].combine_chunks(), len(keys))
+            yield from against(keys, m, chain.from_iterable(cells)).to_batches()
 
-        def meet(asked: pa.Table, rows: pa.Table) -> pa.Table:
-            if not asked.num_rows or not rows.num_rows:
-                return found(np.empty(0, np.int64), TopK(k, 0))
-            return against(
-                asked["qkey"].to_numpy(), matrix(asked["vector"].combine_chunks(), asked.num_rows),
-                rows.combine_chunks().to_batches(1024),
-            )
-
-        scored = left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInArrow(meet, columns)
+        blocks = question_blocks(queries.select("qkey", "vector"), n_queries, s.query_block)
+        scored = in_blocks(corpus.select("idx", "vector"), blocks, score, columns)
     order = Window.partitionBy("qkey").orderBy(F.desc("score"), "idx")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def coverage_topk(
-    chunks: DataFrame, roots: DataFrame, k: int, s: Settings
-) -> DataFrame:
-    """(qkey, idx, coverage): each variant's best root coverage, in one pass over chunks(idx, roots).
+@dataclass
+class RootBlock:
+    """Questions by the roots they ask for."""
+
+    keys: np.ndarray
+    names: pa.Array                      # distinct roots
+    digits: np.ndarray                   # whether a root is a number
+    variants: np.ndarray                 # variants by root, from first[root] to first[root + 1]
+    first: np.ndarray
+    size: np.ndarray
+    n_numeric: np.ndarray
+
+
+def make_root_block(asked: pa.Table) -> RootBlock:
+    names = pc.unique(asked["qroots"].combine_chunks().flatten())
+    at = pc.index_in(asked["qroots"].combine_chunks().flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = pc.list_parent_indices(asked["qroots"].combine_chunks()).to_numpy()
+    order = np.argsort(at, kind="stable")
+    digits = np.array([r.isdecimal() and r.isascii() for r in names.to_pylist()], dtype=bool)
+    return RootBlock(
+        asked["qkey"].to_numpy(), names, digits, owner[order], np.searchsorted(at[order], np.arange(len(names) + 1)),
+        asked["qn"].to_numpy().astype(float), asked["n_numeric"].to_numpy().astype(float),
+    )
 
-    `roots(qkey, qroots, qn, n_numeric)` holds at most `query_block` variants and `broadcast_rows`
-    roots, counted by the caller; no (variant, chunk) pair leaves the task, only its running top k."""
-    spark = chunks.sparkSession
-    ship_package(spark)
-    asked = roots.select("qkey", "qroots", "qn", "n_numeric").toPandas()
-    names = sorted({r for rs in asked["qroots"] for r in rs})
-    shared = spark.sparkContext.broadcast((
-        asked["qkey"].to_numpy(np.int64), [list(rs) for rs in asked["qroots"]],
-        asked["qn"].to_numpy(float), asked["n_numeric"].to_numpy(float), names,
-    ))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, qroots, qn, nn, vocab = shared.value
-        top = TopK(k, len(keys))
-        known = pa.array(vocab, pa.string())
-        digits = np.array([r.isdecimal() and r.isascii() for r in vocab], dtype=bool)
-        # the postings of the questions: which variants ask for a root
-        at = {r: i for i, r in enumerate(vocab)}
-        pairs = np.array([(at[r], j) for j, rs in enumerate(qroots) for r in rs], np.int64).reshape(-1, 2)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        first = np.searchsorted(pairs[:, 0], np.arange(len(vocab) + 1))
-        for batch in batches:
-            if not batch.num_rows or not len(vocab):
-                continue
-            n, nq = batch.num_rows, len(keys)
-            col = batch.column("roots")
-            term = pc.index_in(col.flatten(), value_set=known)
-            rows = pc.list_parent_indices(col).to_numpy()
-            hit = term.is_valid().to_numpy(zero_copy_only=False)
-            cells = np.unique(rows[hit].astype(np.int64) * len(vocab) + pc.drop_null(term).to_numpy().astype(np.int64))
-            row, t = np.divmod(cells, len(vocab))
-            much = first[t + 1] - first[t]
-            place = np.repeat(first[t] - np.concatenate([[0], np.cumsum(much)[:-1]]).astype(np.int64), much) + np.arange(much.sum())
-            cell = np.repeat(row, much) * nq + pairs[place, 1]
-            matched = np.bincount(cell, minlength=n * nq).reshape(n, nq)
-            numeric = np.bincount(cell, np.repeat(digits[t], much), minlength=n * nq).reshape(n, nq)
-            plain = matched / np.maximum(qn, 1.0)
-            cover = np.where((nn > 0) & (numeric == nn), np.minimum(1.15, plain + 0.12), plain)
-            top.add(batch.column("idx").to_numpy(), np.where(matched > 0, np.round(cover, s.score_digits), -1.0))
+def slice_coverage(postings: pa.Table, q: RootBlock, top: TopK, s: Settings, step: int = 2048) -> None:
+    """Add the best coverage of every variant over the chunks of one slice, from its postings(root, idxs)."""
+    term = pc.index_in(postings["root"].combine_chunks(), value_set=q.names)
+    known = term.is_valid().to_numpy(zero_copy_only=False)
+    if not known.any():
+        return
+    lists = postings["idxs"].combine_chunks().filter(pa.array(known))
+    term = np.repeat(pc.drop_null(term).to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy())
+    chunks, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    at, term = at[order], term[order]
+    nq = len(q.keys)
+    for lo in range(0, len(chunks), step):
+        a, b = np.searchsorted(at, (lo, lo + step))
+        n = min(step, len(chunks) - lo)
+        t = term[a:b]
+        much = q.first[t + 1] - q.first[t]
+        place = np.repeat(q.first[t] - np.concatenate([[0], np.cumsum(much)[:-1]]).astype(np.int64), much) + np.arange(much.sum())
+        cell = np.repeat(at[a:b] - lo, much) * nq + q.variants[place]
+        matched = np.bincount(cell, minlength=n * nq).reshape(n, nq)
+        numeric = np.bincount(cell, np.repeat(q.digits[t], much), minlength=n * nq).reshape(n, nq)
+        plain = matched / np.maximum(q.size, 1.0)
+        cover = np.where((q.n_numeric > 0) & (numeric == q.n_numeric), np.minimum(1.15, plain + 0.12), plain)
+        top.add(chunks[lo : lo + n], np.where(matched > 0, np.round(cover, s.score_digits), -1.0))
+
+
+def coverage_topk(postings: DataFrame, roots: DataFrame, n_variants: int, n_roots: int, k: int, s: Settings) -> DataFrame:
+    """(qkey, idx, coverage): the chunks that cover each variant's roots best, from postings(root, slice, idxs).
+
+    Only the lists of the asked roots are read and dealt by slice; a slice holds every list of its chunks, so counts are
+    added up inside one task and no (variant, chunk) pair leaves it, only a running top k. Up to `query_block` counted
+    variants are broadcast; more are read by every slice in blocks.
+    """
+    spark = postings.sparkSession
+    ship_package(spark)
+    asked = roots.select("qkey", "qroots", "qn", "n_numeric")
+    schema = "qkey long, idx long, coverage double"
+    if n_roots <= s.broadcast_rows:
+        names = asked.select(F.explode("qroots").alias("root")).distinct()
+        postings = postings.join(F.broadcast(names), "root", "left_semi")
+    rows = postings.select("slice", "root", "idxs")
+
+    def found(q: RootBlock, top: TopK) -> pa.Table:
         keep = top.score > 0
-        yield pa.RecordBatch.from_pydict({
-            "qkey": pa.array(keys[top.q[keep]], pa.int64()), "idx": pa.array(top.idx[keep], pa.int64()),
+        return pa.table({
+            "qkey": pa.array(q.keys[top.q[keep]], pa.int64()), "idx": pa.array(top.idx[keep], pa.int64()),
             "coverage": pa.array(top.score[keep], pa.float64()),
         })
 
-    return chunks.select("idx", "roots").mapInArrow(run, "qkey long, idx long, coverage double")
+    if n_variants <= s.query_block and n_roots <= s.broadcast_rows:
+        shared = spark.sparkContext.broadcast(make_root_block(asked.limit(s.query_block).toArrow()))
+
+        def one(lists: pa.Table) -> pa.Table:
+            top = TopK(k, len(shared.value.keys))
+            slice_coverage(lists, shared.value, top, s)
+            return found(shared.value, top)
+
+        return rows.groupBy("slice").applyInArrow(one, schema)
+
+    def pack(lists: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, lists.schema) as out:
+            out.write_table(lists)
+        return pa.table({"cell": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def score(questions: pa.Table, cells: Iterator[list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+        q = make_root_block(questions)
+        top = TopK(k, len(q.keys))
+        for cell in cells:
+            slice_coverage(pa.Table.from_batches(cell), q, top, s)
+        yield from found(q, top).to_batches()
+
+    packed = materialize(rows.groupBy("slice").applyInArrow(pack, "cell binary"), "posting-cells")
+    return in_blocks(packed, question_blocks(asked, n_variants, s.query_block), score, schema)

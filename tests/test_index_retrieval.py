@@ -71,7 +71,7 @@ def test_sparse_matches_brute_force(spark, snap):
         assert all(mine[i] == pytest.approx(want[i], abs=2e-6) for i in want)
 
 
-def test_grid_equals_broadcast(spark, snap):
+def test_blocks_equal_broadcast(spark, snap):
     qs = questions(spark, "отпуск", "пожар 101", "alpha beta", "zeta", "delta 2024")
     v = R.query_variants(qs)
     kinds = {"dense": 4, "sparse": 3}
@@ -80,11 +80,53 @@ def test_grid_equals_broadcast(spark, snap):
     assert key(score_topk(snap, v, 5, kinds)) == key(score_topk(small, v, 5, kinds))
 
 
-def test_salted_lexical_equals_broadcast(spark, snap):
-    roots = R.variant_roots(R.query_variants(questions(spark, "alpha beta gamma", "отпуск 2024")))
-    c = snap.table("chunks").select("idx", "roots")
-    key = lambda df: sorted(map(tuple, df.collect()))
-    assert key(R.lexical_topk(c, roots, 5, 80, S)) == key(R.lexical_topk(c, roots, 5, 80, S.with_(broadcast_rows=0)))
+def brute_coverage(snap, asked, k):
+    """Best coverage of every question over all chunks, straight from the roots of the chunks."""
+    chunks = {r.idx: set(r.roots) for r in snap.table("chunks").select("idx", "roots").collect()}
+    out = []
+    for q in asked:
+        wanted, numbers = set(q.qroots), {r for r in q.qroots if r.isdecimal()}
+        scored = []
+        for i, have in chunks.items():
+            m = wanted & have
+            if m:
+                c = len(m) / len(wanted)
+                scored.append((round(min(1.15, c + 0.12) if numbers and numbers <= have else c, 6), i))
+        scored.sort(key=lambda x: (-x[0], x[1]))
+        out += [(q.qid, i, c, r) for r, (c, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("k", [2, 80])
+def test_coverage_from_postings(spark, snap, k):
+    """One block, several blocks of one and two variants, and no bound on roots: all equal brute force over the chunks."""
+    roots = R.variant_roots(R.query_variants(questions(spark, "alpha beta gamma", "отпуск 2024", "qqq", "delta 2024 alpha", "пожарная охрана 101")))
+    want = brute_coverage(snap, roots.collect(), k)
+    for s in (S, S.with_(query_block=2), S.with_(query_block=1), S.with_(broadcast_rows=0), S.with_(query_block=1, broadcast_rows=0)):
+        got = R.lexical_topk(snap.table("postings"), roots, 11, k, s)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_postings_hold_every_root_of_every_chunk(spark, snap):
+    from quarry.operators.indexing import root_postings
+
+    chunks = snap.table("chunks")
+    want = sorted({(r.idx, x) for r in chunks.select("idx", "roots").collect() for x in r.roots})
+    for slices in (1, 3, 50):
+        blocks = root_postings(chunks, slices).collect()
+        assert sorted((i, b.root) for b in blocks for i in b.idxs) == want
+        assert all(b.n == len(b.idxs) and list(b.idxs) == sorted(b.idxs) and (b.low, b.high) == (b.idxs[0], b.idxs[-1]) for b in blocks)
+
+
+def test_many_questions_leave_the_corpus_where_it_is(spark, snap):
+    """Above one block, scores and vectors are read in place: the corpus side of the plan has no exchange."""
+    from quarry.operators import scoring
+
+    small = snap.__class__(spark, snap.path, snap.manifest, S.with_(query_block=2), snap.names)
+    v = R.query_variants(questions(spark, "отпуск", "пожар 101", "alpha beta", "zeta", "delta 2024"))
+    profiles = scoring.query_profiles(v, S)
+    plan = scoring._score_blocks(small, scoring.profiles_with_norms(small), profiles, 3, 5, {"dense": 4})._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
 
 
 def test_search_finds_the_document_and_caps_per_doc(spark, snap):
@@ -300,7 +342,7 @@ def test_chunk_index_out_of_range_fails(spark):
         df.select(chunk_index(F.col("d"), F.col("n"))).collect()
 
 
-def test_vector_grid_equals_broadcast_and_brute_force(spark):
+def test_vector_blocks_equal_broadcast_and_brute_force(spark):
     from quarry.operators.scoring import vector_topk
     rng = np.random.default_rng(7)
     vectors = np.round(rng.normal(size=(60, 4)), 1)
