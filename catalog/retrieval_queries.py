@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from catalog.common import SETTINGS as S, hits, question_lists, snapshot
@@ -61,6 +63,40 @@ def _(spark, d):
     return _lexical(spark, d).select("qid", "idx", "coverage", L(F.col("lex_rank")).alias("lex_rank"))
 
 
+@query("root_postings", sql("""
+SELECT root, count(*)::BIGINT AS chunks, min(idx) AS low, max(idx) AS high, sum(idx)::BIGINT AS total FROM
+  (SELECT DISTINCT idx, unnest(roots) AS root FROM croots) GROUP BY 1""", "croots"))
+def _(spark, d):
+    """The inverted index, its blocks put together by root."""
+    blocks = snapshot(spark, d).table("postings")
+    total = F.aggregate("idxs", F.lit(0).cast("long"), lambda a, x: a + x)
+    return blocks.groupBy("root").agg(L(F.sum("n")).alias("chunks"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum(total).alias("total"))
+
+
+@query("index_delta", sql("""
+SELECT name, rows::BIGINT AS rows, true AS equal_to_full FROM (
+  SELECT 'chunks' AS name, count(*) AS rows FROM chunks UNION ALL SELECT 'profiles', count(*) FROM chunks UNION ALL SELECT 'norms', count(*) FROM chunks
+  UNION ALL SELECT 'docs', count(*) FROM docs_in UNION ALL SELECT 'vocab', count(*) FROM vocab
+  UNION ALL SELECT 'doc_roots', count(*) FROM doc_roots UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT idx, unnest(roots) FROM croots)
+  UNION ALL SELECT 'terms', (SELECT count(DISTINCT term) FROM wtf) + (SELECT count(DISTINCT term) FROM ctf))""",
+    "chunks", "docs_in", "vocab", "doc_roots", "croots", "wtf", "ctf"))
+def _(spark, d):
+    """The index of an earlier state (one source not there yet, one with other texts, archived documents still live),
+    refreshed by a delta to the present, next to an index built at once."""
+    from quarry.operators.refresh import refresh_index, table_digests
+    from quarry.session import work_dir
+    from quarry.sources.tables import documents_from_tables
+
+    now = documents_from_tables(spark, d)
+    text = F.when(F.col("section") == "src3", F.concat("content", F.lit("\nEarlier draft."))).otherwise(F.col("content"))
+    before = now.where("section <> 'src7'").withColumn("content", text).withColumn("is_actual", F.lit(True))
+    root = f"{work_dir(spark)}/quarry-delta/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+    refresh_index(spark, before, f"tables:{d}", root, S)
+    delta = table_digests(refresh_index(spark, now, f"tables:{d}", root, S))
+    full = table_digests(snapshot(spark, d)).select("name", F.col("digest").alias("full"))
+    return delta.join(full, "name").select("name", L(F.col("rows")).alias("rows"), (F.col("digest") == F.col("full")).alias("equal_to_full"))
+
+
 @query("rrf_fusion", sql("SELECT qid, idx, round(rrf_score,9) AS rrf_score, dense_score, sparse_score FROM fused", "fused"))
 def _(spark, d):
     return R.fuse(_ranked(spark, d, {"dense": S.dense_top_k, "sparse": S.sparse_top_k})).select(
@@ -144,9 +180,9 @@ def _(spark, d):
 
 
 @query("recall_at_k", sql("""
-SELECT t.item_id AS qid, count(*)::BIGINT AS planted, count(DISTINCT h.doc_id)::BIGINT AS found,
+SELECT t.item_id AS qid, count(t.doc_id)::BIGINT AS planted, count(DISTINCT h.doc_id)::BIGINT AS found,
        round(coalesce(max(1.0::DOUBLE/h.rank),0.0),6) AS reciprocal_rank
-FROM (SELECT b.item_id, k.doc_id FROM benchmark b JOIN docs_in k ON contains(k.content,b.text)) t
+FROM (SELECT b.item_id, k.doc_id FROM benchmark b LEFT JOIN docs_in k ON contains(k.content,b.text)) t
 LEFT JOIN (SELECT qid, doc_id, min(rank) AS rank FROM hits10 GROUP BY 1,2) h ON h.qid=t.item_id AND h.doc_id=t.doc_id
 GROUP BY 1""", "docs_in", "hits10"))
 def _(spark, d):
@@ -154,7 +190,8 @@ def _(spark, d):
     from quarry.sources.tables import actual_documents, documents_from_tables
 
     docs = actual_documents(documents_from_tables(spark, d))
-    return retrieval_quality(planted_pairs(docs, queries_from_benchmark(spark, d)), hits(spark, d, 10))
+    asked = queries_from_benchmark(spark, d)
+    return retrieval_quality(planted_pairs(docs, asked), hits(spark, d, 10), asked)
 
 
 # --- gates ----------------------------------------------------------------------------------

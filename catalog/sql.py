@@ -353,6 +353,26 @@ _pen = "+".join(
 _pref = "list_concat(" + ",".join(
     f"CASE WHEN {any_in('qf_', p)} THEN {list(ids)} ELSE []::INT[] END" for p, ids in ru.SECTION_RULES
 ) + ")"
+BONUS = f"""
+    least(0.18,
+      CASE WHEN {any_in('qn_', ru.DURATION_MARKERS)} THEN CASE WHEN {unicode_word('w_', DURATION)} THEN 0.08
+           WHEN {any_in('w_', ru.LIMIT_MARKERS)} THEN 0.06 ELSE 0.0 END ELSE 0.0 END
+      + CASE WHEN {any_in('qn_', ru.ANSWERABLE_ACTION_MARKERS)} AND {any_in('w_', ru.ANSWERABLE_VERBS)} THEN 0.045 ELSE 0.0 END
+      + CASE WHEN {MEMBER_Q} THEN CASE WHEN {MEMBER_T} THEN 0.14 WHEN {any_in('w_', ru.COMPOSITION_MENTIONS)} THEN 0.03
+           ELSE 0.0 END ELSE 0.0 END
+      + CASE WHEN {MEMBER_Q} AND {_roles}>=2 THEN 0.06 ELSE 0.0 END
+      + CASE WHEN {any_in('qn_', ru.OWNER_QUERY)} AND {any_in('w_', ru.OWNER_TEXT)} THEN 0.035 ELSE 0.0 END
+    )::DOUBLE"""
+BOILERPLATE = f"""
+    least(0.30,
+      CASE WHEN contains(h_,{q(ru.CONTENTS_MARKER)}) THEN 0.22 ELSE 0.0 END
+      + CASE WHEN {any_in('qn_', ru.ANSWERABLE_ACTION_MARKERS)} AND NOT {any_in('qn_', ru.DEFINITION_MARKERS)}
+             AND {any_in('h_', ru.TERMS_MARKERS)} THEN 0.12 ELSE 0.0 END
+      + CASE WHEN {MEMBER_Q} AND {_roles}<2 AND NOT {MEMBER_T} THEN 0.12 ELSE 0.0 END
+      + CASE WHEN {MEMBER_Q} AND NOT {MEMBER_T} AND {any_in('w_', ru.MEETING_MARKERS)} THEN 0.06 ELSE 0.0 END
+    )::DOUBLE"""
+
+
 def features(coverages: str, source: str) -> str:
     """Signals of the rows of `source`, with the SQL of the three coverages that several variants share."""
     return f"""
@@ -377,22 +397,8 @@ block("features", ("pairs", "matched", "spans", "affinity"), features(f"""
 block("signals", ("features",), f"""
   SELECT *, {_boost} + CASE WHEN inpref_ THEN 0.30 ELSE 0.0 END AS intent_boost,
     {_pen} + CASE WHEN len(pref_)>0 AND NOT inpref_ THEN 0.10 ELSE 0.0 END AS intent_penalty,
-    least(0.18,
-      CASE WHEN {any_in('qn_', ru.DURATION_MARKERS)} THEN CASE WHEN {unicode_word('w_', DURATION)} THEN 0.08
-           WHEN {any_in('w_', ru.LIMIT_MARKERS)} THEN 0.06 ELSE 0.0 END ELSE 0.0 END
-      + CASE WHEN {any_in('qn_', ru.ANSWERABLE_ACTION_MARKERS)} AND {any_in('w_', ru.ANSWERABLE_VERBS)} THEN 0.045 ELSE 0.0 END
-      + CASE WHEN {MEMBER_Q} THEN CASE WHEN {MEMBER_T} THEN 0.14 WHEN {any_in('w_', ru.COMPOSITION_MENTIONS)} THEN 0.03
-           ELSE 0.0 END ELSE 0.0 END
-      + CASE WHEN {MEMBER_Q} AND {_roles}>=2 THEN 0.06 ELSE 0.0 END
-      + CASE WHEN {any_in('qn_', ru.OWNER_QUERY)} AND {any_in('w_', ru.OWNER_TEXT)} THEN 0.035 ELSE 0.0 END
-    )::DOUBLE AS answerability_bonus,
-    least(0.30,
-      CASE WHEN contains(h_,{q(ru.CONTENTS_MARKER)}) THEN 0.22 ELSE 0.0 END
-      + CASE WHEN {any_in('qn_', ru.ANSWERABLE_ACTION_MARKERS)} AND NOT {any_in('qn_', ru.DEFINITION_MARKERS)}
-             AND {any_in('h_', ru.TERMS_MARKERS)} THEN 0.12 ELSE 0.0 END
-      + CASE WHEN {MEMBER_Q} AND {_roles}<2 AND NOT {MEMBER_T} THEN 0.12 ELSE 0.0 END
-      + CASE WHEN {MEMBER_Q} AND NOT {MEMBER_T} AND {any_in('w_', ru.MEETING_MARKERS)} THEN 0.06 ELSE 0.0 END
-    )::DOUBLE AS boilerplate_penalty
+    {BONUS} AS answerability_bonus,
+    {BOILERPLATE} AS boilerplate_penalty
   FROM features""")
 block("scored", ("signals",), """
   SELECT *, round(greatest(0.0, 0.22*rrf_score/max_rrf + 0.10*dense_score + 0.18*sparse_score + 0.42*lexical_coverage

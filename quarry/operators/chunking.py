@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quarry.settings import Settings
 
 CHUNKING_VERSION = "line-sentence-v1"
-MAX_CHUNKS_PER_DOC = 1 << 20      # idx = doc_seq * 2^20 + chunk_number
+CHUNK_BITS = 20
+MAX_CHUNKS_PER_DOC = 1 << CHUNK_BITS      # idx = doc_seq * 2^20 + chunk_number
 
 _SPACES = re.compile(r"[ \t\r\f\v]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")

@@ -1,12 +1,19 @@
 """Index snapshot: versioned tables, published by one pointer switch.
 
+A version is a list of segments and two tables over all of them. A segment holds the rows of its own documents:
+
     chunks    idx, doc_seq, doc_id, chunk_number, chunk_id, text, roots   bucketed by idx
     profiles  idx, word/char term ids and counts, hashed bucket counts    bucketed by idx
-    norms     idx, word_norm, char_norm                                   bucketed by idx
-    vocab     family, term_id, df, total, idf
-    docs      doc_id, title, section, url, ..., title_roots, n_chunks
+    docs      doc_id, doc_hash, title, section, url, ..., title_roots, n_chunks
     doc_roots doc_id, root, n
     postings  root, slice, n, low, high, idxs                              bucketed by root
+    terms     family, term_id, df, total: what the segment adds to (and its tombstones take from) the counts
+    dead      doc_id, doc_seq: tombstones of documents in earlier segments
+
+and over all segments, since inverse document frequencies depend on every document:
+
+    vocab     family, term_id, df, total, idf
+    norms     idx, word_norm, char_norm                                   bucketed by idx
 
 A posting block holds the chunks of one slice of the corpus that have the root, ordered by idx, with
 their number and range; a root in many chunks is as many blocks as there are slices, never one row.
@@ -22,11 +29,13 @@ import math
 import time
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import sha256
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions.text import root_list
-from quarry.operators.chunking import CHUNKING_VERSION, chunk_documents
+from quarry.operators.chunking import CHUNK_BITS, CHUNKING_VERSION, chunk_documents
 from quarry.operators.profiles import profile_of
 from quarry.session import materialize
 from quarry.settings import Settings
@@ -35,12 +44,17 @@ from quarry.sources.tables import actual_documents
 FORMAT_VERSION = 2
 SPARSE_LIBRARY = "spark-tfidf-v1"
 HOT_TERM_LIMIT = 500_000
-TABLES = ("chunks", "profiles", "norms", "vocab", "docs", "doc_roots", "postings")
+SEGMENT_TABLES = ("chunks", "profiles", "docs", "doc_roots", "postings", "terms", "dead")
+GLOBAL_TABLES = ("vocab", "norms")
 #: Bucketed tables and the columns that bucket and sort them.
 BUCKETED = {"chunks": ("idx", ["idx"]), "profiles": ("idx", ["idx"]), "norms": ("idx", ["idx"]), "postings": ("root", ["root", "slice"])}
 BY_CHUNK = ("chunks", "profiles", "norms")
 
 
+def table_name(version: str, table: str) -> str:
+    return f"quarry_{version.replace('-', '_')}_{table}"
+
+
 @dataclass(frozen=True)
 class Snapshot:
     """An immutable index version; queries planned on it keep reading it."""
@@ -52,7 +66,28 @@ class Snapshot:
     names: dict[str, str] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(self.names[name])
+        """The live rows of a table: every segment's, without those that a later segment has a tombstone for."""
+        if name in GLOBAL_TABLES:
+            return self.spark.table(self.names[name])
+        segments = self.manifest["segments"]
+        parts = [self._alive(name, seg, [x for x in segments[i + 1:] if x["dead"]]) for i, seg in enumerate(segments)]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _alive(self, name: str, segment: dict, later: list[dict]) -> DataFrame:
+        rows = self.spark.table(table_name(segment["version"], name))
+        if not later or name in ("terms", "dead"):
+            return rows
+        dead = reduce(DataFrame.unionByName, [self.spark.table(table_name(x["version"], "dead")) for x in later])
+        if name == "profiles":
+            return rows.join(dead.select("doc_seq"), F.shiftright("idx", CHUNK_BITS) == F.col("doc_seq"), "left_anti")
+        if name != "postings":
+            return rows.join(dead.select("doc_id"), "doc_id", "left_anti")
+        # a slice has a bounded number of chunks, and so of dead ones
+        chunks = self.spark.table(table_name(segment["version"], "chunks")).join(dead.select("doc_id").distinct(), "doc_id", "left_semi")
+        gone = chunks.groupBy(posting_slice(segment["slices"]).alias("slice")).agg(F.collect_list("idx").alias("gone"))
+        left = rows.join(gone, "slice", "left").withColumn(
+            "idxs", F.when(F.col("gone").isNull(), F.col("idxs")).otherwise(F.array_except("idxs", "gone")))
+        return left.where(F.size("idxs") > 0).select("root", "slice", *_block_statistics(), "idxs")
 
 
 class IndexNotReady(FileNotFoundError):
@@ -98,16 +133,19 @@ def _publish_text(spark: SparkSession, path: str, text: str) -> None:
 # --- fingerprints and staleness ---------------------------------------------------
 
 
-def corpus_hash(chunks: DataFrame) -> DataFrame:
-    """Order-free fingerprint: row hashes are summed, nothing is collected."""
+def hash_sums(chunks: DataFrame) -> DataFrame:
+    """(rows, h0 .. h3): order-free sums of row hashes; they add up over segments and are taken off for dead rows."""
     row = F.sha2(F.concat_ws("\x1f", "chunk_id", "text"), 256)
     part = [
-        F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")) for i in range(4)
+        F.sum(F.conv(F.substring(row, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"h{i}") for i in range(4)
     ]
-    return chunks.agg(
-        F.count("*").alias("rows"),
-        F.sha2(F.concat_ws(":", *[p.cast("string") for p in part]), 256).alias("corpus_hash"),
-    )
+    return chunks.agg(F.count("*").alias("rows"), *part)
+
+
+def corpus_hash(chunks: DataFrame) -> DataFrame:
+    """Order-free fingerprint: row hashes are summed, nothing is collected."""
+    parts = [F.col(f"h{i}").cast("string") for i in range(4)]
+    return hash_sums(chunks).select("rows", F.sha2(F.concat_ws(":", *parts), 256).alias("corpus_hash"))
 
 
 def expected_manifest(source_key: str, s: Settings) -> dict:
@@ -144,19 +182,26 @@ def idf(n_chunks: int):
     return F.log((1.0 + n_chunks) / (1.0 + F.col("df"))) + 1.0
 
 
-def vocabulary(profiles: DataFrame, n_chunks: int, s: Settings) -> DataFrame:
-    """Document frequency, total count and smoothed idf; char terms keep the top-N by count."""
+def term_stats(profiles: DataFrame) -> DataFrame:
+    """(family, term_id, df, total) of all terms."""
 
     def stats(family: str) -> DataFrame:
-        return (
-            term_rows(profiles, family)
-            .groupBy("term_id")
-            .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
-            .select(F.lit(family).alias("family"), "term_id", "df", "total", idf(n_chunks).alias("idf"))
-        )
+        counted = term_rows(profiles, family).groupBy("term_id").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("total"))
+        return counted.select(F.lit(family).alias("family"), "term_id", "df", "total")
+
+    return stats("word").unionByName(stats("char"))
+
 
-    char = stats("char").orderBy(F.desc("total"), "term_id").limit(s.char_vocabulary_size)
-    return stats("word").unionByName(char)
+def added_up(terms: DataFrame) -> DataFrame:
+    """Signed term statistics of several segments as one, without the terms that no live chunk has."""
+    return terms.groupBy("family", "term_id").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where("df > 0")
+
+
+def vocabulary(terms: DataFrame, n_chunks: int, s: Settings) -> DataFrame:
+    """Document frequency, total count and smoothed idf; char terms keep the top-N by count."""
+    known = terms.select("family", "term_id", "df", "total", idf(n_chunks).alias("idf"))
+    char = known.where("family = 'char'").orderBy(F.desc("total"), "term_id").limit(s.char_vocabulary_size)
+    return known.where("family = 'word'").unionByName(char)
 
 
 def sublinear(tf):
@@ -205,106 +250,172 @@ def document_roots(chunks: DataFrame, docs: DataFrame) -> DataFrame:
         F.count("*").alias("n")
     )
     title = (
-        docs.select("doc_id", "n_chunks", F.explode("title_roots").alias("root"))
+        docs.where("n_chunks > 0").select("doc_id", "n_chunks", F.explode("title_roots").alias("root"))
         .groupBy("doc_id", "root")
         .agg(F.sum("n_chunks").alias("n"))
     )
     return text.unionByName(title).groupBy("doc_id", "root").agg(F.sum("n").alias("n"))
 
 
+def document_hash() -> Column:
+    """Digest of everything that a document's rows are made of."""
+    fields_of = ("version", "title", "section", "section_id", "content", "url", "updated_at")
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in fields_of]), {"ignoreNullFields": "false"}), 256)
+
+
 def document_dimension(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    return documents.join(counts, "doc_id").select(
+    return documents.join(counts, "doc_id", "left").select(
         "doc_id", "doc_seq", "version", "title", "section", "section_id", "url", "updated_at",
-        "is_actual", "n_chunks",
+        "is_actual", F.coalesce("n_chunks", F.lit(0).cast("long")).alias("n_chunks"),
         root_list(F.col("title")).alias("title_roots"),
         F.array_distinct(root_list(F.coalesce("section", F.lit("")))).alias("section_roots"),
+        "doc_hash",
     )
 
 
+def posting_slice(slices: int) -> Column:
+    return F.pmod(F.xxhash64("idx"), F.lit(slices)).cast("int")
+
+
+def _block_statistics() -> list[Column]:
+    return [F.size("idxs").alias("n"), F.array_min("idxs").alias("low"), F.array_max("idxs").alias("high")]
+
+
 def root_postings(chunks: DataFrame, slices: int) -> DataFrame:
     """(root, slice, n, low, high, idxs): the inverted index of the distinct roots of every chunk, in blocks."""
-    rows = chunks.select(
-        F.explode(F.array_distinct("roots")).alias("root"), F.pmod(F.xxhash64("idx"), F.lit(slices)).cast("int").alias("slice"), "idx")
+    rows = chunks.select(F.explode(F.array_distinct("roots")).alias("root"), posting_slice(slices).alias("slice"), "idx")
     lists = rows.groupBy("root", "slice").agg(F.array_sort(F.collect_list("idx")).alias("idxs"))
-    return lists.select("root", "slice", F.size("idxs").alias("n"), F.array_min("idxs").alias("low"), F.array_max("idxs").alias("high"), "idxs")
+    return lists.select("root", "slice", *_block_statistics(), "idxs")
+
+
+def numbered(documents: DataFrame, first: int = 0) -> DataFrame:
+    """`documents` with dense doc_seq numbers from `first` on, in the order of the old ones.
+
+    Only where these leave no room for chunk numbers (hashed 64-bit ids): the rows are sorted by range and written, and
+    a partition's numbers start after the rows of those before it, of which one count a partition is gathered.
+    """
+    spark = documents.sparkSession
+    wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = documents.repartitionByRange(wide, "doc_seq", "doc_id").sortWithinPartitions("doc_seq", "doc_id")
+    place = F.monotonically_increasing_id()
+    rows = materialize(ordered.withColumn("_part", F.shiftright(place, 33)).withColumn("_at", place.bitwiseAND((1 << 33) - 1)), "numbered")
+    starts, at = [], first
+    for r in sorted(rows.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        starts.append((r["_part"], at))
+        at += r["count"]
+    offsets = spark.createDataFrame(starts, "_part long, _start long")
+    return rows.join(F.broadcast(offsets), "_part").withColumn("doc_seq", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
 
 
 # --- build, load, reuse ---------------------------------------------------------------
 
 
-def build_index(
-    spark: SparkSession, documents: DataFrame, source_key: str, root: str, s: Settings, *,
-    force: bool = False,
-) -> Snapshot:
-    """Build a new version beside the live one and switch CURRENT when it is complete."""
-    if not force:
-        try:
-            return load_index(spark, root, s)
-        except IndexNotReady:
-            pass
-    version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
-    path = f"{root}/{version}"
-    names = {t: f"quarry_{version.replace('-', '_')}_{t}" for t in TABLES}
-    # written once: a source that answers differently the second time cannot mix two states
-    docs_in = materialize(actual_documents(documents), "index-docs")
+def new_version() -> str:
+    return f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:6]}"
+
+
+def save_table(spark: SparkSession, root: str, version: str, name: str, df: DataFrame, buckets: int, placed: bool = False) -> DataFrame:
+    """Write one table of a version. `placed`: every partition of `df` holds whole buckets already."""
+    table, path = table_name(version, name), f"{root}/{version}/{name}"
+    out = df
+    if name in BUCKETED:
+        by, order = BUCKETED[name]
+        out = (df if placed else df.repartition(buckets, by)).write.mode("overwrite").format("parquet").bucketBy(buckets, by).sortBy(order)
+    else:
+        out = df.write.mode("overwrite").format("parquet")
+    out.option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def prepared(documents: DataFrame) -> DataFrame:
+    """The documents to index, written once: a source that answers differently the second time cannot mix two states."""
+    return materialize(actual_documents(documents).withColumn("doc_hash", document_hash()), "index-docs")
+
+
+def write_segment(spark: SparkSession, root: str, version: str, docs_in: DataFrame, s: Settings, dead: DataFrame, off: DataFrame | None = None) -> dict:
+    """Write the segment of `docs_in` with its tombstones; `off` are the live profiles of the dead documents."""
     n_docs, n_chars = docs_in.agg(F.count("*"), F.coalesce(F.sum(F.length("content")), F.lit(0))).first()
-    buckets = s.index_buckets or max(
-        spark.sparkContext.defaultParallelism, math.ceil(n_chars / s.bucket_target_chars)
-    )
+    buckets = s.index_buckets or max(spark.sparkContext.defaultParallelism, math.ceil(n_chars / s.bucket_target_chars))
+    save = lambda name, df, placed=False: save_table(spark, root, version, name, df, buckets, placed)
+    chunks = save("chunks", chunk_documents(docs_in, s).withColumn("roots", root_list(F.col("text"))))
+    sums = hash_sums(chunks).first()
+    # one task a bucket: the profiles keep the layout of the chunks without an exchange; the setting is this session's own
+    alone = spark.newSession()
+    alone.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    prof = profile_of(F.col("text"), s.embedding_dimension)
+    save("profiles", alone.table(table_name(version, "chunks")).select("idx", prof.alias("p")).select("idx", "p.*"), placed=True)
+    terms = term_stats(spark.table(table_name(version, "profiles")))
+    if off is not None:
+        less = term_stats(off).withColumns({"df": -F.col("df"), "total": -F.col("total")})
+        terms = terms.unionByName(less).groupBy("family", "term_id").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    save("terms", terms)
+    save("docs", document_dimension(docs_in, chunks))
+    save("doc_roots", document_roots(chunks, spark.table(table_name(version, "docs"))))
+    slices = max(buckets, -(-sums["rows"] // s.posting_slice_chunks))
+    save("postings", root_postings(chunks, slices))
+    return {
+        "version": version, "buckets": buckets, "slices": slices, "documents": n_docs, "dead": save("dead", dead).count(),
+        "rows": sums["rows"], "hash_sums": [str(int(sums[f"h{i}"] or 0)) for i in range(4)],
+        "schemas": {x: spark.table(table_name(version, x)).schema.toDDL() for x in SEGMENT_TABLES},
+    }
 
-    def save(name: str, df: DataFrame, placed: bool = False) -> DataFrame:
-        """`placed`: every partition of `df` holds whole buckets already."""
-        table = names[name]
-        if name in BUCKETED:
-            by, order = BUCKETED[name]
-            laid = df if placed else df.repartition(buckets, by)
-            (
-                laid.write.mode("overwrite").format("parquet")
-                .bucketBy(buckets, by).sortBy(order)
-                .option("path", f"{path}/{name}").saveAsTable(table)
-            )
-        else:
-            df.write.mode("overwrite").format("parquet").option("path", f"{path}/{name}").saveAsTable(table)
-        return spark.table(table)
 
-    chunks = save(
-        "chunks",
-        chunk_documents(docs_in, s).withColumn("roots", root_list(F.col("text"))),
-    )
-    n_chunks, digest = corpus_hash(chunks).first()
+def publish(
+    spark: SparkSession, root: str, version: str, source_key: str, s: Settings, segments: list[dict], counts: tuple[int, int, list[int]], more: dict
+) -> Snapshot:
+    """Write the tables over all segments and the manifest of a version, then move CURRENT to it.
+
+    counts: live documents, live chunks and the sums behind the corpus hash.
+    """
+    n_docs, n_chunks, sums = counts
     if not n_chunks:
         raise ValueError("no chunks left after chunking")
-    prof = profile_of(F.col("text"), s.embedding_dimension)
-    # one task a bucket: the profiles keep the layout of the chunks without an exchange
-    auto = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-    before = spark.conf.get(auto)
-    spark.conf.set(auto, "false")
-    try:
-        profiles = save("profiles", chunks.select("idx", prof.alias("p")).select("idx", "p.*"), placed=True)
-    finally:
-        spark.conf.set(auto, before)
-    vocab = save("vocab", vocabulary(profiles, n_chunks, s))
-    save("norms", chunk_norms(profiles, vocab))
-    docs = save("docs", document_dimension(docs_in, chunks))
-    save("doc_roots", document_roots(chunks, docs))
-    save("postings", root_postings(chunks, max(buckets, -(-n_chunks // s.posting_slice_chunks))))
-
+    names = {x: table_name(version, x) for x in GLOBAL_TABLES}
     manifest = {
-        **expected_manifest(source_key, s),
+        **expected_manifest(source_key, s), **more,
         "created_at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
         "document_count": n_docs,
         "chunk_count": n_chunks,
-        "corpus_hash": digest,
+        "hash_sums": [str(x) for x in sums],
+        "corpus_hash": sha256(":".join(map(str, sums)).encode()).hexdigest(),
         "version": version,
-        "buckets": buckets,
-        "schemas": {
-            t: spark.table(names[t]).schema.toDDL() for t in TABLES
-        },
+        "buckets": max(x["buckets"] for x in segments),
+        "segments": segments,
     }
-    _publish_text(spark, f"{path}/manifest.json", json.dumps(manifest))
+    snap = Snapshot(spark, f"{root}/{version}", manifest, s, names)
+    buckets = manifest["buckets"]
+    vocab = save_table(spark, root, version, "vocab", vocabulary(added_up(snap.table("terms")), n_chunks, s), buckets)
+    save_table(spark, root, version, "norms", chunk_norms(snap.table("profiles"), vocab), buckets)
+    manifest["schemas"] = {x: spark.table(names[x]).schema.toDDL() for x in GLOBAL_TABLES}
+    _publish_text(spark, f"{root}/{version}/manifest.json", json.dumps(manifest))
     _publish_text(spark, f"{root}/CURRENT", version)
-    return Snapshot(spark, path, manifest, s, names)
+    return snap
+
+
+def tombstones(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "doc_id string, doc_seq long")
+
+
+def build_index(
+    spark: SparkSession, documents: DataFrame, source_key: str, root: str, s: Settings, *,
+    force: bool = False,
+) -> Snapshot:
+    """Build a new version beside the live one and switch CURRENT when it is complete."""
+    if not force:
+        try:
+            return load_index(spark, root, s)
+        except IndexNotReady:
+            pass
+    version = new_version()
+    docs_in = prepared(documents)
+    low, high = docs_in.agg(F.min("doc_seq"), F.max("doc_seq")).first()
+    dense = low is not None and not (0 <= low and high < 1 << (63 - CHUNK_BITS))
+    if dense:
+        docs_in = materialize(numbered(docs_in), "index-docs")
+    segment = write_segment(spark, root, version, docs_in, s, tombstones(spark))
+    counts = segment["documents"], segment["rows"], [int(x) for x in segment["hash_sums"]]
+    return publish(spark, root, version, source_key, s, [segment], counts, {"numbered": dense})
 
 
 def load_manifest(spark: SparkSession, root: str) -> dict:
@@ -319,22 +430,24 @@ def load_index(spark: SparkSession, root: str, s: Settings, *, verify: bool = Fa
     """Register the live version's tables; `verify` checks row alignment with the manifest."""
     manifest = load_manifest(spark, root)
     check_compatible(manifest, s)
-    version, path = manifest["version"], f"{root}/{manifest['version']}"
-    names = {}
-    for t in TABLES:
-        names[t] = f"quarry_{version.replace('-', '_')}_{t}"
-        if not spark.catalog.tableExists(names[t]):
-            cluster = f"CLUSTERED BY ({BUCKETED[t][0]}) INTO {manifest['buckets']} BUCKETS" if t in BUCKETED else ""
-            columns = manifest["schemas"][t]
-            spark.sql(
-                f"CREATE TABLE {names[t]} ({columns}) USING parquet {cluster} LOCATION '{path}/{t}'"
-            )
-    snap = Snapshot(spark, path, manifest, s, names)
+
+    def register(version: str, buckets: int, schemas: dict[str, str]) -> None:
+        for x, columns in schemas.items():
+            name = table_name(version, x)
+            if not spark.catalog.tableExists(name):
+                cluster = f"CLUSTERED BY ({BUCKETED[x][0]}) INTO {buckets} BUCKETS" if x in BUCKETED else ""
+                spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {cluster} LOCATION '{root}/{version}/{x}'")
+
+    version = manifest["version"]
+    register(version, manifest["buckets"], manifest["schemas"])
+    for x in manifest["segments"]:
+        register(x["version"], x["buckets"], x["schemas"])
+    snap = Snapshot(spark, f"{root}/{version}", manifest, s, {x: table_name(version, x) for x in GLOBAL_TABLES})
     if verify:
-        for t in BY_CHUNK:
-            rows = snap.table(t).count()
+        for x in BY_CHUNK:
+            rows = snap.table(x).count()
             if rows != manifest["chunk_count"]:
-                raise ValueError(f"{t}: {rows} rows, manifest says {manifest['chunk_count']}")
+                raise ValueError(f"{x}: {rows} rows, manifest says {manifest['chunk_count']}")
     return snap
 
 

@@ -4,41 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quarry.session import materialize
 from quarry.settings import Settings
 
 
-BUCKETS = 4096
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` dealt by ranges of (model, *order) and written, with the number of their range (`part`).
+
+    The ranges are quantiles of the rows, so neither a model with most rows nor an outlier or a crowd at one value
+    makes a part large; only rows alike in every ordering column share a part for certain.
+    """
+    wide = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartitionByRange(wide, "model", *order).withColumn("part", F.spark_partition_id()), "ranges")
 
 
 def exact_medians(samples: DataFrame) -> DataFrame:
     """samples(model, tps) -> (model, samples, median), exact without collecting a group.
 
-    Equal values are merged first (the hot model spreads over its values), a histogram of
-    BUCKETS bins per model locates the bins of the two middle ranks, and only the values of
-    those bins are ranked.
+    Equal values are merged first (the hot model spreads over its values); the values are dealt by ranges, a part's counts
+    add up to partial sums, and only the rows that hold a middle rank are kept.
     """
     values = samples.filter("tps IS NOT NULL").groupBy("model", "tps").agg(F.count("*").alias("n"))
-    span = values.groupBy("model").agg(
-        F.min("tps").alias("lo"), F.max("tps").alias("hi"), F.sum("n").alias("samples")
-    )
-    width = F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-300))
-    binned = values.join(span, "model").withColumn(
-        "bin", F.least(F.floor((F.col("tps") - F.col("lo")) / width), F.lit(BUCKETS - 1))
+    ranged = in_ranges(values, "tps")
+    before = Window.partitionBy("model").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("model", "part").agg(F.sum("n").alias("in_part")).select(
+        "model", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("below"),
+        F.sum("in_part").over(Window.partitionBy("model")).alias("samples"),
     )
-    bins = binned.groupBy("model", "bin").agg(F.sum("n").alias("in_bin"), F.first("samples").alias("samples"))
-    below = F.sum("in_bin").over(Window.partitionBy("model").orderBy("bin")) - F.col("in_bin")
+    upto = F.col("below") + F.sum("n").over(Window.partitionBy("model", "part").orderBy("tps"))
+    ranked = ranged.join(parts, ["model", "part"]).withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
     first, second = F.floor((F.col("samples") + 1) / 2), F.floor((F.col("samples") + 2) / 2)
-    middle = bins.withColumn("below", below).filter(
-        (F.col("below") < second) & (F.col("below") + F.col("in_bin") >= first)
-    )
-    picked = binned.select("model", "bin", "tps", "n").join(middle.select("model", "bin", "below", "samples"), ["model", "bin"])
-    upto = F.col("below") + F.sum("n").over(Window.partitionBy("model", "bin").orderBy("tps"))
-    ranked = picked.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n"))
 
     def at(rank):
         return F.max(F.when((F.col("from") < rank) & (F.col("upto") >= rank), F.col("tps")))
 
-    return ranked.groupBy("model").agg(
+    return ranked.where((F.col("from") < second) & (F.col("upto") >= first)).groupBy("model").agg(
         F.first("samples").alias("samples"), ((at(first) + at(second)) / 2).alias("median")
     )
 
@@ -56,28 +56,22 @@ def throughput_medians(samples: DataFrame) -> DataFrame:
 def ema_throughput(samples: DataFrame, s: Settings) -> DataFrame:
     """samples(model, ts, seq, tps) -> EMA after the last positive sample, seeded.
 
-    ema_n = (1-a)^n * seed + sum a*(1-a)^(n-i) * x_i: a weighted sum, so no ordered fold over a
-    collected group is needed. A sample's age in samples is the count of newer time bins of its
-    model plus its place within the bin, so no task ranks a whole model.
+    ema_n = (1-a)^n * seed + sum a*(1-a)^(n-i) * x_i. A range of samples is a partial (n, part) of its count and its own
+    weighted sum; a partial followed by m newer samples weighs (1-a)^m, so partials merge in any grouping and no task ranks
+    a whole model. Samples alike in every column are one row with a count, whose weights are a geometric sum.
     """
     a = s.perf_ema_alpha
-    ts = F.col("ts").cast("timestamp") if dict(samples.dtypes)["ts"].startswith("timestamp") else F.col("ts")
-    at = ts.cast("double")
-    positive = samples.filter("tps > 0").withColumn("at", at)
-    span = positive.groupBy("model").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("samples"))
-    width = F.greatest((F.col("hi") - F.col("lo")) / BUCKETS, F.lit(1e-9))
-    binned = positive.join(span, "model").withColumn(
-        "bin", F.least(F.floor((F.col("at") - F.col("lo")) / width), F.lit(BUCKETS - 1))
-    )
-    counts = binned.groupBy("model", "bin").agg(F.count("*").alias("in_bin"))
-    newer_bins = Window.partitionBy("model").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    newer = counts.withColumn("newer", F.coalesce(F.sum("in_bin").over(newer_bins), F.lit(0))).select("model", "bin", "newer")
-    inside = Window.partitionBy("model", "bin").orderBy(F.desc("ts"), F.desc("seq"))
-    aged = binned.withColumn("place", F.row_number().over(inside)).join(newer, ["model", "bin"])
-    weight = F.pow(F.lit(1.0 - a), F.col("newer") + F.col("place") - 1)
-    return aged.groupBy("model").agg(
-        F.first("samples").alias("samples"), F.sum(a * weight * F.col("tps")).alias("part")
+    kept = F.lit(1.0 - a)
+    alike = samples.filter("tps > 0").groupBy("model", "ts", "seq", "tps").agg(F.count("*").alias("n"))
+    ranged = in_ranges(alike, "ts", "seq", "tps")
+    newer_rows = Window.partitionBy("model", "part").orderBy(F.desc("ts"), F.desc("seq"), F.desc("tps")).rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.pow(kept, F.coalesce(F.sum("n").over(newer_rows), F.lit(0))) * (1 - F.pow(kept, F.col("n")))
+    partials = ranged.withColumn("weighed", weight * F.col("tps")).groupBy("model", "part").agg(F.sum("n").alias("n"), F.sum("weighed").alias("weighed"))
+    newer_parts = Window.partitionBy("model").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    merged = partials.withColumn("newer", F.coalesce(F.sum("n").over(newer_parts), F.lit(0)))
+    return merged.groupBy("model").agg(
+        F.sum("n").alias("samples"), F.sum(F.pow(kept, F.col("newer")) * F.col("weighed")).alias("part")
     ).select(
         "model", "samples",
-        (F.col("part") + F.pow(F.lit(1.0 - a), F.col("samples")) * s.initial_decode_tps).alias("tps"),
+        (F.col("part") + F.pow(kept, F.col("samples")) * s.initial_decode_tps).alias("tps"),
     )

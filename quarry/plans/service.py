@@ -8,7 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions.text import split_stream_pieces, strip
-from quarry.operators.indexing import IndexNotReady, Snapshot, build_index, load_manifest
+from quarry.operators.indexing import IndexNotReady, Snapshot, load_manifest
+from quarry.operators.refresh import refresh_index
 from quarry.settings import Settings
 
 
@@ -103,7 +104,7 @@ class KnowledgeBase:
     def run_sync(self, job_id: str, documents: DataFrame) -> SyncJob:
         self._set(job_id, status="running")
         try:
-            fresh = build_index(self.spark, documents, self.source_key, self.root, self.settings, force=True)
+            fresh = refresh_index(self.spark, documents, self.source_key, self.root, self.settings)
         except Exception as exc:  # noqa: BLE001 - reported in the job, the old index stays live
             self.active = None
             return self._set(job_id, status="failed", error=f"{type(exc).__name__}: {exc}"[:1000])

@@ -114,6 +114,8 @@ class Settings:
     # kernel never exceeds `query_block`.
     broadcast_rows: int = 500_000
     query_block: int = 512
+    #: Index segments beside each other before their live rows are written as one.
+    max_segments: int = 8
     #: Chunks of one slice of the inverted index: the lists that one task holds.
     posting_slice_chunks: int = 20_000
     index_buckets: int = 0          # 0 = derive from the corpus size

@@ -69,7 +69,7 @@ def run_routes(stream: DataFrame, snapshot: Callable[[], Snapshot], out: str, ch
 def run_refresh(
     arrivals: DataFrame, kb: KnowledgeBase, documents: Callable[[], DataFrame], checkpoint: str
 ) -> StreamingQuery:
-    """New document files trigger one rebuild beside the live index, then the pointer moves."""
+    """New document files trigger one refresh beside the live index, then the pointer moves."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():

@@ -334,6 +334,30 @@ def test_ema_over_more_samples_than_any_window(spark):
         assert got.samples == 3000 and abs(got.tps - want) < 1e-9
 
 
+def test_throughput_of_crowds_and_outliers(spark):
+    """All samples of one model at one instant, and another with one sample ten years early, are spread over the parts."""
+    from quarry.operators.telemetry import ema_throughput, exact_medians, in_ranges
+
+    rows = [("crowd", 5.0, i, 1.0 + i % 11) for i in range(2000)] + [("late", 1e9 + i, i, 2.0 + i % 5) for i in range(1999)] + [("late", -3e8, 0, 900.0)]
+    rows += [("same", 1.0, 1, 4.0)] * 500 + [("one", 1.0, 1, 7.0), ("one", 2.0, 2, 0.0)]
+    df = spark.createDataFrame(rows, "model string, ts double, seq long, tps double")
+    sizes = [r["count"] for r in in_ranges(df.where("model = 'crowd'"), "ts", "seq").groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 800
+    for alpha in (0.002, 0.35):
+        s = Settings(perf_ema_alpha=alpha)
+        got = {r.model: (r.samples, r.tps) for r in ema_throughput(df, s).collect()}
+        for model in ("crowd", "late", "same", "one"):
+            mine = [x for m, _, _, x in sorted(r for r in rows if r[0] == model) if x > 0]
+            want = s.initial_decode_tps
+            for x in mine:
+                want = alpha * x + (1 - alpha) * want
+            assert got[model][0] == len(mine) and got[model][1] == pytest.approx(want, rel=1e-9)
+    medians = {r.model: (r.samples, r.median) for r in exact_medians(df).collect()}
+    for model in ("crowd", "late", "same", "one"):
+        mine = [x for m, _, _, x in rows if m == model]
+        assert medians[model] == (len(mine), float(np.median(mine)))
+
+
 def test_chunk_index_out_of_range_fails(spark):
     from quarry.operators.chunking import chunk_index
 
