@@ -1,22 +1,23 @@
 """Exact n-gram Jaccard join through a token-group matrix.
 
-1. A document is the set of its distinct three-word shingles, each a 64-bit hash of its words' hashes; documents with the
-   same set are one node, named by 128 bits of the set.
+1. A document is the set of its distinct word shingles (three words unless set otherwise), each a 64-bit hash of its words'
+   hashes; documents with the same set are one node, named by 128 bits of the set.
 2. Tokens have one global order: first those not known to be frequent, by hash, then the frequent ones, rarest first. What is
    frequent is counted by all tasks with bounded tables; the order may be any, so a wrong count costs time and no link.
    Of a node of n tokens only the first n - ceil(0.9 n) + 1 need be looked up: two linked nodes share one of these.
 3. Nodes that share such a token with another are dealt into groups of similar nodes, at most `group_nodes` each: sorted by
    their first shared tokens, neighbours stand together.
 4. The token-group matrix has a row per looked-up token and group. A node meets the groups (after its own) in which it
-   finds a token; parity sketches (a differing token flips one of 512 bits) drop those where no member can be near enough.
+   finds a token; parity sketches (a differing token flips one bit) drop those where no member can be near enough.
 5. For the groups and nodes that remain, whole sets are made again from their texts. A group stores the union of its members'
-   tokens; a node that has less than 0.9 of its tokens in the union does not open the group, the others are
-   compared with its members exactly. One link per local component of a group is enough; components join the rest.
+   tokens, each with the members that have it; a node that has less than 0.9 of its tokens in the union does not open the
+   group, the others are compared with its members exactly. One link per local component of a group is enough; components
+   join the rest.
 
 No step emits pairs of nodes before the last, and the last only links. Sets are compared by 64-bit hashes: that a token differs
 but counts as shared has a chance near 10^-14 for two sets of 500 tokens.
 
-Cases: null texts and texts without words have an empty set and link with nothing; one or two words are one shingle; a
+Cases: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle are one; a
 null doc_id gives way to any other when the smallest is taken; repeated rows each return a row; an empty table an empty result.
 """
 
@@ -32,51 +33,127 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.common import components, partitions, prepare, stage, text_of
 
-#: Odd multipliers of the shingle hash.
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-SKETCH_BITS = 512
+#: An odd multiplier; its powers weigh the words of a shingle.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class JoinSettings:
-    #: Least similarity in hundredths.
+    #: Least similarity in hundredths, and words of a shingle.
     percent: int = 90
-    group_nodes: int = 32
+    shingle: int = 3
+    group_nodes: int = 128
+    #: Bits of the smallest sketch (a power of two), and bits for a hundred tokens.
+    sketch_bits: int = 512
+    sketch_share: int = 100
+    #: Bits of the table that tells which texts may be wanted again; a full table only lets more texts through.
+    wanted_bits: int = 1 << 27
     #: Bounds of the tables of frequent tokens: of one task, sent by one task, and of all.
     counted_tokens: int = 200_000
     sent_tokens: int = 20_000
     frequent_tokens: int = 200_000
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 13)
-        return h
+_SPAN = 1 << 18
+_LONG = 1 << 16
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-_words = _WordHash()
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_SPAN, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def token_set(text: bytes) -> np.ndarray:
+_POWERS, _INVERSES = _powers(int(MIX)), _powers(pow(int(MIX), -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """Hash of every word (run of anything but blanks) of a text, A-Z lowered.
+
+    Polynomials over the bytes, all at once: sums up to a word's end less those up to its start, moved to its start.
+    Words over 65,536 bytes are hashed one by one.
+    """
+    text = text.lower()
+    b = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(b) + 2, bool)
+    np.logical_not(_BLANK[b], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + _SPAN, "right")))
+        stop = min(ends[j - 1], base + _SPAN)
+        sums = np.zeros(stop - base + 1, np.uint64)
+        np.cumsum((b[base:stop].astype(np.uint64) + np.uint64(1)) * _POWERS[: stop - base], out=sums[1:])
+        first, last = starts[i:j] - base, np.minimum(ends[i:j], stop) - base
+        out[i:j] = (sums[last] - sums[first]) * _INVERSES[first]
+        i = j
+    for i in np.flatnonzero(ends - starts > _LONG):
+        out[i] = xxhash.xxh64_intdigest(text[starts[i] : ends[i]], 13)
+    return _mixed(out)
+
+
+def token_set(text: bytes, shingle: int = 3) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    words = text.lower().split()
-    if len(words) < 3:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 29)] if words else [], np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    h = h[:-2] * MIX[0] + h[1:-1] * MIX[1] + h[2:] * MIX[2]
-    h ^= h >> np.uint64(32)
-    h *= MIX[0]
-    h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def sketch_of(tokens: np.ndarray) -> bytes:
-    odd = np.bincount((tokens % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    of = word_hashes(text)
+    if not len(of):
+        return of
+    # fewer words than a shingle are one; the number of words keeps them apart from longer ones
+    size = min(shingle, len(of))
+    n = len(of) - size + 1
+    h = np.full(n, size, np.uint64)
+    for i in range(size):
+        h *= MIX
+        h += of[i : i + n]
+    h = _mixed(h)
+    h.sort()
+    fresh = np.ones(n, bool)
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    return h[fresh]
+
+
+def sketch_of(tokens: np.ndarray, s: JoinSettings) -> bytes:
+    """Parities of the tokens over a power of two of bits."""
+    bits = s.sketch_bits
+    while 100 * bits < s.sketch_share * len(tokens):
+        bits *= 2
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Differing parities of every two sketches, a lower bound of their sets' differing tokens; the longer sketch is folded."""
+    out = np.zeros((len(a), len(b)), np.int64)
+
+    def by_length(sketches: list[bytes]) -> dict[int, list[int]]:
+        found: dict[int, list[int]] = {}
+        for i, x in enumerate(sketches):
+            found.setdefault(len(x), []).append(i)
+        return found
+
+    def folded(sketches: list[bytes], length: int) -> np.ndarray:
+        x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+        while x.shape[1] * 8 > length:
+            half = x.shape[1] // 2
+            x = x[:, :half] ^ x[:, half:]
+        return x
+
+    for n, i in by_length(a).items():
+        for m, j in by_length(b).items():
+            x, y = folded([a[k] for k in i], min(n, m)), folded([b[k] for k in j], min(n, m))
+            for row, one in zip(i, x):
+                out[row, j] = np.bitwise_count(one ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def looked_up(n: int, s: JoinSettings) -> int:
     return n - (s.percent * n + 99) // 100 + 1
 
@@ -115,7 +192,7 @@ def document_nodes(docs: DataFrame, s: JoinSettings, text: str = "text", doc_id:
         for b in batches:
             nodes, sizes, ids = [], [], b["doc_id"].type
             for t in b["text"]:
-                x = token_set(t.as_buffer().to_pybytes())
+                x = token_set(t.as_buffer().to_pybytes(), s.shingle)
                 counts.add(x)
                 sizes.append(len(x))
                 nodes.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
@@ -148,7 +225,8 @@ def frequent(rows: DataFrame, s: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lookups(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], s: JoinSettings, text: str = "text") -> DataFrame:
-    """(node, n, sketch, tokens): one row per node with the tokens that must be looked up."""
+    """(node, nid, n, sketch, tokens): one row per node with the tokens that must be looked up; nid is a number of the row,
+    good once the rows are written."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +234,7 @@ def lookups(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], s: JoinSettin
         for b in batches:
             nodes, sizes, sketches, first = [], [], [], []
             for t in b["text"]:
-                x = token_set(t.as_buffer().to_pybytes())
+                x = token_set(t.as_buffer().to_pybytes(), s.shingle)
                 if not len(x):
                     continue
                 rank = np.zeros(len(x), np.int64)
@@ -165,30 +243,32 @@ def lookups(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], s: JoinSettin
                     rank = np.where(tokens[at] == x, counts[at], 0)
                 nodes.append(xxhash.xxh3_128_digest(x.tobytes()))
                 sizes.append(len(x))
-                sketches.append(sketch_of(x))
+                sketches.append(sketch_of(x, s))
                 first.append(x[np.lexsort((x, rank))][: looked_up(len(x), s)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
                 ["node", "n", "sketch", "tokens"])
 
     found = docs.select(text_of(text).alias("text")).mapInArrow(read, "node binary, n long, sketch binary, tokens array<long>")
-    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
+    once = found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
+    return once.withColumn("nid", F.monotonically_increasing_id())
+
+
+MEMBER = "struct<nid:bigint,n:bigint,sketch:binary,tokens:array<bigint>>"
 
 
 def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
-    """(grp, members array<struct<node, n, sketch, tokens>>): nodes that share a looked-up token, similar ones together."""
-    token_nodes = nodes.select("node", F.explode("tokens").alias("token"))
-    common = token_nodes.groupBy("token").count().where("count > 1").select("token")
-    # the order of the tokens in a row is kept: places are dealt with them
-    placed = nodes.select("node", F.posexplode("tokens").alias("at", "token")).join(common, "token")
-    kept = placed.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t"))
-    kept = kept.select("node", F.transform("t", lambda x: x["token"]).alias("tokens")).join(nodes.select("node", "n", "sketch"), "node")
-    spread = stage(kept.select("node", "n", "sketch", "tokens", F.col("tokens")[0].alias("t0"), F.get("tokens", F.lit(1)).alias("t1")), "join-nodes")
-    member = pa.struct([("node", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    """(grp, members): nodes that share a looked-up token, similar ones together; a group has the number of its first node."""
+    common = nodes.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token")
+    # similar nodes have the same smallest hashes among their shared tokens
+    dealt = nodes.select("nid", F.explode("tokens").alias("token")).join(common, "token")
+    kept = dealt.groupBy("nid").agg(F.array_sort(F.collect_list("token")).alias("tokens")).join(nodes.select("nid", "n", "sketch"), "nid")
+    spread = stage(kept.select("nid", "n", "sketch", "tokens", F.col("tokens")[0].alias("t0"), F.get("tokens", F.lit(1)).alias("t1")), "join-nodes")
+    member = pa.struct([("nid", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups(found: list[list[dict]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([g[0]["node"] for g in found], pa.binary()), pa.array(found, pa.list_(member))], ["grp", "members"])
+            return pa.RecordBatch.from_arrays([pa.array([g[0]["nid"] for g in found], pa.int64()), pa.array(found, pa.list_(member))], ["grp", "members"])
 
         held, last = [], None
         for b in batches:
@@ -206,161 +286,236 @@ def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
         if held:
             yield groups([held])
 
-    ordered = spread.repartitionByRange(partitions(nodes.sparkSession), "t0", "t1", "node").sortWithinPartitions("t0", "t1", "node")
-    return ordered.mapInArrow(form, "grp binary, members array<struct<node:binary,n:bigint,sketch:binary,tokens:array<bigint>>>")
+    ordered = spread.repartitionByRange(partitions(nodes.sparkSession), "t0", "t1", "nid").sortWithinPartitions("t0", "t1", "nid")
+    return ordered.mapInArrow(form, f"grp bigint, members array<{MEMBER}>")
 
 
 def candidates(groups: DataFrame, s: JoinSettings) -> DataFrame:
-    """(grp, node, n, sketch): nodes that find a token of theirs in a later group with a member of fitting size."""
+    """(grp, nid): nodes that find a token of theirs in a later group with a member of fitting size."""
     p = s.percent
     matrix = groups.select(
         "grp", F.array_min("members.n").alias("low"), F.array_max("members.n").alias("high"),
         F.explode(F.array_distinct(F.flatten("members.tokens"))).alias("token"))
-    probes = groups.select(F.col("grp").alias("home"), F.explode("members").alias("m")).select("home", "m.node", "m.n", F.explode("m.tokens").alias("token"))
+    probes = groups.select(F.col("grp").alias("home"), F.explode("members").alias("m")).select("home", "m.nid", "m.n", F.explode("m.tokens").alias("token"))
     fits = (F.col("home") < F.col("grp")) & (100 * F.col("high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("low"))
-    return probes.join(matrix, (probes.token == matrix.token) & fits).select("grp", "node").distinct()
+    return probes.join(matrix, (probes.token == matrix.token) & fits).select("grp", "nid").distinct()
 
 
-def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict | None, pa.RecordBatch]]:
-    """Rows sorted by group, its members first -> (members, rows) for each run of rows of one group in a batch."""
-    at, members = None, None
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, pa.RecordBatch]]:
+    """Rows sorted by group, members (with a place `at`) first -> (group, members, visitors) of each run in a batch."""
     for b in batches:
-        keys = b["grp"].to_pylist()
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        keys = b["grp"].to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
         for i, j in zip(cuts, cuts[1:]):
-            if i == j:
-                continue
-            run = b.slice(i, j - i)
-            if keys[i] != at:
-                at, members = keys[i], None
-            fresh = members is None
-            if run["members"][0].is_valid:
-                members, run = run["members"][0].as_py(), run.slice(1)
-            if members is not None:
-                yield (members if fresh else None), run
-
-
-def _together(groups: DataFrame, rows: DataFrame) -> DataFrame:
-    """Groups and the rows that visit them, in one partition by group, the group's own row first."""
-    spark = groups.sparkSession
-    both = groups.unionByName(rows, allowMissingColumns=True)
-    return both.repartition(partitions(spark), "grp").sortWithinPartitions(F.col("grp"), F.col("members").isNull())
-
-
-def promising(groups: DataFrame, found: DataFrame, s: JoinSettings) -> DataFrame:
-    """(grp, node) of `found` where the sketches leave a member near enough; a null node stands for the group's own members."""
+            if i < j:
+                run = b.slice(i, j - i)
+                m = run.num_rows - run["at"].null_count
+                yield int(keys[i]), run.slice(0, m), run.slice(m)
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Members (with a place `at`) and visitors (without) in one partition by group, the members first and in order."""
+    return rows.repartition(partitions(rows.sparkSession), "grp").sortWithinPartitions(F.col("grp"), F.col("at").asc_nulls_last())
+
+
+def promising(groups: DataFrame, found: DataFrame, s: JoinSettings, roots: DataFrame | None = None) -> DataFrame:
+    """(grp, nid, gap) of `found` where the sketches leave a member near enough; gap is that of the nearest in millionths.
+
+    A null nid stands for the group's own members. With roots(nid, root), only members of another component count.
+    """
     slack, whole = 100 - s.percent, 100 + s.percent
 
+    def gaps(a: pa.RecordBatch, sketches: list[bytes], n: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Gap of every row of `a` to every member, large where it is too far or needs no look."""
+        differ = differing(a["sketch"].to_pylist(), sketches)
+        both = a["n"].to_numpy()[:, None] + n[None, :]
+        # similarity p needs at most (na + nb) * (1 - p) / (1 + p) differing tokens, each of which flips one bit
+        open_ = (whole * differ <= slack * both) & (a["root"].to_numpy()[:, None] != root[None, :])
+        return np.where(open_, 1_000_000 * differ // np.maximum(both, 1), 1 << 40)
+
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def near(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> np.ndarray:
-            # similarity p needs at most (na + nb) * (1 - p) / (1 + p) differing tokens, each of which flips one bit
-            differ = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
-            return whole * differ <= slack * (na[:, None] + nb[None, :])
-
-        sketches = lambda xs: np.frombuffer(b"".join(xs), np.uint64).reshape(len(xs), -1)
-        grp, node = [], []
-        m, mn = None, None
-        for members, run in _by_group(batches):
-            if members is not None:
-                m, mn = sketches([x["sketch"] for x in members]), np.array([x["n"] for x in members])
-                ok = near(m, mn, m, mn)
-                if ok.sum() > len(mn):
-                    grp.append(members[0]["node"])
-                    node.append(None)
-            if run.num_rows:
-                ok = near(sketches(run["sketch"].to_pylist()), run["n"].to_numpy(), m, mn).any(axis=1)
-                grp += [g for g, o in zip(run["grp"].to_pylist(), ok) if o]
-                node += [x for x, o in zip(run["node"].to_pylist(), ok) if o]
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(nid, pa.int64()), pa.array(gap, pa.int64())], ["grp", "nid", "gap"])
+
+        none = np.empty(0, np.int64)
+        grp, nid, gap, at, m, mn, mr, own = [], [], [], None, [], none, none, False
+        for g, members, visitors in _runs(batches):
+            if g != at:
+                at, m, mn, mr, own = g, [], none, none, False
+            if members.num_rows:
+                m, mn = m + members["sketch"].to_pylist(), np.concatenate([mn, members["n"].to_numpy()])
+                mr = np.concatenate([mr, members["root"].to_numpy()])
+                if not own and len(m) > 1 and (gaps(members, m, mn, mr) < 1 << 40).any():
+                    own = True
+                    grp.append(g)
+                    nid.append(None)
+                    gap.append(0)
+            if visitors.num_rows:
+                nearest = gaps(visitors, m, mn, mr).min(axis=1)
+                ok = nearest < 1 << 40
+                nid += visitors["nid"].filter(pa.array(ok)).to_pylist()
+                grp += [g] * int(ok.sum())
+                gap += nearest[ok].tolist()
             if len(grp) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(grp, pa.binary()), pa.array(node, pa.binary())], ["grp", "node"])
-                grp, node = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.binary()), pa.array(node, pa.binary())], ["grp", "node"])
+                yield out()
+                grp, nid, gap = [], [], []
+        yield out()
 
-    seen = groups.select(F.explode("members").alias("m")).select("m.node", "m.n", "m.sketch")
-    own = groups.select("grp", F.transform("members", lambda m: F.struct(m["node"], m["n"], m["sketch"])).alias("members"))
-    return _together(own, found.join(seen, "node").select("grp", "node", "n", "sketch")).mapInArrow(sift, "grp binary, node binary")
+    own = groups.select("grp", F.posexplode("members").alias("at", "m")).select("grp", "at", "m.nid", "m.n", "m.sketch")
+    if roots is None:
+        own = own.withColumn("root", F.col("nid"))
+    else:
+        own = own.join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid")).select("grp", "at", "nid", "n", "sketch", "root")
+    visiting = found.join(own.select("nid", "n", "sketch", "root"), "nid").withColumn("at", F.lit(None).cast("int"))
+    return _together(own.unionByName(visiting.select(own.columns))).mapInArrow(sift, "grp bigint, nid bigint, gap bigint")
 
 
-def token_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(node, tokens): the whole sets of the wanted nodes, from one text each."""
+def _marked(digests: DataFrame, bits: int) -> np.ndarray:
+    """A table of `bits` bits with one set for every (16-byte) digest; tasks send the places, a bounded table is gathered."""
+    piece = 1 << 16
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(digest: pa.Array) -> np.ndarray:
+        return (np.frombuffer(b"".join(digest.to_pylist()), "<u8").reshape(-1, 2)[:, 0] % np.uint64(bits)).astype(np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [token_set(t.as_buffer().to_pybytes()).view(np.int64) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+            at = np.unique(places(b["text_md5"]))
+            yield pa.RecordBatch.from_arrays([pa.array(at // piece), pa.array(at % piece)], ["piece", "at"])
+
+    def gather(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(piece // 8, np.uint8)
+        at = np.unique(rows["at"].to_numpy())
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([out.tobytes()], pa.binary())})
+
+    marked = digests.mapInArrow(mark, "piece bigint, at bigint").distinct().groupBy("piece").applyInArrow(gather, "piece bigint, bits binary")
+    table = np.zeros(bits // 8, np.uint8)
+    for r in marked.collect():
+        table[r.piece * piece // 8 : (r.piece + 1) * piece // 8] = np.frombuffer(r.bits, np.uint8)
+    return table
+
+
+def wanted_texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, s: JoinSettings, text: str = "text") -> DataFrame:
+    """(nid, text): one text of each wanted (node, nid).
 
+    A table of bits lets through the texts that may be wanted, so that the others are not shuffled; the join is exact.
+    Texts travel instead of token sets, which are larger and do not compress.
+    """
     one = rows.where("node is not null").groupBy("node").agg(F.min("text_md5").alias("text_md5")).join(wanted, "node")
-    t = text_of(text)
-    texts = docs.select(F.unhex(F.md5(t)).alias("text_md5"), t.alias("text")).join(one, "text_md5")
-    return texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(read, "node binary, tokens array<long>")
-
-
-def shared_counts(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """Number of common tokens of every set and every other one."""
-    union = np.unique(np.concatenate(others)) if others else np.empty(0, np.int64)
-    out = np.zeros((len(sets), len(others)), np.int64)
-    of = np.zeros((len(union), len(others)), bool)
-    for j, y in enumerate(others):
-        of[np.searchsorted(union, y), j] = True
-    for i, x in enumerate(sets):
-        at = np.minimum(np.searchsorted(union, x), max(len(union) - 1, 0))
-        out[i] = of[at[union[at] == x]].sum(axis=0) if len(union) else 0
-    return out
+    one = stage(one.select("nid", "text_md5"), "join-wanted")
+    bits = s.wanted_bits
+    table = docs.sparkSession.sparkContext.broadcast(_marked(one.select("text_md5"), bits))
 
+    def may_be_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = (np.frombuffer(b"".join(b["text_md5"].to_pylist()), "<u8").reshape(-1, 2)[:, 0] % np.uint64(bits)).astype(np.int64)
+            yield b.filter(pa.array((table.value[at >> 3] >> (at & 7) & 1).astype(bool)))
 
-def group_links(groups: DataFrame, visits: DataFrame, s: JoinSettings) -> DataFrame:
-    """groups(grp, members array<struct<node, tokens>>), visits(grp, node, tokens) -> exact links (a, b)."""
-    p = s.percent
+    t = text_of(text)
+    texts = docs.select(F.unhex(F.md5(t)).alias("text_md5"), t.alias("text")).mapInArrow(may_be_wanted, "text_md5 binary, text string")
+    return texts.groupBy("text_md5").agg(F.first("text").alias("text")).join(one, "text_md5").select("nid", "text")
+
+
+class _Members:
+    """The token sets of a group: its token union, each token with the members that have it, and the local components."""
+
+    def __init__(self, names: list[int], sets: list[np.ndarray], percent: int) -> None:
+        self.names, self.percent = names, percent
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.union, first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(first, len(tokens))
+        self.links: list[tuple[int, int]] = []
+        self.local = np.arange(len(sets))
+        for i, x in enumerate(sets[:-1]):
+            for j in self.similar(x):
+                if j > i and self.local[i] != self.local[j]:
+                    self.links.append((names[i], names[j]))
+                    self.local[self.local == self.local[j]] = self.local[i]
+
+    def similar(self, x: np.ndarray) -> np.ndarray:
+        """Members with the least similarity to the set `x`."""
+        at = np.minimum(np.searchsorted(self.union, x), len(self.union) - 1)
+        at = at[self.union[at] == x]
+        # the bound: no member shares more tokens than the union does
+        if 100 * len(at) < self.percent * len(x):
+            return np.empty(0, np.int64)
+        much = self.first[at + 1] - self.first[at]
+        place = np.repeat(self.first[at] - np.cumsum(much) + much, much) + np.arange(much.sum())
+        shared = np.bincount(self.owner[place], minlength=len(self.names))
+        return np.flatnonzero(100 * shared >= self.percent * (len(x) + self.sizes - shared))
+
+
+def group_links(rows: DataFrame, s: JoinSettings) -> DataFrame:
+    """(grp, at, nid, text), members with their place `at` and visitors without -> exact links (a, b) of node numbers."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, sets, names, local, union = [], [], [], [], [], None
-        for members, run in _by_group(batches):
-            if members is not None:
-                names = [x["node"] for x in members]
-                sets = [np.array(x["tokens"], np.int64) for x in members]
-                union = np.unique(np.concatenate(sets))
-                sizes = np.array([len(x) for x in sets])
-                both = shared_counts(sets, sets)
-                linked = 100 * both >= p * (sizes[:, None] + sizes[None, :] - both)
-                local = list(range(len(sets)))
-                for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-                    a.append(names[i])
-                    b.append(names[j])
-                    low, high = sorted((local[i], local[j]))
-                    local = [low if x == high else x for x in local]
-            for node, tokens in zip(run["node"].to_pylist(), run["tokens"]):
-                x = tokens.values.to_numpy()
-                at = np.minimum(np.searchsorted(union, x), len(union) - 1)
-                # the bound: a member cannot share more tokens than the whole group has
-                if 100 * int((union[at] == x).sum()) < p * len(x):
-                    continue
-                met = set()
-                both = shared_counts([x], sets)[0]
-                for j in np.nonzero(100 * both >= p * (len(x) + sizes - both))[0]:
-                    if local[j] not in met:
-                        met.add(local[j])
-                        a.append(node)
-                        b.append(names[j])
-            if len(a) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    return _together(groups, visits).mapInArrow(links, "a binary, b binary")
+        def out() -> pa.RecordBatch:
+            a, b = zip(*found) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        def close() -> None:
+            nonlocal group
+            if group is None and sets:
+                group = _Members(names, sets, s.percent)
+                found.extend(group.links)
+
+        def tokens_of(column: pa.Array) -> list[np.ndarray]:
+            return [token_set(x.as_buffer().to_pybytes(), s.shingle) for x in column]
+
+        found: list[tuple[int, int]] = []
+        at, names, sets, group = None, [], [], None
+        for g, own, visiting in _runs(batches):
+            if g != at:
+                close()
+                at, names, sets, group = g, [], [], None
+            names = names + own["nid"].to_pylist()
+            sets = sets + tokens_of(own["text"])
+            if visiting.num_rows:
+                close()
+                for nid, tokens in zip(visiting["nid"].to_pylist(), tokens_of(visiting["text"])):
+                    near = group.similar(tokens)
+                    # one link to each local component
+                    found.extend((nid, names[j]) for j in near[np.unique(group.local[near], return_index=True)[1]])
+            if len(found) > 4096:
+                yield out()
+                found = []
+        close()
+        yield out()
+
+    return _together(rows).mapInArrow(links, "a bigint, b bigint")
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, s: JoinSettings, text: str = "text") -> DataFrame:
-    """Links (a, b) of nodes that connect every two with the least similarity, directly or through others."""
+    """Links (a, b) of nodes that connect every two with the least similarity, directly or through others.
+
+    First every node visits the nearest of its groups, which joins most of a cluster of near copies. Of the other visits, those to
+    members that are all in the node's component by then can add nothing; the rest follow.
+    """
     nodes = stage(lookups(docs, frequent(rows, s), s, text), "join-lookups")
     groups = stage(similar_groups(nodes, s), "join-groups")
     found = stage(promising(groups, candidates(groups, s), s), "join-visits")
-    opened = groups.join(found.select("grp").distinct(), "grp").select("grp", F.posexplode("members.node").alias("at", "node"))
-    visiting = found.where("node is not null")
-    wanted = opened.select("node").unionByName(visiting.select("node")).distinct()
-    sets = stage(token_sets(docs, rows, wanted, text), "join-sets")
-    whole = opened.join(sets, "node").groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("at", "node", "tokens"))).alias("m"))
-    members = whole.select("grp", F.transform("m", lambda m: F.struct(m["node"], m["tokens"])).alias("members"))
-    return group_links(members, visiting.join(sets, "node").select("grp", "node", "tokens"), s)
+    names = nodes.select("node", "nid")
+    members = groups.join(found.select("grp").distinct(), "grp").select("grp", F.posexplode("members.nid").alias("at", "nid"))
+    wanted = members.select("nid").unionByName(found.select("nid").where("nid is not null")).distinct()
+    texts = stage(wanted_texts(docs, rows, names.join(wanted, "nid"), s, text), "join-texts")
+
+    def opened(visits: DataFrame) -> DataFrame:
+        """Links of the visits (grp, nid) and within the groups they open."""
+        own = groups.join(visits.select("grp").distinct(), "grp").select("grp", F.posexplode("members.nid").alias("at", "nid"))
+        both = own.unionByName(visits.where("nid is not null").select("grp", F.lit(None).cast("int").alias("at"), "nid"))
+        return stage(group_links(both.join(texts, "nid").select("grp", "at", "nid", "text"), s), "join-links")
+
+    nearest = found.where("nid is not null").groupBy("nid").agg(F.min(F.struct("gap", "grp")).alias("v")).select("v.grp", "nid")
+    links = opened(nearest.unionByName(found.where("nid is null").select("grp", "nid")))
+    roots = stage(components(links).withColumnRenamed("node", "nid"), "join-roots")
+    others = found.where("nid is not null").select("grp", "nid").join(nearest, ["grp", "nid"], "left_anti")
+    rest = stage(promising(groups, others, s, roots).where("nid is not null").select("grp", "nid"), "join-visits")
+    links = links.unionByName(opened(rest))
+    named = lambda c: names.select(F.col("nid").alias(c), F.col("node").alias(f"node_{c}"))
+    return links.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, s: JoinSettings = JoinSettings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
