@@ -149,8 +149,8 @@ def held_out(doc_id: Column, folds: int) -> Column:
 def train(docs: DataFrame, s: LanguageSettings, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{doc_id}`").cast("string").alias("i"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i"), s.folds))
-    place = F.shiftrightunsigned(F.xxhash64("i", "t"), 1).alias("place")
-    # different rows of each language, by sketches: copies of a row share its hash
+    place = F.shiftrightunsigned(F.xxhash64("t"), 1).alias("place")
+    # different texts of each language, by sketches: copies of a text share its hash, whatever their ids
     sizes = {r.l: r.n for r in rows.select("l", place).groupBy("l").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
     if not sizes:
         return fit(np.zeros((0, s.dimensions), np.float32), [], s)
@@ -165,7 +165,7 @@ def train(docs: DataFrame, s: LanguageSettings, text: str = "text", lang: str =
         return pa.array([features(x, dims).tobytes() if LETTER.search(x) else None for x in col.to_pylist()], pa.binary())
 
     chosen = rows.select("l", "t", place).where(F.col("place") <= shares[F.col("l")])
-    # one of the copies of a row is learned from, so a hot row cannot fill the sample
+    # one of the copies of a text is learned from, so a hot group cannot fill the sample
     got = chosen.dropDuplicates(["l", "place"]).select("l", "place", vector("t").alias("v")).collect()
     taken: dict[str, list] = {}
     for r in sorted((r for r in got if r.v is not None), key=lambda r: (r.l, r.place, r.v)):

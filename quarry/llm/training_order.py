@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.llm.common import prepare, stage, text_of
 
 MASK = (1 << 64) - 1
+_BESIDE = re.compile(r"\s | \s")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 SCHEMA = "part int, nth bigint, doc_id bigint, seq_no int, n_tokens int, tokens binary"
 
 
@@ -55,8 +58,8 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """Byte-level token ids as little-endian uint16 bytes, with a bounded cache of space-led pieces.
 
-    The vocabulary's pattern always starts a piece at a single space between two other characters, so
-    texts without double spaces are encoded piece by piece; the rest go to the tokenizer whole.
+    The vocabulary's pattern always starts a piece at a space between two characters that are no white space, so a text
+    may be cut there and nowhere else: a space beside any other white space stays inside its piece.
     """
 
     def __init__(self, name: str, cache_size: int = 400_000) -> None:
@@ -70,9 +73,9 @@ class Encoder:
         self.cache_size = cache_size
 
     def ids(self, text: str) -> bytes:
-        if "  " in text or not text:
-            return np.array(self.encode(text), "<u2").tobytes()
-        first, *rest = text.split(" ")
+        if not text:
+            return b""
+        first, *rest = _CUT.split(text) if _BESIDE.search(text) else text.split(" ")
         cache = self.cache
         if len(cache) > self.cache_size:
             cache.clear()
