@@ -7,12 +7,14 @@
    Of a node of n tokens only the first n - ceil(0.9 n) + 1 need be looked up: two linked nodes share one of these.
 3. Nodes that share such a token with another are dealt into groups of similar nodes, at most `group_nodes` each: sorted by
    their first shared tokens, neighbours stand together.
-4. The token-group matrix has a row per looked-up token and group. A node meets the groups (after its own) in which it
-   finds a token; parity sketches (a differing token flips one bit) drop those where no member can be near enough.
-5. For the groups and nodes that remain, whole sets are made again from their texts. A group stores the union of its members'
-   tokens, each with the members that have it; a node that has less than 0.9 of its tokens in the union does not open the
-   group, the others are compared with its members exactly. One link per local component of a group is enough; components
-   join the rest.
+4. The token-group matrix has a row per looked-up token and group. A node meets the groups before its own in which it
+   finds a token: at first only the first group of each token, then, by components, those where the token belongs to a
+   member of another component. Parity sketches (a differing token flips one bit) drop groups where no member can be near
+   enough, and members that can be near nobody.
+5. For the groups and nodes that remain, whole sets are made again from their texts. A group stores the union of its near
+   members' tokens, each with the members that have it; a node that has less than 0.9 of its tokens in the union does not open
+   the group, the others are compared with its members exactly. One link per local component of a group is enough;
+   components join the rest.
 
 No step emits pairs of nodes before the last, and the last only links. Sets are compared by 64-bit hashes: that a token differs
 but counts as shared has a chance near 10^-14 for two sets of 500 tokens.
@@ -29,13 +31,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import components, partitions, prepare, stage, text_of
+from quarry.llm.common import components, discard, partitions, prepare, stage, text_of
 
 #: An odd multiplier; its powers weigh the words of a shingle.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
+#: The gap of two sets that cannot be near.
+FAR = 1 << 40
+
 
 @dataclass(frozen=True)
 class JoinSettings:
@@ -44,8 +50,8 @@ class JoinSettings:
     shingle: int = 3
     group_nodes: int = 128
     #: Bits of the smallest sketch (a power of two), and bits for a hundred tokens.
-    sketch_bits: int = 512
-    sketch_share: int = 100
+    sketch_bits: int = 256
+    sketch_share: int = 60
     #: Bits of the table that tells which texts may be wanted again; a full table only lets more texts through.
     wanted_bits: int = 1 << 27
     #: Bounds of the tables of frequent tokens: of one task, sent by one task, and of all.
@@ -258,7 +264,7 @@ MEMBER = "struct<nid:bigint,n:bigint,sketch:binary,tokens:array<bigint>>"
 
 
 def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
-    """(grp, members): nodes that share a looked-up token, similar ones together; a group has the number of its first node."""
+    """(grp, members), staged: nodes that share a looked-up token, similar ones together; a group has the number of its first node."""
     common = nodes.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token")
     # similar nodes have the same smallest hashes among their shared tokens
     dealt = nodes.select("nid", F.explode("tokens").alias("token")).join(common, "token")
@@ -287,18 +293,43 @@ def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
             yield groups([held])
 
     ordered = spread.repartitionByRange(partitions(nodes.sparkSession), "t0", "t1", "nid").sortWithinPartitions("t0", "t1", "nid")
-    return ordered.mapInArrow(form, f"grp bigint, members array<{MEMBER}>")
+    out = stage(ordered.mapInArrow(form, f"grp bigint, members array<{MEMBER}>"), "join-groups")
+    discard(spread)
+    return out
+
 
+def _placed(groups: DataFrame) -> DataFrame:
+    """(grp, nid, n, token): the nodes of every group with their shared looked-up tokens."""
+    return groups.select("grp", F.explode("members").alias("m")).select("grp", "m.nid", "m.n", F.explode("m.tokens").alias("token"))
 
-def candidates(groups: DataFrame, s: JoinSettings) -> DataFrame:
-    """(grp, nid): nodes that find a token of theirs in a later group with a member of fitting size."""
+
+def first_visits(groups: DataFrame, s: JoinSettings) -> DataFrame:
+    """(grp, nid): every node with the first group of each of its tokens, where that is an earlier one and of fitting size.
+
+    A token has one first group, so the visits grow with the nodes however many share a token.
+    """
+    p = s.percent
+    rows = groups.select("grp", F.array_min("members.n").alias("low"), F.array_max("members.n").alias("high"),
+                         F.explode(F.array_distinct(F.flatten("members.tokens"))).alias("token"))
+    first = rows.groupBy("token").agg(F.min(F.struct("grp", "low", "high")).alias("f"))
+    fits = (F.col("grp") > F.col("f.grp")) & (100 * F.col("f.high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("f.low"))
+    return _placed(groups).join(first, "token").where(fits).select(F.col("f.grp").alias("grp"), "nid").distinct()
+
+
+def later_visits(groups: DataFrame, roots: DataFrame, s: JoinSettings) -> DataFrame:
+    """(grp, nid): nodes that find a token of theirs in an earlier group, at a member of fitting size in another component.
+
+    A token whose nodes all are in one component is dropped, with it the visits among the members of a linked cluster.
+    """
     p = s.percent
-    matrix = groups.select(
-        "grp", F.array_min("members.n").alias("low"), F.array_max("members.n").alias("high"),
-        F.explode(F.array_distinct(F.flatten("members.tokens"))).alias("token"))
-    probes = groups.select(F.col("grp").alias("home"), F.explode("members").alias("m")).select("home", "m.nid", "m.n", F.explode("m.tokens").alias("token"))
-    fits = (F.col("home") < F.col("grp")) & (100 * F.col("high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("low"))
-    return probes.join(matrix, (probes.token == matrix.token) & fits).select("grp", "nid").distinct()
+    rooted = _placed(groups).join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+    open_ = stage(rooted.join(mixed, "token", "left_semi").select("token", "grp", "nid", "n", "root"), "join-open")
+    matrix = open_.groupBy("token", F.col("grp").alias("at")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("a"), F.max("root").alias("b"))
+    fits = (F.col("at") < F.col("grp")) & (100 * F.col("high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("low"))
+    other = (F.col("a") != F.col("root")) | (F.col("b") != F.col("root"))
+    return open_.join(matrix, "token").where(fits & other).select(F.col("at").alias("grp"), "nid").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, pa.RecordBatch]]:
@@ -319,11 +350,13 @@ def _together(rows: DataFrame) -> DataFrame:
 
 
 def promising(groups: DataFrame, found: DataFrame, s: JoinSettings, roots: DataFrame | None = None) -> DataFrame:
-    """(grp, nid, gap) of `found` where the sketches leave a member near enough; gap is that of the nearest in millionths.
+    """(grp, at, nid, gap): visits `found` (at is null) and members (with their place) that the sketches leave near enough to one
+    another; gap is that of a visitor's nearest member in millionths.
 
-    A null nid stands for the group's own members. With roots(nid, root), only members of another component count.
+    Without roots(nid, root) members are held against one another too; with it only visits count, and only those of another
+    component's members.
     """
-    slack, whole = 100 - s.percent, 100 + s.percent
+    slack, whole, alone = 100 - s.percent, 100 + s.percent, roots is None
 
     def gaps(a: pa.RecordBatch, sketches: list[bytes], n: np.ndarray, root: np.ndarray) -> np.ndarray:
         """Gap of every row of `a` to every member, large where it is too far or needs no look."""
@@ -331,34 +364,53 @@ def promising(groups: DataFrame, found: DataFrame, s: JoinSettings, roots: DataF
         both = a["n"].to_numpy()[:, None] + n[None, :]
         # similarity p needs at most (na + nb) * (1 - p) / (1 + p) differing tokens, each of which flips one bit
         open_ = (whole * differ <= slack * both) & (a["root"].to_numpy()[:, None] != root[None, :])
-        return np.where(open_, 1_000_000 * differ // np.maximum(both, 1), 1 << 40)
+        return np.where(open_, 1_000_000 * differ // np.maximum(both, 1), FAR)
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("grp", pa.int64()), ("at", pa.int32()), ("nid", pa.int64()), ("gap", pa.int64())]
+        columns: list[list] = [[], [], [], []]
+
+        def add(*values: list) -> None:
+            for column, v in zip(columns, values):
+                column.extend(v)
+
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(nid, pa.int64()), pa.array(gap, pa.int64())], ["grp", "nid", "gap"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], [name for name, _ in kinds])
+            for c in columns:
+                c.clear()
+            return batch
+
+        def close() -> None:
+            hit = np.flatnonzero(near).tolist()
+            add([group] * len(hit), hit, [names[i] for i in hit], [0] * len(hit))
+
+        def fresh() -> tuple:
+            return [], [], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
-        none = np.empty(0, np.int64)
-        grp, nid, gap, at, m, mn, mr, own = [], [], [], None, [], none, none, False
+        group = None
+        names, sketches, n, root, near = fresh()
         for g, members, visitors in _runs(batches):
-            if g != at:
-                at, m, mn, mr, own = g, [], none, none, False
+            if g != group:
+                close()
+                group = g
+                names, sketches, n, root, near = fresh()
             if members.num_rows:
-                m, mn = m + members["sketch"].to_pylist(), np.concatenate([mn, members["n"].to_numpy()])
-                mr = np.concatenate([mr, members["root"].to_numpy()])
-                if not own and len(m) > 1 and (gaps(members, m, mn, mr) < 1 << 40).any():
-                    own = True
-                    grp.append(g)
-                    nid.append(None)
-                    gap.append(0)
+                names, sketches = names + members["nid"].to_pylist(), sketches + members["sketch"].to_pylist()
+                n, root = np.concatenate([n, members["n"].to_numpy()]), np.concatenate([root, members["root"].to_numpy()])
+                near = np.concatenate([near, np.zeros(members.num_rows, bool)])
+                if alone:
+                    close_by = gaps(members, sketches, n, root) < FAR
+                    near |= close_by.any(axis=0)
+                    near[len(near) - members.num_rows :] |= close_by.any(axis=1)
             if visitors.num_rows:
-                nearest = gaps(visitors, m, mn, mr).min(axis=1)
-                ok = nearest < 1 << 40
-                nid += visitors["nid"].filter(pa.array(ok)).to_pylist()
-                grp += [g] * int(ok.sum())
-                gap += nearest[ok].tolist()
-            if len(grp) > 4096:
+                gap = gaps(visitors, sketches, n, root)
+                near |= (gap < FAR).any(axis=0)
+                nearest = gap.min(axis=1)
+                ok = np.flatnonzero(nearest < FAR)
+                add([g] * len(ok), [None] * len(ok), visitors["nid"].to_numpy()[ok].tolist(), nearest[ok].tolist())
+            if len(columns[0]) > 4096:
                 yield out()
-                grp, nid, gap = [], [], []
+        close()
         yield out()
 
     own = groups.select("grp", F.posexplode("members").alias("at", "m")).select("grp", "at", "m.nid", "m.n", "m.sketch")
@@ -367,7 +419,10 @@ def promising(groups: DataFrame, found: DataFrame, s: JoinSettings, roots: DataF
     else:
         own = own.join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid")).select("grp", "at", "nid", "n", "sketch", "root")
     visiting = found.join(own.select("nid", "n", "sketch", "root"), "nid").withColumn("at", F.lit(None).cast("int"))
-    return _together(own.unionByName(visiting.select(own.columns))).mapInArrow(sift, "grp bigint, nid bigint, gap bigint")
+    if roots is not None:
+        # groups without a visitor have nothing to say
+        own = own.join(found.select("grp").distinct(), "grp", "left_semi")
+    return _together(own.unionByName(visiting.select(own.columns))).mapInArrow(sift, "grp bigint, at int, nid bigint, gap bigint")
 
 
 def _marked(digests: DataFrame, bits: int) -> np.ndarray:
@@ -395,25 +450,30 @@ def _marked(digests: DataFrame, bits: int) -> np.ndarray:
     return table
 
 
-def wanted_texts(docs: DataFrame, rows: DataFrame, wanted: DataFrame, s: JoinSettings, text: str = "text") -> DataFrame:
-    """(nid, text): one text of each wanted (node, nid).
+def with_texts(docs: DataFrame, rows: DataFrame, names: DataFrame, visits: DataFrame, s: JoinSettings, text: str = "text") -> DataFrame:
+    """Rows of `visits` (grp, at, nid) with a compressed text of the node.
 
-    A table of bits lets through the texts that may be wanted, so that the others are not shuffled; the join is exact.
-    Texts travel instead of token sets, which are larger and do not compress.
+    A table of bits lets through the texts that may be wanted, so that the others are not shuffled; the join is exact. A text is
+    moved once to meet its copies and once for every visit; texts travel instead of token sets, which are larger and do not
+    compress.
     """
-    one = rows.where("node is not null").groupBy("node").agg(F.min("text_md5").alias("text_md5")).join(wanted, "node")
-    one = stage(one.select("nid", "text_md5"), "join-wanted")
+    one = rows.where("node is not null").groupBy("node").agg(F.min("text_md5").alias("text_md5"))
+    wanted = one.join(names.join(visits.select("nid").distinct(), "nid"), "node").select("nid", "text_md5")
+    wanted = stage(visits.join(wanted, "nid").select("text_md5", "grp", "at", "nid"), "join-wanted")
     bits = s.wanted_bits
-    table = docs.sparkSession.sparkContext.broadcast(_marked(one.select("text_md5"), bits))
+    table = docs.sparkSession.sparkContext.broadcast(_marked(wanted.select("text_md5"), bits))
 
     def may_be_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor()
         for b in batches:
             at = (np.frombuffer(b"".join(b["text_md5"].to_pylist()), "<u8").reshape(-1, 2)[:, 0] % np.uint64(bits)).astype(np.int64)
-            yield b.filter(pa.array((table.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+            b = b.filter(pa.array((table.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+            packed = [packer.compress(x.as_buffer()) for x in b["text"]]
+            yield pa.RecordBatch.from_arrays([b["text_md5"], pa.array(packed, pa.binary())], ["text_md5", "text"])
 
     t = text_of(text)
-    texts = docs.select(F.unhex(F.md5(t)).alias("text_md5"), t.alias("text")).mapInArrow(may_be_wanted, "text_md5 binary, text string")
-    return texts.groupBy("text_md5").agg(F.first("text").alias("text")).join(one, "text_md5").select("nid", "text")
+    texts = docs.select(F.unhex(F.md5(t)).alias("text_md5"), t.alias("text")).mapInArrow(may_be_wanted, "text_md5 binary, text binary")
+    return texts.groupBy("text_md5").agg(F.first("text").alias("text")).join(wanted, "text_md5").select("grp", "at", "nid", "text")
 
 
 class _Members:
@@ -449,7 +509,8 @@ class _Members:
 
 
 def group_links(rows: DataFrame, s: JoinSettings) -> DataFrame:
-    """(grp, at, nid, text), members with their place `at` and visitors without -> exact links (a, b) of node numbers."""
+    """(grp, at, nid, text), members with their place `at` and visitors without, texts compressed -> exact links (a, b) of
+    node numbers."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -463,8 +524,9 @@ def group_links(rows: DataFrame, s: JoinSettings) -> DataFrame:
                 found.extend(group.links)
 
         def tokens_of(column: pa.Array) -> list[np.ndarray]:
-            return [token_set(x.as_buffer().to_pybytes(), s.shingle) for x in column]
+            return [token_set(unpacker.decompress(x.as_buffer()), s.shingle) for x in column]
 
+        unpacker = zstandard.ZstdDecompressor()
         found: list[tuple[int, int]] = []
         at, names, sets, group = None, [], [], None
         for g, own, visiting in _runs(batches):
@@ -489,33 +551,33 @@ def group_links(rows: DataFrame, s: JoinSettings) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, s: JoinSettings, text: str = "text") -> DataFrame:
-    """Links (a, b) of nodes that connect every two with the least similarity, directly or through others.
+    """Links (a, b) of nodes that connect every two with the least similarity, directly or through others; staged.
 
-    First every node visits the nearest of its groups, which joins most of a cluster of near copies. Of the other visits, those to
-    members that are all in the node's component by then can add nothing; the rest follow.
+    First the members of each group are held against one another and every node visits the nearest of its tokens' first groups,
+    which joins most of a cluster of near copies. Then nodes visit the groups in which a token of theirs leads to another component.
     """
     nodes = stage(lookups(docs, frequent(rows, s), s, text), "join-lookups")
-    groups = stage(similar_groups(nodes, s), "join-groups")
-    found = stage(promising(groups, candidates(groups, s), s), "join-visits")
-    names = nodes.select("node", "nid")
-    members = groups.join(found.select("grp").distinct(), "grp").select("grp", F.posexplode("members.nid").alias("at", "nid"))
-    wanted = members.select("nid").unionByName(found.select("nid").where("nid is not null")).distinct()
-    texts = stage(wanted_texts(docs, rows, names.join(wanted, "nid"), s, text), "join-texts")
+    names = stage(nodes.select("node", "nid"), "join-names")
+    groups = similar_groups(nodes, s)
+    discard(nodes)
 
     def opened(visits: DataFrame) -> DataFrame:
-        """Links of the visits (grp, nid) and within the groups they open."""
-        own = groups.join(visits.select("grp").distinct(), "grp").select("grp", F.posexplode("members.nid").alias("at", "nid"))
-        both = own.unionByName(visits.where("nid is not null").select("grp", F.lit(None).cast("int").alias("at"), "nid"))
-        return stage(group_links(both.join(texts, "nid").select("grp", "at", "nid", "text"), s), "join-links")
-
-    nearest = found.where("nid is not null").groupBy("nid").agg(F.min(F.struct("gap", "grp")).alias("v")).select("v.grp", "nid")
-    links = opened(nearest.unionByName(found.where("nid is null").select("grp", "nid")))
+        """Exact links of the near visits and members (grp, at, nid)."""
+        return stage(group_links(with_texts(docs, rows, names, visits, s, text), s), "join-links")
+
+    found = stage(promising(groups, first_visits(groups, s), s), "join-visits")
+    nearest = found.where("at is null").groupBy("nid").agg(F.min(F.struct("gap", "grp")).alias("v")).select("v.grp", "nid")
+    members = found.where("at is not null").select("grp", "at", "nid")
+    visitors = lambda of: of.select("grp", F.lit(None).cast("int").alias("at"), "nid")
+    links = opened(members.unionByName(visitors(nearest)))
     roots = stage(components(links).withColumnRenamed("node", "nid"), "join-roots")
-    others = found.where("nid is not null").select("grp", "nid").join(nearest, ["grp", "nid"], "left_anti")
-    rest = stage(promising(groups, others, s, roots).where("nid is not null").select("grp", "nid"), "join-visits")
-    links = links.unionByName(opened(rest))
+    others = later_visits(groups, roots, s).join(nearest, ["grp", "nid"], "left_anti")
+    rest = stage(promising(groups, others, s, roots), "join-visits")
+    both = links.unionByName(opened(rest.select("grp", "at", "nid")))
     named = lambda c: names.select(F.col("nid").alias(c), F.col("node").alias(f"node_{c}"))
-    return links.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    out = stage(both.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "join-links")
+    discard(groups, names, found, rest, roots)
+    return out
 
 
 def jaccard_components(docs: DataFrame, s: JoinSettings = JoinSettings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
