@@ -260,17 +260,22 @@ def lookups(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], s: JoinSettin
     return once.withColumn("nid", F.monotonically_increasing_id())
 
 
-MEMBER = "struct<nid:bigint,n:bigint,sketch:binary,tokens:array<bigint>>"
+MEMBER = "struct<nid:bigint,n:bigint,sketch:binary,tokens:array<bigint>,places:array<int>>"
 
 
 def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
-    """(grp, members), staged: nodes that share a looked-up token, similar ones together; a group has the number of its first node."""
+    """(grp, members), staged: nodes that share a looked-up token, similar ones together; a group has the number of its first node.
+
+    A member keeps its shared tokens and their places in the global order of its set.
+    """
     common = nodes.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token")
     # similar nodes have the same smallest hashes among their shared tokens
-    dealt = nodes.select("nid", F.explode("tokens").alias("token")).join(common, "token")
-    kept = dealt.groupBy("nid").agg(F.array_sort(F.collect_list("token")).alias("tokens")).join(nodes.select("nid", "n", "sketch"), "nid")
-    spread = stage(kept.select("nid", "n", "sketch", "tokens", F.col("tokens")[0].alias("t0"), F.get("tokens", F.lit(1)).alias("t1")), "join-nodes")
-    member = pa.struct([("nid", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64()))])
+    dealt = nodes.select("nid", F.posexplode("tokens").alias("place", "token")).join(common, "token")
+    shared = dealt.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("token", "place"))).alias("shared"))
+    kept = shared.join(nodes.select("nid", "n", "sketch"), "nid").select(
+        "nid", "n", "sketch", F.col("shared.token").alias("tokens"), F.col("shared.place").alias("places"))
+    spread = stage(kept.withColumns({"t0": F.col("tokens")[0], "t1": F.get("tokens", F.lit(1))}), "join-nodes")
+    member = pa.struct([("nid", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups(found: list[list[dict]]) -> pa.RecordBatch:
@@ -299,8 +304,10 @@ def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
 
 
 def _placed(groups: DataFrame) -> DataFrame:
-    """(grp, nid, n, token): the nodes of every group with their shared looked-up tokens."""
-    return groups.select("grp", F.explode("members").alias("m")).select("grp", "m.nid", "m.n", F.explode("m.tokens").alias("token"))
+    """(grp, nid, n, token, place): the nodes of every group with their shared looked-up tokens."""
+    members = groups.select("grp", F.explode("members").alias("m"))
+    tokens = members.select("grp", "m.nid", "m.n", "m.places", F.posexplode("m.tokens").alias("i", "token"))
+    return tokens.select("grp", "nid", "n", "token", F.get("places", F.col("i")).cast("long").alias("place"))
 
 
 def first_visits(groups: DataFrame, s: JoinSettings) -> DataFrame:
@@ -319,15 +326,18 @@ def first_visits(groups: DataFrame, s: JoinSettings) -> DataFrame:
 def later_visits(groups: DataFrame, roots: DataFrame, s: JoinSettings) -> DataFrame:
     """(grp, nid): nodes that find a token of theirs in an earlier group, at a member of fitting size in another component.
 
-    A token whose nodes all are in one component is dropped, with it the visits among the members of a linked cluster.
+    A token whose nodes all are in one component is dropped, with it the visits among the members of a linked cluster. Of the
+    first token that two sets share, in the global order, all tokens before it differ: places that add up to more than two linked
+    sets may differ by rule out the visit, and with it those among copies that have too many words of their own.
     """
-    p = s.percent
+    p, slack, whole = s.percent, 100 - s.percent, 100 + s.percent
     rooted = _placed(groups).join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    open_ = stage(rooted.join(mixed, "token", "left_semi").select("token", "grp", "nid", "n", "root"), "join-open")
+    open_ = stage(rooted.join(mixed, "token", "left_semi").select("token", "grp", "nid", "n", "root", "place"), "join-open")
     matrix = open_.groupBy("token", F.col("grp").alias("at")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("a"), F.max("root").alias("b"))
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("a"), F.max("root").alias("b"), F.min("place").alias("front"))
     fits = (F.col("at") < F.col("grp")) & (100 * F.col("high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("low"))
+    fits &= whole * (F.col("place") + F.col("front")) <= slack * (F.col("n") + F.col("high"))
     other = (F.col("a") != F.col("root")) | (F.col("b") != F.col("root"))
     return open_.join(matrix, "token").where(fits & other).select(F.col("at").alias("grp"), "nid").distinct()
 
