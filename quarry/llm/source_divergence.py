@@ -88,21 +88,25 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def _in_skyband(block: list[tuple[int, int, bytes]], k: int) -> list[tuple[int, int, bytes]]:
+def _in_skyband(block: list[tuple[int, int, bytes]], k: int, step: int = 256) -> list[tuple[int, int, bytes]]:
     """The (count, lang count, term) rows that fewer than k of the others dominate."""
     block.sort(key=lambda r: (-r[0], r[1], r[2]))
     # earlier rows have no lower count: a row is dominated by those of them that are no worse in the other two
-    low = np.empty(len(block), np.int64)
-    names = sorted({r[2] for r in block})
-    place = {t: i for i, t in enumerate(names)}
-    at = np.empty(len(block), np.int64)
+    place = {t: i for i, t in enumerate(sorted({r[2] for r in block}))}
+    lows = np.fromiter((r[1] for r in block), np.int64, len(block))
+    places = np.fromiter((place[r[2]] for r in block), np.int64, len(block))
+    low, at = np.empty_like(lows), np.empty_like(places)
     kept, size = [], 0
-    for r in block:
-        i = place[r[2]]
-        if int(((low[:size] <= r[1]) & (at[:size] < i)).sum()) < k:
-            kept.append(r)
-            low[size], at[size] = r[1], i
-            size += 1
+    for lo in range(0, len(block), step):
+        # what was kept before the step drops most of its rows at once; the others are compared with those of the step
+        own_low, own_at = lows[lo:lo + step], places[lo:lo + step]
+        before = ((low[:size] <= own_low[:, None]) & (at[:size] < own_at[:, None])).sum(axis=1)
+        first = size
+        for j in np.flatnonzero(before < k).tolist():
+            if before[j] + int(((low[first:size] <= own_low[j]) & (at[first:size] < own_at[j])).sum()) < k:
+                kept.append(block[lo + j])
+                low[size], at[size] = own_low[j], own_at[j]
+                size += 1
     return kept
 
 
