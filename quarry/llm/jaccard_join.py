@@ -25,16 +25,17 @@ null doc_id gives way to any other when the smallest is taken; repeated rows eac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.llm.common import components, discard, partitions, prepare, stage, text_of
+from quarry.llm.simhash_dedup import wide_fingerprint
 
 #: An odd multiplier; its powers weigh the words of a shingle.
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -58,6 +59,8 @@ class JoinSettings:
     counted_tokens: int = 200_000
     sent_tokens: int = 20_000
     frequent_tokens: int = 200_000
+    #: Bits of a SimHash fingerprint of the set (a multiple of 64; 0: none).
+    fingerprint_bits: int = 0
 
 
 _SPAN = 1 << 18
@@ -231,14 +234,14 @@ def frequent(rows: DataFrame, s: JoinSettings) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lookups(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], s: JoinSettings, text: str = "text") -> DataFrame:
-    """(node, nid, n, sketch, tokens): one row per node with the tokens that must be looked up; nid is a number of the row,
-    good once the rows are written."""
+    """(node, nid, n, sketch, tokens[, fp]): one row per node with the tokens that must be looked up and, where the settings want
+    one, the fingerprint of its set; nid is a number of the row, good once the rows are written."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
         for b in batches:
-            nodes, sizes, sketches, first = [], [], [], []
+            nodes, sizes, sketches, first, fps = [], [], [], [], []
             for t in b["text"]:
                 x = token_set(t.as_buffer().to_pybytes(), s.shingle)
                 if not len(x):
@@ -251,30 +254,40 @@ def lookups(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], s: JoinSettin
                 sizes.append(len(x))
                 sketches.append(sketch_of(x, s))
                 first.append(x[np.lexsort((x, rank))][: looked_up(len(x), s)].view(np.int64))
+                fps.append(wide_fingerprint(x, s.fingerprint_bits) if s.fingerprint_bits else b"")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64()))],
-                ["node", "n", "sketch", "tokens"])
+                [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(first, pa.list_(pa.int64())),
+                 pa.array(fps, pa.binary())],
+                ["node", "n", "sketch", "tokens", "fp"])
 
-    found = docs.select(text_of(text).alias("text")).mapInArrow(read, "node binary, n long, sketch binary, tokens array<long>")
-    once = found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"))
+    found = docs.select(text_of(text).alias("text")).mapInArrow(read, "node binary, n long, sketch binary, tokens array<long>, fp binary")
+    kept = ["n", "sketch", "tokens", *(["fp"] if s.fingerprint_bits else [])]
+    once = found.groupBy("node").agg(*[F.first(c).alias(c) for c in kept])
     return once.withColumn("nid", F.monotonically_increasing_id())
 
 
 MEMBER = "struct<nid:bigint,n:bigint,sketch:binary,tokens:array<bigint>,places:array<int>>"
 
 
-def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
+def similar_groups(nodes: DataFrame, s: JoinSettings, clustered: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(grp, members), staged: nodes that share a looked-up token, similar ones together; a group has the number of its first node.
 
-    A member keeps its shared tokens and their places in the global order of its set.
+    A member keeps its shared tokens and their places in the global order of its set. `clustered` may name nodes that belong together:
+    (nid, root) of some of the given nodes, which then are grouped by root.
     """
-    common = nodes.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token")
-    # similar nodes have the same smallest hashes among their shared tokens
-    dealt = nodes.select("nid", F.posexplode("tokens").alias("place", "token")).join(common, "token")
+    # tokens are dealt once: those of one node only go where they meet no other
+    met = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    dealt = nodes.select("nid", F.posexplode("tokens").alias("place", "token")).withColumn("met", met).where("met > 1")
     shared = dealt.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("token", "place"))).alias("shared"))
-    kept = shared.join(nodes.select("nid", "n", "sketch"), "nid").select(
-        "nid", "n", "sketch", F.col("shared.token").alias("tokens"), F.col("shared.place").alias("places"))
+    given = [c for c in ("nid", "n", "sketch", "fp") if c in nodes.columns]
+    kept = shared.join(nodes.select(*given), "nid").select(
+        *given, F.col("shared.token").alias("tokens"), F.col("shared.place").alias("places"))
+    # similar nodes have the same smallest hashes among their shared tokens
     spread = stage(kept.withColumns({"t0": F.col("tokens")[0], "t1": F.get("tokens", F.lit(1))}), "join-nodes")
+    ordering = spread.drop("fp")
+    if clustered:
+        ordering = ordering.join(clustered(spread), "nid", "left").withColumns(
+            {"t0": F.coalesce("root", "t0"), "t1": F.when(F.col("root").isNull(), F.col("t1")).otherwise(F.col("t0"))}).drop("root")
     member = pa.struct([("nid", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +310,7 @@ def similar_groups(nodes: DataFrame, s: JoinSettings) -> DataFrame:
         if held:
             yield groups([held])
 
-    ordered = spread.repartitionByRange(partitions(nodes.sparkSession), "t0", "t1", "nid").sortWithinPartitions("t0", "t1", "nid")
+    ordered = ordering.repartitionByRange(partitions(nodes.sparkSession), "t0", "t1", "nid").sortWithinPartitions("t0", "t1", "nid")
     out = stage(ordered.mapInArrow(form, f"grp bigint, members array<{MEMBER}>"), "join-groups")
     discard(spread)
     return out
@@ -327,19 +340,22 @@ def later_visits(groups: DataFrame, roots: DataFrame, s: JoinSettings) -> DataFr
     """(grp, nid): nodes that find a token of theirs in an earlier group, at a member of fitting size in another component.
 
     A token whose nodes all are in one component is dropped, with it the visits among the members of a linked cluster. Of the
-    first token that two sets share, in the global order, all tokens before it differ: places that add up to more than two linked
-    sets may differ by rule out the visit, and with it those among copies that have too many words of their own.
+    first token that two sets share, in the global order, all tokens before it are in one set only: what follows it in either set
+    (its size less the place) bounds what they share. `room` is that bound as the largest set that the node may be linked with,
+    times the percentage; visits that leave either side without room are ruled out, and with them those among copies that have too
+    many words of their own. A group is asked by component, so its members of the node's own component let nothing through.
     """
-    p, slack, whole = s.percent, 100 - s.percent, 100 + s.percent
+    p, whole = s.percent, 100 + s.percent
     rooted = _placed(groups).join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     mixed = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    open_ = stage(rooted.join(mixed, "token", "left_semi").select("token", "grp", "nid", "n", "root", "place"), "join-open")
-    matrix = open_.groupBy("token", F.col("grp").alias("at")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("root").alias("a"), F.max("root").alias("b"), F.min("place").alias("front"))
-    fits = (F.col("at") < F.col("grp")) & (100 * F.col("high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("low"))
-    fits &= whole * (F.col("place") + F.col("front")) <= slack * (F.col("n") + F.col("high"))
-    other = (F.col("a") != F.col("root")) | (F.col("b") != F.col("root"))
-    return open_.join(matrix, "token").where(fits & other).select(F.col("at").alias("grp"), "nid").distinct()
+    open_ = stage(rooted.join(mixed, "token", "left_semi").select(
+        "token", "grp", "nid", "n", "root", (100 * F.col("n") - whole * F.col("place")).alias("room")), "join-open")
+    matrix = open_.groupBy("token", F.col("grp").alias("at"), F.col("root").alias("other")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("most"))
+    fits = (F.col("at") < F.col("grp")) & (F.col("other") != F.col("root"))
+    fits &= (100 * F.col("high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("low"))
+    fits &= (F.col("room") >= p * F.col("low")) & (F.col("most") >= p * F.col("n"))
+    return open_.join(matrix, "token").where(fits).select(F.col("at").alias("grp"), "nid").distinct()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, pa.RecordBatch]]:
@@ -560,7 +576,8 @@ def group_links(rows: DataFrame, s: JoinSettings) -> DataFrame:
     return _together(rows).mapInArrow(links, "a bigint, b bigint")
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, s: JoinSettings, text: str = "text") -> DataFrame:
+def similar_links(docs: DataFrame, rows: DataFrame, s: JoinSettings, text: str = "text",
+                  clustered: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) of nodes that connect every two with the least similarity, directly or through others; staged.
 
     First the members of each group are held against one another and every node visits the nearest of its tokens' first groups,
@@ -568,7 +585,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, s: JoinSettings, text: str =
     """
     nodes = stage(lookups(docs, frequent(rows, s), s, text), "join-lookups")
     names = stage(nodes.select("node", "nid"), "join-names")
-    groups = similar_groups(nodes, s)
+    groups = similar_groups(nodes, s, clustered)
     discard(nodes)
 
     def opened(visits: DataFrame) -> DataFrame:

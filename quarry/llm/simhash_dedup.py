@@ -27,6 +27,7 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 3
 BLOCKS = 4
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, chunk: int = 1 << 16) -> int:
@@ -48,6 +49,18 @@ def fingerprint(text: bytes, chunk: int = 1 << 16) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(hashes: np.ndarray, bits: int, chunk: int = 1 << 14) -> bytes:
+    """The same rule for the 64-bit hashes of a set and any multiple of 64 bits: further words are the hashes mixed again."""
+    words = [hashes]
+    while 64 * len(words) < bits:
+        words.append((words[-1] ^ (words[-1] >> np.uint64(31))) * _MIX)
+    wide = np.stack(words, axis=1)
+    total = np.zeros(bits, np.int64)
+    for i in range(0, len(wide), chunk):
+        total += np.unpackbits(wide[i : i + chunk].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(total * 2 > len(hashes), bitorder="little").tobytes()
+
+
 def fingerprints(text: Column) -> Column:
     @F.arrow_udf("bigint")
     def simhash(col: pa.Array) -> pa.Array:
@@ -84,6 +97,18 @@ class BKTree:
         return found
 
 
+    def nearest(self, value: int, radius: int) -> tuple[int, int] | None:
+        """Index and distance of the first of the nearest stored values found within `radius` bits."""
+        best, todo = None, [0] if self.values else []
+        while todo:
+            at = todo.pop()
+            d = (value ^ self.values[at]).bit_count()
+            if d <= radius and (best is None or d < best[1]):
+                best, radius = (at, d), d
+            todo += [child for edge, child in self.children[at].items() if d - radius <= edge <= d + radius]
+        return best
+
+
 def local_roots(values: list[int], radius: int) -> list[int]:
     """For each value, the index of the first member of its group (links within `radius`, inside this shard)."""
     tree, parent = BKTree(), list(range(len(values)))
