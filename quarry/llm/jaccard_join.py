@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.llm.common import components, discard, partitions, prepare, stage, text_of
 from quarry.llm.simhash_dedup import wide_fingerprint
@@ -276,8 +276,15 @@ def similar_groups(nodes: DataFrame, s: JoinSettings, clustered: Callable[[DataF
     (nid, root) of some of the given nodes, which then are grouped by root.
     """
     # tokens are dealt once: those of one node only go where they meet no other
-    met = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    dealt = nodes.select("nid", F.posexplode("tokens").alias("place", "token")).withColumn("met", met).where("met > 1")
+    p, whole, of = s.percent, 100 + s.percent, Window.partitionBy("token")
+    dealt = nodes.select("nid", "n", F.posexplode("tokens").alias("place", "token")).withColumns({
+        "met": F.count(F.lit(1)).over(of), "least": F.min("n").over(of), "sizes": F.sum("n").over(of), "all_places": F.sum("place").over(of)})
+    # as in `later_visits`, what follows the first shared token in either set bounds what they share; most tokens that meet have two
+    # nodes by chance, so the other's size and place are the sums without one's own
+    n, place, other = F.col("n"), F.col("place").cast("long"), F.col("sizes") - F.col("n")
+    alike = (100 * other >= p * n) & (100 * n >= p * other)
+    pair = alike & (100 * n - whole * place >= p * other) & (100 * other - whole * (F.col("all_places") - place) >= p * n)
+    dealt = dealt.where((F.col("met") > 1) & F.when(F.col("met") == 2, pair).otherwise(100 * n - whole * place >= p * F.col("least")))
     shared = dealt.groupBy("nid").agg(F.array_sort(F.collect_list(F.struct("token", "place"))).alias("shared"))
     given = [c for c in ("nid", "n", "sketch", "fp") if c in nodes.columns]
     kept = shared.join(nodes.select(*given), "nid").select(
@@ -316,13 +323,6 @@ def similar_groups(nodes: DataFrame, s: JoinSettings, clustered: Callable[[DataF
     return out
 
 
-def _placed(groups: DataFrame) -> DataFrame:
-    """(grp, nid, n, token, place): the nodes of every group with their shared looked-up tokens."""
-    members = groups.select("grp", F.explode("members").alias("m"))
-    tokens = members.select("grp", "m.nid", "m.n", "m.places", F.posexplode("m.tokens").alias("i", "token"))
-    return tokens.select("grp", "nid", "n", "token", F.get("places", F.col("i")).cast("long").alias("place"))
-
-
 def first_visits(groups: DataFrame, s: JoinSettings) -> DataFrame:
     """(grp, nid): every node with the first group of each of its tokens, where that is an earlier one and of fitting size.
 
@@ -333,7 +333,9 @@ def first_visits(groups: DataFrame, s: JoinSettings) -> DataFrame:
                          F.explode(F.array_distinct(F.flatten("members.tokens"))).alias("token"))
     first = rows.groupBy("token").agg(F.min(F.struct("grp", "low", "high")).alias("f"))
     fits = (F.col("grp") > F.col("f.grp")) & (100 * F.col("f.high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("f.low"))
-    return _placed(groups).join(first, "token").where(fits).select(F.col("f.grp").alias("grp"), "nid").distinct()
+    members = groups.select("grp", F.explode("members").alias("m"))
+    placed = members.select("grp", "m.nid", "m.n", F.explode("m.tokens").alias("token"))
+    return placed.join(first, "token").where(fits).select(F.col("f.grp").alias("grp"), "nid").distinct()
 
 
 def later_visits(groups: DataFrame, roots: DataFrame, s: JoinSettings) -> DataFrame:
@@ -344,18 +346,36 @@ def later_visits(groups: DataFrame, roots: DataFrame, s: JoinSettings) -> DataFr
     (its size less the place) bounds what they share. `room` is that bound as the largest set that the node may be linked with,
     times the percentage; visits that leave either side without room are ruled out, and with them those among copies that have too
     many words of their own. A group is asked by component, so its members of the node's own component let nothing through.
+
+    Groups meet, not nodes: a row is a token and two groups that have it, so a token in many similar nodes makes a row for two
+    groups of up to `group_nodes` of them, and the nodes of these rows are looked through in place.
     """
     p, whole = s.percent, 100 + s.percent
-    rooted = _placed(groups).join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-    open_ = stage(rooted.join(mixed, "token", "left_semi").select(
-        "token", "grp", "nid", "n", "root", (100 * F.col("n") - whole * F.col("place")).alias("room")), "join-open")
-    matrix = open_.groupBy("token", F.col("grp").alias("at"), F.col("root").alias("other")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("most"))
-    fits = (F.col("at") < F.col("grp")) & (F.col("other") != F.col("root"))
-    fits &= (100 * F.col("high") >= p * F.col("n")) & (100 * F.col("n") >= p * F.col("low"))
-    fits &= (F.col("room") >= p * F.col("low")) & (F.col("most") >= p * F.col("n"))
-    return open_.join(matrix, "token").where(fits).select(F.col("at").alias("grp"), "nid").distinct()
+    # the root joins a node before its tokens become rows, and a token's rows are dealt once for all that is grouped by it
+    members = groups.select("grp", F.explode("members").alias("m")).select("grp", "m.nid", "m.n", "m.tokens", "m.places")
+    rooted = members.join(roots, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    placed = rooted.select("grp", "nid", "n", "root", "places", F.posexplode("tokens").alias("i", "token")).select(
+        "token", "grp", "nid", "n", "root", (100 * F.col("n") - whole * F.get("places", F.col("i")).cast("long")).alias("room"))
+    of = Window.partitionBy("token")
+    open_ = placed.withColumns({"a": F.min("root").over(of), "b": F.max("root").over(of)}).where("a <> b").drop("a", "b")
+    of_root = open_.groupBy("token", "grp", "root").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("most"), F.collect_list(F.struct("nid", "n", "room")).alias("nodes"))
+    matrix = stage(of_root.groupBy("token", "grp").agg(F.collect_list(F.struct("root", "low", "high", "most", "nodes")).alias("parts")), "join-open")
+
+    def fits(node: Column, part: Column) -> Column:
+        alike = (100 * part["high"] >= p * node["n"]) & (100 * node["n"] >= p * part["low"])
+        return alike & (node["room"] >= p * part["low"]) & (part["most"] >= p * node["n"])
+
+    def let_in(part: Column) -> Column:
+        others = F.filter("asked", lambda o: o["root"] != part["root"])
+        return F.transform(F.filter(part["nodes"], lambda v: F.exists(others, lambda o: fits(v, o))), lambda v: v["nid"])
+
+    asked = matrix.select("token", F.col("grp").alias("at"), F.col("parts").alias("asked"))
+    met = matrix.join(asked, "token").where(F.col("at") < F.col("grp"))
+    met = met.select("at", "grp", F.flatten(F.transform("parts", let_in)).alias("nids")).where(F.size("nids") > 0)
+    # two groups meet in many tokens: their visits are made one before they become rows
+    pairs = met.groupBy("at", "grp").agg(F.array_distinct(F.flatten(F.collect_list("nids"))).alias("nids"))
+    return pairs.select(F.col("at").alias("grp"), F.explode("nids").alias("nid"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, pa.RecordBatch]]:
@@ -598,12 +618,12 @@ def similar_links(docs: DataFrame, rows: DataFrame, s: JoinSettings, text: str =
     visitors = lambda of: of.select("grp", F.lit(None).cast("int").alias("at"), "nid")
     links = opened(members.unionByName(visitors(nearest)))
     roots = stage(components(links).withColumnRenamed("node", "nid"), "join-roots")
-    others = later_visits(groups, roots, s).join(nearest, ["grp", "nid"], "left_anti")
+    others = stage(later_visits(groups, roots, s).join(nearest, ["grp", "nid"], "left_anti"), "join-others")
     rest = stage(promising(groups, others, s, roots), "join-visits")
     both = links.unionByName(opened(rest.select("grp", "at", "nid")))
     named = lambda c: names.select(F.col("nid").alias(c), F.col("node").alias(f"node_{c}"))
     out = stage(both.join(named("a"), "a").join(named("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "join-links")
-    discard(groups, names, found, rest, roots)
+    discard(groups, names, found, others, rest, roots)
     return out
 
 
