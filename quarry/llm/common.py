@@ -38,8 +38,8 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    return materialize(df, f"llm-{name}")
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    return materialize(df, f"llm-{name}", **options)
 
 
 def discard(*staged: DataFrame) -> None:

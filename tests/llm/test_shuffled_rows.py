@@ -1,8 +1,10 @@
-"""What the joins of near copies make."""
+"""What the joins of near copies and the training order write and shuffle."""
+
+from pathlib import Path
 
 import numpy as np
 
-from quarry.llm import jaccard_join
+from quarry.llm import jaccard_join, training_order
 from quarry.llm.common import stage
 
 S = jaccard_join.JoinSettings()
@@ -76,3 +78,13 @@ def test_nodes_that_meet_by_chance_are_in_no_group(spark):
     found = {m.nid: m.tokens for r in groups.collect() for m in r.members}
     assert {5, 6, 7, 9} <= set(found) and not {1, 2, 3, 4} & set(found)
     assert found[5] == found[6] == [9]
+
+
+def test_staged_token_ids_are_packed(spark):
+    rng = np.random.default_rng(2)
+    words = [f"word{i} " for i in range(300)]
+    docs = spark.createDataFrame([(i, "".join(rng.choice(words, 800))) for i in range(60)], "doc_id long, text string")
+    sequences = training_order.tokenized(docs.coalesce(1), training_order.OrderSettings())
+    plain = stage(sequences, "plain")
+    size, before = (sum(Path(f.removeprefix("file:")).stat().st_size for f in df.inputFiles()) for df in (sequences, plain))
+    assert size < 0.9 * before
