@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarry.operators import indexing, retrieval, scoring
+from quarry.operators import indexing, profiles, retrieval, scoring
 from quarry.session import SHUFFLE_CLEANUP, materialize, stage_root
 from quarry.settings import Settings
 
@@ -97,3 +97,12 @@ def test_affinity_deals_the_roots_of_its_documents_only(spark):
     assert [(r.qid, r.doc_id) for r in out.collect()] == [(1, "a")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "strategy=broadcast" in plan.split("LeftSemi")[1].splitlines()[0]
+
+
+def test_word_ids_by_columns():
+    words = ["a", "straße", "日本語", "x" * 51, "y" * 53, "z" * 54, "q" * 70, "ю" * 26, "ab1_"]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+    terms = words + [f"{words[a]} {words[b]}" for a, b in zip(left, right)]
+    assert {len(t.encode()) for t in terms} >= {52, 53, 54, 55}
+    assert profiles._term_ids(words, left, right).tolist() == [profiles.term_id("w:" + t) for t in terms]
+    assert profiles.profiles(["", " "], 4).to_pylist() == [{**{f"{f}_{x}": [] for f in ("word", "char") for x in ("ids", "tfs")}, "buckets": [0] * 8}] * 2
