@@ -1,6 +1,8 @@
 """What the index build and the search move and leave on disk."""
 
+import math
 import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +108,33 @@ def test_word_ids_by_columns():
     assert {len(t.encode()) for t in terms} >= {52, 53, 54, 55}
     assert profiles._term_ids(words, left, right).tolist() == [profiles.term_id("w:" + t) for t in terms]
     assert profiles.profiles(["", " "], 4).to_pylist() == [{**{f"{f}_{x}": [] for f in ("word", "char") for x in ("ids", "tfs")}, "buckets": [0] * 8}] * 2
+
+
+def test_rare_words_meet_their_vocabulary_in_packets(spark):
+    rng = np.random.default_rng(3)
+    n, ids = 400, rng.integers(0, 1 << 60, 3000)
+    rows = [(i << 20, sorted(rng.choice(ids, 20, replace=False).tolist()), rng.integers(1, 5, 20).tolist(), [], []) for i in range(n)]
+    prof = spark.createDataFrame(rows, "idx long, word_ids array<long>, word_tfs array<int>, char_ids array<long>, char_tfs array<int>")
+    df = Counter(t for r in rows for t in r[1])
+    idf = {t: 1.0 + math.log((1 + n) / (1 + k)) for t, k in df.items() if t % 7}
+    vocab = spark.createDataFrame([("word", t, df[t], df[t], x) for t, x in idf.items()], "family string, term_id long, df long, total long, idf double")
+    monkey, indexing.HOT_TERM_LIMIT = indexing.HOT_TERM_LIMIT, 1500
+    try:
+        out = indexing.chunk_norms(prof, vocab)
+    finally:
+        indexing.HOT_TERM_LIMIT = monkey
+    assert "Join" not in plan_of(out)
+    got = {r.idx: r.word_norm for r in out.collect()}
+    assert len(got) == n
+    for i, terms, tfs, _, _ in rows:
+        assert math.isclose(got[i], math.sqrt(sum(((1 + math.log(k)) * idf.get(t, 0.0)) ** 2 for t, k in zip(terms, tfs))), rel_tol=1e-12)
+
+
+def test_packets_return_what_they_hold():
+    ids, tfs = np.array([5, 3, 1 << 59, 8], np.int64), np.array([1, 2, 3, 4], np.int32)
+    got = {}
+    for r in indexing._packets(indexing.OCCURRENCES, 2, [(ids[:1], tfs[:1]), (ids[1:], tfs[1:])]).to_pylist():
+        assert r["kind"] == indexing.OCCURRENCES
+        delta, n = indexing._unpacked(r["body"], np.int64, np.int32)
+        got[r["part"]] = list(zip(np.cumsum(delta).tolist(), n.tolist()))
+    assert got == {0: [(8, 4), (1 << 59, 3)], 1: [(3, 2), (5, 1)]}
